@@ -43,6 +43,11 @@ def ratio(part: Column, whole: Column, digits: int) -> Column:
     return F.when(whole > 0, F.bround(part / whole, digits)).otherwise(F.lit(0.0))
 
 
+def percent(part: Column, whole: Column, digits: int = 1) -> Column:
+    """part of whole in percent, rounded half-even; 0 when there is nothing to divide by."""
+    return F.when(whole > 0, F.bround(part / whole * 100, digits)).otherwise(F.lit(0.0))
+
+
 def error_rate(digits: int) -> Column:
     """Share of requests with status >= 400; a missing status is no error."""
     return ratio(errors(), requests(), digits)
