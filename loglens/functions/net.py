@@ -6,13 +6,14 @@ digits, or '6' and 32 digits. Text that is no address has no key (NULL).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
-_IPV4_TAIL = rf"^(.*:)({_OCTET}(?:\.{_OCTET}){{3}})$"
-_GROUPS = r"^[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4})*$"
+# Groups of up to four digits, "::" at most once and no other colon at either end.
+_IPV6 = r"^(?!.*::.*::)(?!.*:::)(?!:[^:])(?!.*[^:]:$)(?=.*:.*:)[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){2,8}$"
+_IPV4_TAIL = rf":({_OCTET}(?:\.{_OCTET}){{3}})$"
 
 
 def _hex(number: Column, width: int) -> Column:
@@ -20,76 +21,78 @@ def _hex(number: Column, width: int) -> Column:
 
 
 def _octets(text: Column) -> Column:
-    return F.concat(*[_hex(F.get(F.split(text, r"\."), i), 2) for i in range(4)])
-
-
-def _group_list(text: Column) -> Column:
-    """Colon-separated groups as four-digit texts; an empty text has none."""
-    groups = F.transform(F.split(text, ":"), lambda g: F.lpad(F.lower(g), 4, "0"))
-    return F.when(text == "", F.array().cast("array<string>")).when(text.rlike(_GROUPS), groups)
-
-
-def _ipv6_key(address: Column) -> Column:
-    tail = F.regexp_extract(address, _IPV4_TAIL, 2)
-    tail_hex = _octets(tail)
-    text = F.when(
-        tail != "",
-        F.concat(
-            F.regexp_extract(address, _IPV4_TAIL, 1),
-            F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4),
-        ),
-    ).otherwise(address)
-    halves = F.split(text, "::")
-    left, right = _group_list(F.get(halves, 0)), _group_list(F.get(halves, 1))
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    squeezed = F.when(
-        (F.size(halves) == 2) & (missing >= 1),
-        F.concat(left, F.array_repeat(F.lit("0000"), missing), right),
-    )
-    full = F.when((F.size(halves) == 1) & (F.size(left) == 8), left)
-    return F.concat(F.lit("6"), F.array_join(F.coalesce(full, squeezed), ""))
+    return F.array_join(F.transform(F.split(text, r"\."), lambda octet: _hex(octet, 2)), "")
+
+
+def _written_groups(text: Column) -> Column:
+    return F.filter(F.split(text, ":"), lambda group: group != "")
+
 
+def _ipv4_key(text: Column) -> Column:
+    return F.when(text.rlike(_IPV4), F.concat(F.lit("4"), _octets(text)))
 
-def ip_key(address: Column) -> Column:
-    return F.when(address.rlike(_IPV4), F.concat(F.lit("4"), _octets(address))).when(
-        address.contains(":"), _ipv6_key(address)
+
+def _ipv6_key(text: Column) -> Column:
+    """``text`` has hexadecimal groups only; "::" is filled up with zero groups."""
+    missing = F.lit(8) - F.size(_written_groups(text))
+    zeros = F.concat(F.lit(":"), F.repeat(F.lit("0:"), missing))
+    groups = F.transform(
+        _written_groups(F.replace(text, F.lit("::"), zeros)), lambda group: F.lpad(F.lower(group), 4, "0")
     )
+    fits = F.when(text.contains("::"), missing > 0).otherwise(missing == 0)
+    return F.when(text.rlike(_IPV6) & fits, F.concat(F.lit("6"), F.array_join(groups, "")))
 
 
-def _prefix_bits(cidr: Column, key: Column) -> Column:
-    """The prefix length, the full width when none is given, NULL when it is no valid one."""
-    width = (F.length(key) - 1) * 4
-    given = F.regexp_extract(cidr, r"/(\d{1,3})$", 1)
-    bits = F.when(~cidr.contains("/"), width).otherwise(F.nullif(given, F.lit("")).cast("int"))
-    return F.when(bits <= width, bits)
+def _hexadecimal_tail(text: Column) -> Column:
+    """An IPv6 address with its last 32 bits in dotted form, in groups only."""
+    tail = _octets(F.regexp_extract(text, _IPV4_TAIL, 1))
+    groups = F.concat(F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))
+    plain = F.regexp_replace(text, r"[^:]*\.[^:]*$", "")
+    return F.when(text.rlike(_IPV4_TAIL), F.concat(plain, groups)).otherwise(text)
 
 
-def cidr_bounds(cidr: Column) -> tuple[Column, Column, Column]:
-    """First key, last key and prefix length of a network; host bits are ignored.
+def generated(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns that later steps read and never compute again.
 
-    All three are NULL for text that is no network.
+    They are generated, so a filter on them stays above and is not rewritten in terms of
+    the columns they come from.
     """
-    key = ip_key(F.substring_index(cidr, "/", 1))
-    bits = _prefix_bits(cidr, key)
-    whole = (bits / 4).cast("int")
-    rest = bits % 4
-    kept = F.substring(key, F.lit(1), whole + 1)
-    digit = F.conv(F.substring(key, whole + 2, F.lit(1)), 16, 10).cast("int")
-    step = F.when(rest == 1, 8).when(rest == 2, 4).when(rest == 3, 2)
-    low_digit = digit - digit % step
+    line = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline(F.array(line)))
 
-    def padded(last_digit: Column, fill: str) -> Column:
-        head = F.when(rest == 0, kept).otherwise(F.concat(kept, F.lower(F.hex(last_digit.cast("bigint")))))
-        return F.rpad(head, F.length(key), F.lit(fill))
 
-    return (
-        F.when(bits.isNotNull(), padded(low_digit, "0")),
-        F.when(bits.isNotNull(), padded(low_digit + step - 1, "f")),
-        bits,
-    )
+def with_ip_keys(df: DataFrame, **addresses: str) -> DataFrame:
+    """``df`` with the key of each named address column."""
+    grouped = {f"__{name}": _hexadecimal_tail(F.col(column)) for name, column in addresses.items()}
+    keys = {
+        name: F.coalesce(_ipv4_key(F.col(column)), _ipv6_key(F.col(f"__{name}")))
+        for name, column in addresses.items()
+    }
+    return generated(generated(df, **grouped), **keys).drop(*grouped)
+
 
+def with_cidr_bounds(df: DataFrame, cidr: str, low: str, high: str) -> DataFrame:
+    """``df`` with the first and last key of a network, both NULL for text that is none.
+
+    Host bits are ignored; an address without prefix length is a network of its own.
+    """
+    text = F.col(cidr)
+    keyed = with_ip_keys(df.withColumn("__base", F.substring_index(text, "/", 1)), __key="__base")
+    width = (F.length("__key") - 1) * 4
+    given = F.regexp_extract(text, r"/(\d{1,3})$", 1).try_cast("int")
+    bits = F.when(text.contains("/"), given).otherwise(width)
+    sized = generated(keyed, __bits=F.when(bits <= width, bits))
+
+    whole = F.floor(F.col("__bits") / 4).cast("int")
+    rest = F.col("__bits") % 4
+    digit = F.conv(F.substring("__key", whole + 2, F.lit(1)), 16, 10).cast("int")
+    step = F.when(rest == 1, 8).when(rest == 2, 4).when(rest == 3, 2)
+    first_digit = digit - digit % step
+
+    def bound(last_digit: Column, fill: str) -> Column:
+        kept = F.substring("__key", F.lit(1), whole + 1)
+        head = F.when(rest == 0, kept).otherwise(F.concat(kept, F.lower(F.hex(last_digit.cast("bigint")))))
+        return F.rpad(head, F.length("__key"), F.lit(fill))
 
-def is_single_address(cidr: Column) -> Column:
-    """Whether a valid network holds exactly one address."""
-    low, high, _ = cidr_bounds(cidr)
-    return low == high
+    bounds = {low: bound(first_digit, "0"), high: bound(first_digit + step - 1, "f")}
+    return generated(sized, **bounds).drop("__base", "__key", "__bits")

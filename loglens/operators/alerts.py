@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,9 @@ from loglens.operators.summaries import percentile, read_positions
 from loglens.schema import ALERT_CONDITIONS_SCHEMA
 from loglens.session import broadcast_if_small
 
+# Workers get this module's functions with the task and need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ALL_HOSTS = "*"
 _DEFAULT_COOLDOWN = 30
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loglens.functions import agents
 from loglens.functions import fixed_values as fixed
 from loglens.functions import measures as m
-from loglens.functions.net import ip_key
+from loglens.functions.net import with_ip_keys
 from loglens.operators.ranges import join_ranges
 from loglens.operators.skew import HOT_ROWS, attach
 
@@ -23,9 +23,9 @@ def locate_addresses(requests: DataFrame, geo: DataFrame) -> DataFrame:
     places = [c for c in geo.columns if c not in ("first_ip", "last_ip")]
     addresses = requests.groupBy("remote_ip").agg(m.requests().alias("requests"))
     known = F.col("remote_ip").isNotNull() & ~F.col("remote_ip").isin(*_LOOPBACK)
-    keyed = addresses.withColumn("__ip", F.when(known, ip_key(F.col("remote_ip"))))
-    ranges = geo.select(ip_key(F.col("first_ip")).alias("__low"), ip_key(F.col("last_ip")).alias("__high"), *places)
-    found = join_ranges(keyed.select("remote_ip", "__ip"), "__ip", ranges, "__low", "__high")
+    keyed = with_ip_keys(addresses.filter(known).select("remote_ip"), ip="remote_ip")
+    ranges = with_ip_keys(geo, low="first_ip", high="last_ip").select("low", "high", *places)
+    found = join_ranges(keyed, "ip", ranges, "low", "high")
     return addresses.join(found.select("remote_ip", *places), "remote_ip", "left")
 
 

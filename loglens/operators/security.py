@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loglens.filters import in_range
 from loglens.functions import measures as m
 from loglens.functions import threats
-from loglens.functions.net import cidr_bounds, ip_key, is_single_address
+from loglens.functions.net import with_cidr_bounds, with_ip_keys
 from loglens.functions.times import micros
 from loglens.operators.ranges import join_ranges
 from loglens.operators.running import running_distinct, sessions, trailing_count, with_session
@@ -231,17 +231,17 @@ def ip_list_match(addresses: DataFrame, lists: DataFrame) -> DataFrame:
     ``addresses`` has ``ip``; ``lists`` has id, list ('white' or 'block'), cidr and note.
     Entries that are no network are skipped.
     """
-    low, high, _ = cidr_bounds(F.col("cidr"))
-    networks = lists.select(
-        F.col("list"), low.alias("__low"), high.alias("__high"),
+    networks = with_cidr_bounds(lists, "cidr", "low", "high").select(
+        "list", "low", "high",
         F.struct(
             "id", "cidr", F.coalesce("note", F.lit("")).alias("note"),
-            is_single_address(F.col("cidr")).alias("is_individual"),
+            (F.col("low") == F.col("high")).alias("is_individual"),
         ).alias("entry"),
-    ).filter(F.col("__low").isNotNull())
+    )
     distinct = addresses.select("ip").distinct()
-    keyed = distinct.withColumn("__ip", ip_key(F.regexp_replace("ip", "%.*$", "")))
-    matches = join_ranges(keyed, "__ip", networks, "__low", "__high")
+    unscoped = distinct.withColumn("__address", F.regexp_replace("ip", "%.*$", ""))
+    keyed = with_ip_keys(unscoped, key="__address").select("ip", "key")
+    matches = join_ranges(keyed, "key", networks, "low", "high")
 
     def first(name: str) -> Column:
         return F.min(F.when(F.col("list") == name, F.col("entry"))).alias(f"{name}list_entry")

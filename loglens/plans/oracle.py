@@ -356,7 +356,7 @@ QUALIFY row_number() OVER (PARTITION BY remote_ip ORDER BY COUNT(*) DESC, host)
     "ip_busy_hours": _IP_HOURS,
     "ip_modal_attrs": "WITH " + ",\n".join(
         f"""m_{name} AS (SELECT remote_ip, {column} AS v FROM requests WHERE {MONTH} AND {column} IS NOT NULL AND {column} <> ''
-  GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY remote_ip ORDER BY COUNT(*) DESC, {column}) = 1)"""
+  GROUP BY remote_ip, {column} QUALIFY row_number() OVER (PARTITION BY remote_ip ORDER BY COUNT(*) DESC, {column}) = 1)"""
         for name, column in (("b", "ua_browser"), ("o", "ua_os"), ("t", "tls_version"), ("p", "http_proto"))
     ) + """
 SELECT i.remote_ip, m_b.v AS browser, m_o.v AS os, m_t.v AS tls_version, m_p.v AS http_proto
