@@ -186,8 +186,7 @@ def sec_port_scan(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
         with_session(missing, "remote_ip", _AT, numbered),
         ["remote_ip", "session"], "missing_path", _AT, "id", "paths",
     )
-    found = event("port_scan_attempt", "high", unique_404_paths=F.col("paths"))
-    return _emit(counted, (F.col("paths") > s.scan_paths_over, found))
+    return _emit(counted, _scan_rule(s))
 
 
 def sec_auth_fail(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
@@ -195,14 +194,39 @@ def sec_auth_fail(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
     posts = requests.filter(threats.is_login_attempt())
     counted = trailing_count(_timed(posts), "remote_ip", _AT, "id", s.login_seconds * _SECOND, "attempts")
     counted = counted.withColumn("attempts", F.least("attempts", F.lit(s.login_cap)).cast("int"))
-    found = event("repeated_auth_fail", "high", login_attempts=F.col("attempts"))
-    return _emit(counted, (F.col("attempts") > s.logins_over, found))
+    return _emit(counted, _login_rule(s))
+
+
+def _scan_rule(s: RuleSettings) -> tuple[Column, Column]:
+    return (
+        F.col("paths") > s.scan_paths_over,
+        event("port_scan_attempt", "high", unique_404_paths=F.col("paths")),
+    )
+
+
+def _login_rule(s: RuleSettings) -> tuple[Column, Column]:
+    return (
+        F.col("attempts") > s.logins_over,
+        event("repeated_auth_fail", "high", login_attempts=F.col("attempts")),
+    )
+
+
+def single_request_events(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
+    """The events of the rules about one request alone."""
+    return _emit(requests, *_rules_of_one_request(s).values())
+
+
+def counted_events(counted: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
+    """The events of the rules about the past, from rows that carry all counts."""
+    return _emit(
+        counted, _rate_rule(s), _empty_agent_rule(s), _options_rule(s), _scan_rule(s), _login_rule(s)
+    )
 
 
 def security_events(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
     """All events of all rules."""
     parts = [
-        _emit(requests, *_rules_of_one_request(s).values()),
+        single_request_events(requests, s),
         _emit(sec_window(requests, s), _rate_rule(s), _empty_agent_rule(s), _options_rule(s)),
         sec_port_scan(requests, s),
         sec_auth_fail(requests, s),

@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.filters import RequestFilter, filter_requests, stream_filter
 from loglens.functions import text, tls
 from loglens.operators import alerts, analytics, derived, enrich, live, paging, parse, profiles, rollups, security
 from loglens.plans import fixtures as fx
-from loglens.session import configure
+from loglens.session import configure, state_store
 from loglens.sources import lines, sinks
+from loglens.streaming import pipeline, rollup
+from loglens.streaming import security as stream_rules
 from loglens.timerange import resolve_time_range
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,9 +47,24 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- reading, storing ----------------------------------------------------------------
 
+def _source_of(path: str) -> Column:
+    return F.regexp_extract(path, "log_source=([^/]+)", 1)
+
+
+def _per_source(read: DataFrame) -> DataFrame:
+    return read.groupBy(_source_of("log_source").alias("log_source")).agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.max(lines.line_time(F.col("value"))).cast("timestamp_ntz").alias("newest"),
+    )
+
+
 def _read_log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    path = fx.stored_lines(spark, sf)
-    return lines.read_log_lines(spark, path).select(F.length("value").alias("length"), F.md5("value").alias("md5"))
+    return _per_source(lines.read_log_lines(spark, fx.stored_lines(spark, sf)))
+
+
+def _tail_log_stream(spark: SparkSession, sf: str) -> DataFrame:
+    stream = lines.tail_log_stream(spark, fx.stored_lines(spark, sf))
+    return _per_source(_run_to_end(spark, stream, "tailed"))
 
 
 def _backfill(spark: SparkSession, sf: str) -> DataFrame:
@@ -280,6 +297,52 @@ def _live_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return live.live_metrics_filtered(fx.requests(spark, sf), f, seconds=LIVE_SECONDS, step=LIVE_STEP)
 
 
+def _run_to_end(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """Run a streaming query over all there is and return what it stored."""
+    path = fx.scratch(spark, name)
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", fx.scratch(spark, f"{name}-checkpoint"))
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def _stream_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    found = _run_to_end(spark, rollup.stream_rollup(fx.request_stream(spark, sf), "1 hour"), "rollup")
+    return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _stream_live_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    stream = rollup.stream_live_metrics(fx.request_stream(spark, sf), seconds=LIVE_SECONDS, step=LIVE_STEP)
+    found = _run_to_end(spark, stream, "live")
+    return found.withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+
+
+def _stream_security(spark: SparkSession, sf: str) -> DataFrame:
+    with state_store(spark):
+        stream = stream_rules.stream_security(fx.request_stream(spark, sf), RULES)
+        found = _run_to_end(spark, stream, "security")
+    return found.drop("id", "alert_sent").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _stream_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    stored, errors = fx.scratch(spark, "requests"), fx.scratch(spark, "errors")
+    dimensions = pipeline.Dimensions(fx.logger_hosts(spark), None, fx.geo_ranges(spark, sf))
+    tail = lines.tail_log_stream(spark, fx.stored_lines(spark, sf)).withColumn("log_source", _source_of("log_source"))
+    query = pipeline.stream_pipeline(tail, stored, errors, fx.scratch(spark, "checkpoint"), dimensions)
+    query.trigger(availableNow=True).start().awaitTermination()
+    requests = spark.read.parquet(stored).select(
+        F.col("ts").cast("timestamp_ntz").alias("ts"), "log_source", "host", "remote_ip", "path", "status",
+        "user_agent", "ua_browser", "ua_device", "is_bot", "threat_score", "country_code", "city",
+    )
+    return requests
+
+
 def _from(report: Query, derive: Callable[..., DataFrame], **options) -> Query:
     return lambda spark, sf: derive(report(spark, sf), **options)
 
@@ -287,6 +350,7 @@ def _from(report: Query, derive: Callable[..., DataFrame], **options) -> Query:
 QUERIES: dict[str, Query] = {
     # sources and sinks
     "read_log_lines": _read_log_lines,
+    "tail_log_stream": _tail_log_stream,
     "backfill": _backfill,
     "sink_requests": _sink_requests,
     "sink_parse_errors": _sink_parse_errors,
@@ -391,6 +455,11 @@ QUERIES: dict[str, Query] = {
     "alert_evaluate": _fired,
     "alert_record": _alert_record,
     "alert_history": _alert_history,
+    # streams
+    "stream_rollup": _stream_rollup,
+    "stream_live_metrics": _stream_live_metrics,
+    "stream_security": _stream_security,
+    "stream_pipeline": _stream_pipeline,
     # live and derived
     "live_metrics": _live,
     "live_metrics_filtered": _live_filtered,

@@ -205,3 +205,10 @@ def stored_lines(spark: SparkSession, sf_dir: str) -> str:
     path = scratch(spark, "lines")
     raw_lines(spark, sf_dir).select("value", "log_source").write.partitionBy("log_source").text(path)
     return path
+
+
+def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bare requests as a stream."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return as_requests(events)

@@ -238,6 +238,10 @@ _PARSED = f"""WITH parsed AS (
 """
 
 
+_LINES = """SELECT concat('source', id % 3) AS log_source, COUNT(*) AS lines,
+  MAX(CASE WHEN id % 5 > 0 THEN ts END) AS newest FROM requests WHERE id % 83 <> 0 GROUP BY ALL"""
+
+
 def _parsed(columns: str) -> str:
     return f"{_PARSED} SELECT {columns} FROM parsed"
 
@@ -248,6 +252,8 @@ _OVER_REQUESTS = {
   SELECT MAX(ts) AS last_ts FROM requests WHERE id % 3 = 1 AND ts < TIMESTAMP '2024-01-20')
 SELECT concat('source', id % 3) AS log_source, COUNT(*) AS lines FROM requests, known
 WHERE id % 83 <> 0 AND id % 5 > 0 AND ts >= TIMESTAMP '2024-01-10' AND (id % 3 <> 1 OR ts > last_ts) GROUP BY ALL""",
+    "read_log_lines": _LINES,
+    "tail_log_stream": _LINES,
     "sink_requests": """SELECT CAST(ts AS DATE) AS date, COUNT(*) AS rows, CAST(SUM(response_bytes) AS BIGINT) AS bytes_out,
   MAX(ts) AS last_ts FROM requests GROUP BY ALL""",
     "sink_parse_errors": """SELECT concat('source', id % 3) AS log_source, 'line is not valid JSON' AS error_msg,
@@ -405,6 +411,15 @@ FROM (VALUES (1, 'errors', TIMESTAMP '2024-01-01 02:00:00'), (2, 'rate', NULL),
     "alert_history": f"""WITH RECURSIVE {_FIRED}
 SELECT f.rule_id, name AS rule_name, triggered_at, details FROM fired f LEFT JOIN rules USING (rule_id)
 ORDER BY triggered_at DESC, f.rule_id LIMIT 20 OFFSET 3""",
+    # streams give out what the watermark (five minutes behind the newest request) has closed
+    "stream_rollup": f"""SELECT * FROM ({_rollup('hour')})
+WHERE ts + INTERVAL 1 HOUR <= (SELECT MAX(ts) - INTERVAL 5 MINUTE FROM requests)""",
+    "stream_live_metrics": f"""SELECT * FROM ({_live('TRUE')})
+WHERE window_end <= (SELECT MAX(ts) - INTERVAL 5 MINUTE FROM base)""",
+    "stream_security": _EVENTS + "SELECT * FROM events_found",
+    "stream_pipeline": f"""{_PARSED} SELECT p.ts, p.log_source, CASE WHEN p.host = 'fallback.example.com' THEN 'unknown' ELSE p.host END AS host,
+  p.remote_ip, p.path, p.status, p.user_agent, r.ua_browser, r.ua_device, r.is_bot, r.threat_score, r.country_code, r.city
+FROM parsed p JOIN requests r USING (ts)""",
     # live and derived
     "live_metrics": _live("TRUE"),
     "live_metrics_filtered": _live("host = 'site2.example.com' AND method = 'POST' AND contains(path, '/p')"),
