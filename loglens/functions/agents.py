@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loglens.functions.fixed_values import BOT_WORDS
-from loglens.functions.text import words
+from loglens.functions.text import names_any
 
 
 @dataclass(frozen=True)
@@ -71,13 +71,9 @@ def _first_label(agent: str, rules: tuple[AgentRule, ...], other: str) -> str:
     return f"CASE {cases} ELSE {_text(other)} END"
 
 
-def names_a_bot(agent: str = "user_agent") -> Column:
-    """Whether the user agent names a known bot, scanner or tool; false when missing."""
-    return F.coalesce(F.col(agent).rlike(words(*BOT_WORDS)), F.lit(False))
-
-
 def is_bot(agent: str = "user_agent") -> Column:
-    return F.expr(f"coalesce({agent}, '') = ''") | names_a_bot(agent)
+    """Whether the user agent is missing or names a known bot, scanner or tool."""
+    return F.expr(f"coalesce({agent}, '') = '' OR coalesce({names_any(f'lower({agent})', BOT_WORDS)}, false)")
 
 
 def browser(agent: str = "user_agent") -> Column:
@@ -88,7 +84,5 @@ def system(agent: str = "user_agent") -> Column:
     return F.expr(f"CASE WHEN {agent} <> '' THEN {_first_label(agent, SYSTEM_RULES, UNKNOWN)} END")
 
 
-def device(agent: str = "user_agent") -> Column:
-    return F.when(is_bot(agent), F.lit("bot")).otherwise(
-        F.expr(_first_label(agent, DEVICE_RULES, "desktop"))
-    )
+def device(agent: str = "user_agent", bot: str = "is_bot") -> Column:
+    return F.expr(f"CASE WHEN {bot} THEN 'bot' ELSE {_first_label(agent, DEVICE_RULES, 'desktop')} END")

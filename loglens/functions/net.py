@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglens.functions.columns import generated
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 # Groups of up to four digits, "::" at most once and no other colon at either end.
@@ -51,16 +53,6 @@ def _hexadecimal_tail(text: Column) -> Column:
     return F.when(text.rlike(_IPV4_TAIL), F.concat(plain, groups)).otherwise(text)
 
 
-def generated(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with further columns that later steps read and never compute again.
-
-    They are generated, so a filter on them stays above and is not rewritten in terms of
-    the columns they come from.
-    """
-    line = F.struct(*[column.alias(name) for name, column in columns.items()])
-    return df.select("*", F.inline(F.array(line)))
-
-
 def with_ip_keys(df: DataFrame, **addresses: str) -> DataFrame:
     """``df`` with the key of each named address column."""
     grouped = {f"__{name}": _hexadecimal_tail(F.col(column)) for name, column in addresses.items()}

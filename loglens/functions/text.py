@@ -61,6 +61,9 @@ def status_class(status: Column) -> Column:
     )
 
 
-def words(*alternatives: str) -> str:
-    """A case-insensitive pattern that finds any of the given plain words."""
-    return "(?i)(?:" + "|".join(word.replace(".", r"\.") for word in alternatives) + ")"
+def names_any(text: str, words: tuple[str, ...]) -> str:
+    """SQL text of whether a lower-case text contains any of the words.
+
+    Plain searches, several times faster than one pattern with as many alternatives.
+    """
+    return "(" + " OR ".join(f"contains({text}, '{word}')" for word in words) + ")"

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loglens.functions import fixed_values as fixed
-from loglens.functions.text import words
+from loglens.functions.text import names_any
 
 # "U" makes \w and \s cover all scripts, "d" makes only \n a line end.
 _ATTACK_FLAGS = "(?iUd)"
@@ -38,12 +38,15 @@ def is_traversal() -> Column:
     return lower_uri().rlike(_ATTACK_FLAGS + fixed.TRAVERSAL_PATTERN)
 
 
+_AGENT = "lower(coalesce(user_agent, ''))"
+
+
 def is_scanner() -> Column:
-    return lower_agent().rlike(words(*fixed.SCANNER_WORDS))
+    return F.expr(names_any(_AGENT, fixed.SCANNER_WORDS))
 
 
 def is_bad_bot() -> Column:
-    return lower_agent().rlike(words(*fixed.BAD_BOT_WORDS)) & ~is_scanner()
+    return F.expr(names_any(_AGENT, fixed.BAD_BOT_WORDS)) & ~is_scanner()
 
 
 def has_no_agent() -> Column:

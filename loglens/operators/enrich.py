@@ -42,13 +42,9 @@ def classify_agents(requests: DataFrame) -> DataFrame:
 
     The rules are expressions inside the scan stage: no join, no shuffle.
     """
-    return requests.withColumns(
-        {
-            "ua_browser": agents.browser(),
-            "ua_os": agents.system(),
-            "ua_device": agents.device(),
-            "is_bot": agents.is_bot(),
-        }
+    flagged = requests.withColumn("is_bot", agents.is_bot())
+    return flagged.withColumns(
+        {"ua_browser": agents.browser(), "ua_os": agents.system(), "ua_device": agents.device()}
     )
 
 
@@ -58,14 +54,16 @@ def agent_dimension(requests: DataFrame) -> DataFrame:
 
 
 def threat_score() -> Column:
-    agent = F.coalesce("user_agent", F.lit(""))
+    """Points for a bot's or a missing user agent and for answers that probing provokes."""
+    missing = F.coalesce("user_agent", F.lit("")) == ""
     score = (
-        F.when(agents.names_a_bot(), fixed.BOT_SCORE).otherwise(0)
-        + F.when(agent == "", fixed.EMPTY_AGENT_SCORE).otherwise(0)
+        F.when(F.col("is_bot") & ~missing, fixed.BOT_SCORE).otherwise(0)
+        + F.when(missing, fixed.EMPTY_AGENT_SCORE).otherwise(0)
         + F.when(F.col("status").isin(*fixed.PROBE_STATUSES), fixed.PROBE_STATUS_SCORE).otherwise(0)
     )
     return F.least(score, F.lit(fixed.MAX_SCORE)).cast("smallint")
 
 
-def score_threats(requests: DataFrame) -> DataFrame:
-    return requests.withColumn("threat_score", threat_score())
+def score_threats(classified: DataFrame) -> DataFrame:
+    """Requests, already classified by user agent, with their threat score."""
+    return classified.withColumn("threat_score", threat_score())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loglens.functions import fixed_values as fixed
 from loglens.functions import measures as m
 from loglens.functions import tls
+from loglens.functions.columns import generated
 from loglens.functions.text import (
     authority,
     clean_host,
@@ -27,19 +28,64 @@ _FALSY_TEXT = "('', '0', '0.0', 'false')"
 
 ROW, SKIP, ERROR = "row", "skip", "error"
 
-
-def _at(path: str, kind: str = "string") -> str:
-    """SQL text of a field of the parsed entry."""
-    return f"try_variant_get({_ENTRY}, '$.{path}', '{kind}')"
-
-
-def _get(path: str, kind: str = "string") -> Column:
-    return F.expr(_at(path, kind))
-
-
-def _first_truthy(*paths: str) -> Column:
-    """The first given field that is neither missing, empty nor zero; the last one as it is."""
-    *leading, last = map(_at, paths)
+# What is read of an entry, in one pass. Numbers are kept as they are written; where the kind
+# of a value decides its meaning it is kept whole, as a VARIANT.
+_ENTRY_SCHEMA = """
+  msg STRING, ts STRING, time STRING, timestamp STRING, logger STRING,
+  request STRUCT<
+    client_ip STRING, remote_ip STRING, remote_addr STRING, host STRING, method STRING, uri STRING, url STRING,
+    proto STRING, bytes_read STRING,
+    headers STRUCT<Host VARIANT, `User-Agent` VARIANT, Referer VARIANT, Referrer VARIANT>,
+    tls STRUCT<version VARIANT, cipher_suite VARIANT, proto STRING, server_name STRING, resumed VARIANT, ech VARIANT>>,
+  response STRUCT<status STRING, size STRING>,
+  status STRING, size STRING, bytes_written STRING, bytes_read STRING, duration STRING, malformed STRING"""
+_READING = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"}
+
+_TEXTS = {
+    "msg": "msg",
+    "ts": "ts", "time": "time", "timestamp": "timestamp",
+    "logger": "logger",
+    "client_ip": "request.client_ip", "remote_ip": "request.remote_ip", "remote_addr": "request.remote_addr",
+    "host_field": "request.host",
+    "server_name": "request.tls.server_name",
+    "method": "request.method",
+    "uri": "request.uri", "url": "request.url",
+    "protocol": "request.proto",
+    "status": "status", "response_status": "response.status",
+    "size": "size", "response_size": "response.size", "bytes_written": "bytes_written",
+    "bytes_read": "bytes_read", "request_bytes_read": "request.bytes_read",
+    "duration": "duration",
+    "alpn": "request.tls.proto",
+    "version": "request.tls.version", "cipher": "request.tls.cipher_suite",
+}
+_FLAGS = {"resumed": "request.tls.resumed", "ech": "request.tls.ech"}
+_HEADERS = {"host_header": "Host", "user_agent": "User-Agent", "referer": "Referer", "referrer": "Referrer"}
+
+
+def _written_fields() -> dict[str, Column]:
+    """Every field of the entry as it is written. A header is a list of values or, by itself, a
+    text."""
+    found = {name: F.col(f"{_ENTRY}.{path}") for name, path in _TEXTS.items()}
+    for name, path in _FLAGS.items():
+        found[name] = F.expr(f"try_variant_get({_ENTRY}.{path}, '$', 'boolean')")
+    for name, header in _HEADERS.items():
+        value = f"{_ENTRY}.request.headers.`{header}`"
+        found[f"{name}_list"] = F.expr(f"try_variant_get({value}, '$', 'array<string>')")
+        found[f"{name}_text"] = F.expr(f"try_variant_get({value}, '$', 'string')")
+    return found
+
+
+def _is_json() -> Column:
+    """Whether a line is JSON at all; a field of an unexpected kind only leaves that field out."""
+    line = F.col("line")
+    readable = F.try_parse_json(line).isNotNull()
+    is_object = F.when(F.col(f"{_ENTRY}.malformed").isNull(), F.lit(True)).otherwise(readable)
+    return F.when(line.startswith("{"), line.endswith("}") & is_object).otherwise(readable)
+
+
+def _first_truthy(*fields: str) -> Column:
+    """The first field that is neither missing, empty nor zero; the last one as it is."""
+    *leading, last = fields
     present = [f"CASE WHEN {field} NOT IN {_FALSY_TEXT} THEN {field} END" for field in leading]
     return F.expr(f"coalesce({', '.join([*present, last])})")
 
@@ -51,36 +97,29 @@ def _first_text(*fields: str) -> Column:
 
 
 def _header(name: str) -> str:
-    """SQL text of a request header: the first of a list, or the text itself."""
-    path = f'request.headers["{name}"]'
-    values = _at(path, "array<string>")
-    return f"CASE WHEN {values} IS NOT NULL THEN get({values}, 0) ELSE {_at(path)} END"
+    return f"CASE WHEN {name}_list IS NOT NULL THEN get({name}_list, 0) ELSE {name}_text END"
 
 
-def _raw_fields() -> dict[str, Column]:
-    """The fields of the JSON entry as they are written, numbers still as text."""
+def _chosen_fields() -> dict[str, Column]:
+    """One value for each thing an entry may say in several places."""
     return {
-        "msg": _get("msg"),
+        **{
+            name: F.col(name)
+            for name in (
+                "msg", "host_field", "server_name", "method", "protocol", "duration",
+                "alpn", "version", "cipher", "resumed", "ech",
+            )
+        },
         "seconds": _first_truthy("ts", "time", "timestamp"),
-        "logger": F.coalesce(_get("logger"), F.lit("")),
-        "address": _first_text(*[_at(f"request.{field}") for field in ("client_ip", "remote_ip", "remote_addr")]),
-        "host_field": _get("request.host"),
-        "server_name": _get("request.tls.server_name"),
-        "host_header": F.expr(_header("Host")),
-        "method": _get("request.method"),
-        "uri": _first_text(_at("request.uri"), _at("request.url")),
-        "protocol": _get("request.proto"),
-        "status": _first_truthy("status", "response.status"),
-        "response_size": _first_truthy("size", "response.size", "bytes_written"),
-        "request_size": _first_truthy("bytes_read", "request.bytes_read"),
-        "duration": _get("duration"),
-        "user_agent": F.expr(_header("User-Agent")),
-        "referer": _first_text(_header("Referer"), _header("Referrer")),
-        "version": _get("request.tls.version", "variant"),
-        "cipher": _get("request.tls.cipher_suite", "variant"),
-        "alpn": _get("request.tls.proto"),
-        "resumed": _get("request.tls.resumed", "boolean"),
-        "ech": _get("request.tls.ech", "boolean"),
+        "logger": F.coalesce("logger", F.lit("")),
+        "address": _first_text("client_ip", "remote_ip", "remote_addr"),
+        "host_header": F.expr(_header("host_header")),
+        "uri": _first_text("uri", "url"),
+        "status": _first_truthy("status", "response_status"),
+        "response_size": _first_truthy("size", "response_size", "bytes_written"),
+        "request_size": _first_truthy("bytes_read", "request_bytes_read"),
+        "user_agent": F.expr(_header("user_agent")),
+        "referer": _first_text(_header("referer"), _header("referrer")),
     }
 
 
@@ -162,19 +201,19 @@ def parse_lines(
     ``lines`` has ``value`` and ``log_source``; ``logger_hosts`` (logger_id, hosts) and
     ``source_labels`` (log_source, label) name the host of requests that do not.
     """
-    # A line is parsed as a generated column: a filter on a field then works on the parsed
-    # entry and is not rewritten to parse the line once more for every field it reads.
-    entry = F.explode(F.array(F.try_parse_json(strip(F.col("value"))))).alias(_ENTRY)
-    raw = lines.select("value", "log_source", entry).select(
-        "value", "log_source",
-        strip(F.col("value")).alias("line"), F.col(_ENTRY).isNotNull().alias("is_json"),
-        *m.named(_raw_fields()),
+    # Each line is parsed once and judged once: generated columns are not rewritten into the
+    # filters that use them.
+    line = strip(F.col("value"))
+    entries = generated(lines.select("value", "log_source", line.alias("line")), **{_ENTRY: F.from_json("line", _ENTRY_SCHEMA, _READING)})
+    written = entries.select(
+        "value", "log_source", "line", _is_json().alias("is_json"), *m.named(_written_fields())
     )
+    chosen = written.select("value", "log_source", "line", "is_json", *m.named(_chosen_fields()))
     outcome, error = _outcome()
+    judged = generated(chosen, outcome=outcome, error_msg=error)
     fields = {name: _cut(name, value) for name, value in _fields().items()}
-    rows = raw.select(
-        "value", "log_source",
-        outcome.alias("outcome"), error.alias("error_msg"),
+    rows = judged.select(
+        "value", "log_source", "outcome", "error_msg",
         *m.named(fields),
         named_host().alias("__named"),
         F.substring_index("logger", ".", -1).alias("__logger"),

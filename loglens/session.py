@@ -19,6 +19,9 @@ _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Generated methods beyond this size are not compiled by the JVM and run slowly; wide
+    # projections then use smaller ones.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # A JSON object may repeat a key; the last one wins, as in common parsers.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
