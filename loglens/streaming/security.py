@@ -53,13 +53,12 @@ _MARK = T.StructType([T.StructField("known", T.BooleanType())])
 
 def trailing_counts(earlier: list[int], arrivals: np.ndarray, span: int, cap: int) -> tuple[np.ndarray, list[int]]:
     """For sorted arrivals, how many came within ``span`` up to each, and the times to keep."""
-    times = np.concatenate([np.asarray(earlier, dtype="int64"), arrivals])
-    times.sort(kind="stable")
-    first = np.searchsorted(times, arrivals - span, side="left")
-    own = np.searchsorted(times, arrivals, side="left")
-    # Arrivals at the same instant count in their order.
-    place = np.arange(len(arrivals)) - np.searchsorted(arrivals, arrivals, side="left")
-    counts = np.minimum(own + place + 1 - first, cap)
+    before = np.sort(np.asarray(earlier, dtype="int64"))
+    times = np.sort(np.concatenate([before, arrivals]))
+    # Up to each arrival there are the earlier ones not after it and the new ones in order.
+    so_far = np.searchsorted(before, arrivals, side="right") + np.arange(1, len(arrivals) + 1)
+    gone = np.searchsorted(times, arrivals - span, side="left")
+    counts = np.minimum(so_far - gone, cap)
     kept = times[times >= (times[-1] - span)][-cap:] if len(times) else times
     return counts, kept.tolist()
 
@@ -80,17 +79,13 @@ class AddressRules(StatefulProcessor):
     def _times(self, state) -> list[int]:
         return list(state.get()[0]) if state.exists() else []
 
-    def _forget_session(self) -> None:
-        self.missing.clear()
-        self.logins.clear()
-
     def _count_paths(self, rows: pd.DataFrame) -> list[int]:
         last, paths = self.seen.get() if self.seen.exists() else (None, 0)
         gap = self.settings["session_gap_seconds"] * _SECOND
         counts = []
         for at, path in zip(rows["at_us"], rows["missing_path"]):
             if last is not None and at - last > gap:
-                self._forget_session()
+                self.missing.clear()
                 paths = 0
             last = at if last is None else max(last, at)
             if path is not None and not pd.isna(path):
@@ -110,7 +105,6 @@ class AddressRules(StatefulProcessor):
         in_window, kept = trailing_counts(self._times(self.arrivals), at, s["rate_seconds"] * _SECOND, s["rate_cap"])
         self.arrivals.update((kept,))
 
-        # Paths first: a new session also forgets the login attempts.
         paths = self._count_paths(batch)
         is_login = batch["is_login"].to_numpy(dtype=bool)
         attempts = np.zeros(len(batch), dtype="int64")
@@ -136,9 +130,8 @@ class AddressRules(StatefulProcessor):
         yield batch.loc[raised, _COUNTED.fieldNames()].astype({"in_window": "int32", "attempts": "int32"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.arrivals.clear()
-        self.seen.clear()
-        self._forget_session()
+        for state in (self.arrivals, self.logins, self.seen, self.missing):
+            state.clear()
         return iter([])
 
     def close(self) -> None:
