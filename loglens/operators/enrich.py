@@ -22,11 +22,12 @@ def locate_addresses(requests: DataFrame, geo: DataFrame) -> DataFrame:
     """
     places = [c for c in geo.columns if c not in ("first_ip", "last_ip")]
     addresses = requests.groupBy("remote_ip").agg(m.requests().alias("requests"))
-    known = F.col("remote_ip").isNotNull() & ~F.col("remote_ip").isin(*_LOOPBACK)
-    keyed = with_ip_keys(addresses.filter(known).select("remote_ip"), ip="remote_ip")
+    sought = F.when(~F.col("remote_ip").isin(*_LOOPBACK), F.col("remote_ip"))
+    keyed = with_ip_keys(addresses.withColumn("__sought", sought), ip="__sought")
     ranges = with_ip_keys(geo, low="first_ip", high="last_ip").select("low", "high", *places)
-    found = join_ranges(keyed, "ip", ranges, "low", "high")
-    return addresses.join(found.select("remote_ip", *places), "remote_ip", "left")
+    found = join_ranges(keyed, "ip", ranges, "low", "high", how="left")
+    place = F.max(F.when(F.col("low").isNotNull(), F.struct(*places)))
+    return found.groupBy("remote_ip", "requests").agg(place.alias("place")).select("remote_ip", "requests", "place.*")
 
 
 def enrich_geo(requests: DataFrame, geo: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:

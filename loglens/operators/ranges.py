@@ -42,14 +42,20 @@ def _address_cells(key: Column) -> Column:
     )
 
 
-def join_ranges(addresses: DataFrame, key: str, ranges: DataFrame, low: str, high: str) -> DataFrame:
-    """Pairs of an address and a range with ``low <= key <= high`` (all are address keys)."""
+def join_ranges(
+    addresses: DataFrame, key: str, ranges: DataFrame, low: str, high: str, how: str = "inner"
+) -> DataFrame:
+    """Pairs of an address and a range with ``low <= key <= high`` (all are address keys).
+
+    With ``how="left"`` every address also stays, without range, once or more.
+    """
     valid = (F.length(low) == F.length(high)) & (F.substring(low, 1, 1) == F.substring(high, 1, 1))
     filed = ranges.filter(valid & (F.col(low) <= F.col(high))).withColumn(
         _CELL, F.explode(_range_cells(F.col(low), F.col(high)))
     )
-    looked_up = addresses.filter(F.col(key).isNotNull()).withColumn(
-        _CELL, F.explode(_address_cells(F.col(key)))
+    spread = F.explode_outer if how == "left" else F.explode
+    looked_up = addresses.withColumn("__lookup", spread(_address_cells(F.col(key))))
+    within = (
+        (F.col("__lookup") == F.col(_CELL)) & (F.col(key) >= F.col(low)) & (F.col(key) <= F.col(high))
     )
-    within = (F.col(key) >= F.col(low)) & (F.col(key) <= F.col(high))
-    return looked_up.join(filed, _CELL).filter(within).drop(_CELL)
+    return looked_up.join(filed, within, how).drop(_CELL, "__lookup")

@@ -10,8 +10,8 @@ WITH base AS (
     CASE WHEN event_type = 'signup' THEN '/login' ELSE concat('/', event_type, '/', k % 25) END AS path,
     CASE WHEN k = 97 THEN 'id=1 union select x' WHEN k = 96 THEN 'q=<script>'
          WHEN k = 95 THEN 'f=../../etc/passwd' WHEN k % 10 = 0 THEN concat('page=', k) END AS query,
-    CASE WHEN event_type = 'error' THEN CASE k % 4 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 500 ELSE 503 END
-         WHEN k % 20 = 0 THEN 304 ELSE 200 END AS status,
+    CAST(CASE WHEN event_type = 'error' THEN CASE k % 4 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 500 ELSE 503 END
+              WHEN k % 20 = 0 THEN 304 ELSE 200 END AS SMALLINT) AS status,
     CAST(floor(value * 1000) AS BIGINT) AS response_bytes,
     CASE WHEN event_type IN ('signup', 'purchase') THEN CAST(k * 16 AS BIGINT) END AS request_bytes,
     CASE WHEN k % 50 = 7 THEN NULL ELSE CAST(floor(value * 10) AS INT) END AS duration_ms,
@@ -47,8 +47,8 @@ requests AS (
     CASE k % 8 WHEN 2 THEN NULL WHEN 3 THEN 'Windows 10' WHEN 4 THEN 'Linux' WHEN 5 THEN 'iOS 17' ELSE 'Other' END AS ua_os,
     CASE k % 8 WHEN 3 THEN 'desktop' WHEN 4 THEN 'desktop' WHEN 5 THEN 'mobile' ELSE 'bot' END AS ua_device,
     k % 8 IN (0, 1, 2, 7) AS is_bot,
-    CASE WHEN k % 8 IN (0, 1, 7) THEN 40 WHEN k % 8 = 2 THEN 15 ELSE 0 END
-      + CASE WHEN status IN (400, 401, 403, 404, 405, 429) THEN 5 ELSE 0 END AS threat_score,
+    CAST(CASE WHEN k % 8 IN (0, 1, 7) THEN 40 WHEN k % 8 = 2 THEN 15 ELSE 0 END
+      + CASE WHEN status IN (400, 401, 403, 404, 405, 429) THEN 5 ELSE 0 END AS SMALLINT) AS threat_score,
     g.country_code, g.country_name, g.city, g.latitude, g.longitude
   FROM base b LEFT JOIN geo g ON b.ip_num BETWEEN g.lo AND g.hi
 )
