@@ -179,18 +179,19 @@ rules(rule_id, name, metric, threshold, scope, pause, since) AS (VALUES
   (2, 'rate', 'request_rate', 0.3, '*', 60, NULL),
   (3, 'slow site1', 'latency_p95', 1000, 'site1.example.com', 240, NULL),
   (5, 'bytes', 'bandwidth', 200000, '*', 600, NULL)),
-breaches AS (
+breaches AS MATERIALIZED (
   SELECT rule_id, tick, m.metric, round_even(CAST(value AS DOUBLE), digits) AS shown,
     CAST(threshold AS DOUBLE) AS threshold, pause, since
   FROM metrics m JOIN rules r ON m.metric = r.metric AND m.scope = r.scope AND m.value > r.threshold),
+following AS MATERIALIZED (
+  SELECT b.rule_id, b.tick, n.tick AS next FROM breaches b
+  ASOF JOIN breaches n ON b.rule_id = n.rule_id AND b.tick + to_minutes(b.pause) <= n.tick),
 chain AS (
   SELECT rule_id, MIN(tick) AS tick FROM breaches
   WHERE since IS NULL OR tick - since >= to_minutes(pause) GROUP BY rule_id
   UNION ALL
-  SELECT c.rule_id, (SELECT MIN(b.tick) FROM breaches b
-                     WHERE b.rule_id = c.rule_id AND b.tick - c.tick >= to_minutes(b.pause)) AS tick
-  FROM chain c WHERE c.tick IS NOT NULL),
-fired AS (
+  SELECT c.rule_id, f.next FROM chain c JOIN following f ON f.rule_id = c.rule_id AND f.tick = c.tick),
+fired AS MATERIALIZED (
   SELECT b.rule_id, b.tick AS triggered_at,
     concat('{{"metric":"', b.metric, '","value":', CASE WHEN b.shown < 1e7 THEN CAST(b.shown AS VARCHAR) ELSE '?' END,
            ',"threshold":', CAST(b.threshold AS VARCHAR), '}}') AS details
