@@ -29,6 +29,8 @@ from loglens.llm.quality import sample
 BITS = 20
 SIZE = 1 << BITS
 STEM = 4
+#: What a class has seen less often is left to backoff: one text's chance words say nothing about its class.
+LEAST_SEEN = 6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CACHE = 400_000
 
@@ -72,8 +74,8 @@ def _level(keys: np.ndarray) -> tuple[np.ndarray, float]:
     found, counts = np.unique(keys, return_counts=True)
     d, total = _discount(counts), max(1, counts.sum())
     share = np.zeros(SIZE, np.float32)
-    share[found] = (counts - d) / total
-    return share, float(d * len(found) / total) if len(found) else 1.0
+    share[found] = np.where(counts >= LEAST_SEEN, counts - d, 0) / total
+    return share, float(1 - share.sum(dtype=float))
 
 
 @dataclass
@@ -107,10 +109,10 @@ def class_model(texts: list[np.ndarray]) -> ClassModel:
     kept, first, counts = np.unique(keys, return_index=True, return_counts=True)
     d = _discount(counts)
     of = np.bincount(history, minlength=SIZE)
-    kinds = np.bincount(history[first], minlength=SIZE)
-    left = np.where(of > 0, d * kinds / np.maximum(1, of), 1.0).astype(np.float32)
+    share = np.where(counts >= LEAST_SEEN, counts - d, 0) / of[history[first]]
+    left = (1 - np.bincount(history[first], share, SIZE)).astype(np.float32)
     bigram = np.zeros(size, np.float32)
-    np.add.at(bigram, _pairs(history[first], whole[first], size), ((counts - d) / of[history[first]]).astype(np.float32))
+    np.add.at(bigram, _pairs(history[first], whole[first], size), share.astype(np.float32))
     # Lower levels count different neighbours, not occurrences.
     word, word_left = _level(whole[first])
     fresh = np.unique(history[first] << BITS | stem[first])
@@ -126,12 +128,12 @@ class Models:
     slope: np.ndarray
 
     def evidence(self, w: np.ndarray) -> np.ndarray:
-        """Inputs of the final score: the difference by word, and by the root of the length."""
+        """Inputs of the final score: the mean difference by word, and that of clear words by length and by its root."""
         if len(w) < 2:
             return np.zeros(3)
         gain = self.toxic.log_likelihood(w, self.shared) - self.ordinary.log_likelihood(w, self.shared)
-        total = gain.sum()
-        return np.array([total / len(gain), total / np.sqrt(len(gain)) / 10, np.maximum(gain - 3, 0).sum() / len(gain)])
+        clear = np.clip(gain - 3, 0, 4).sum()  # words that e**3 times rather stand in toxic texts
+        return np.array([gain.mean(), clear / len(gain), clear / np.sqrt(len(gain)) / 10])
 
     def score(self, w: np.ndarray) -> float:
         raw = self.slope[0] + self.slope[1:] @ self.evidence(w)
