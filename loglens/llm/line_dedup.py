@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglens.llm.common import bounded_batches, free_name, frozen, numbered, text_or_empty
-from loglens.llm.linking import shared_buckets, similar_components
+from loglens.llm.linking import shared_buckets, similar_components, sketches
 from loglens.llm.near_dedup import band_keys, compared, grouped, mixed, texts_of
 
 CHARS, SIMILARITY = 7, 0.8
@@ -82,13 +82,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new[key] = line
         if not new:
             continue
-        bands = band_keys(minima(list(new.values())).astype(np.uint64), BANDS)
+        found = minima(list(new.values())).astype(np.uint64)
+        bands, sketch = band_keys(found, BANDS), sketches(mixed(found + np.uint64(1)))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(list(new), pa.binary()),
-                pa.ListArray.from_arrays(np.arange(len(new) + 1, dtype=np.int32) * BANDS, bands.reshape(-1)),
+                *(
+                    pa.ListArray.from_arrays(np.arange(len(new) + 1, dtype=np.int32) * x.shape[1], x.reshape(-1))
+                    for x in (bands, sketch)
+                ),
             ],
-            names=["key", "bands"],
+            names=["key", "bands", "sketch"],
         )
 
 
@@ -107,13 +111,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return kept[node]
 
     for batch in batches:
-        close = []
+        found = []
         for i, j, x, y in zip(*(batch.column(c).to_pylist() for c in range(4))):
             a, b = known(i, x), known(j, y)
             both = len(a & b)
-            close.append(both >= SIMILARITY * (len(a) + len(b) - both))
-        mask = pa.array(close, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            found.append(both / (len(a) + len(b) - both))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"]
+        )
 
 
 def line_groups(
@@ -138,16 +143,19 @@ def line_groups(
     key = F.unhex(F.md5(F.col("text").cast("binary")))
     keyed = lines.select("row", "doc_id", "line_no", key.alias("key"), "text")
     listed = frozen(keyed.drop("text"), "lines")
-    signed = keyed.select("key", "text").mapInArrow(_sign, "key binary, bands array<long>")
+    signed = keyed.select("key", "text").mapInArrow(_sign, "key binary, bands array<long>, sketch array<long>")
     classes = frozen(
-        signed.groupBy("key").agg(F.first("bands").alias("bands")).select(
-            "key", "bands", F.lit(1).alias("weight"), F.monotonically_increasing_id().alias("node")
+        signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select(
+            "key", "bands", "sketch", F.lit(1).alias("weight"), F.monotonically_increasing_id().alias("node")
         ),
         "classes",
     )
     buckets = shared_buckets(classes)
     texts = texts_of(buckets, classes, keyed.select("key", "text"))
-    found = frozen(similar_components(buckets, lambda pairs: compared(pairs, texts, _compare), 0.0), "groups")
+    found = similar_components(
+        buckets, classes.select("node", "bands", "sketch"), lambda pairs: compared(pairs, texts, _compare), 0.0, BANDS * ROWS, SIMILARITY
+    )
+    found = frozen(found, "groups")
     order = [F.col("doc_id").isNull(), "doc_id", "row", "line_no"]
     return grouped(listed, classes, found, order)
 

@@ -3,24 +3,56 @@
 1. Nodes that share a band key form a bucket. In each bucket every member is compared with the
    bucket's centre, the member that shares most buckets over all bands, so that a large group of
    near copies is compared with a few centres only. Verified pairs give first components.
-2. Where a bucket still holds several components, every member outside its largest component is
-   compared with all members of other components. Members of one component need no further
-   comparison, since their link would change nothing.
+2. Where a bucket still holds several components, every member outside its largest component meets
+   the members of other components. Members of one component need no further comparison, since their
+   link would change nothing. Of these meetings only those become pairs that can be similar: one
+   minus the (weighted) Jaccard similarity is a metric, so the distances of two members from their bucket's centre, which are
+   known exactly, differ by no more than their own distance; and their signatures agree as often as those of similar
+   nodes do, with three standard deviations allowed for chance. A pair is made in the least bucket that its nodes
+   share, once.
 
-Together these find exactly the components that comparing all pairs within buckets would find.
+Together these find the components that comparing all pairs within buckets would find.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens.llm.common import frozen
 from loglens.llm.components import connected
 
 Verify = Callable[[DataFrame], DataFrame]
+#: Signatures are compared by sketches of four bits of each slot, sixteen slots to a 64-bit number.
+SLOT_BITS = 4
+
+
+def sketches(slots: np.ndarray) -> np.ndarray:
+    """(nodes, words): four bits of each slot of (nodes, slots) 64-bit hashes, the number of slots filled up to sixteen."""
+    n, m = slots.shape
+    words = -(-m // 16)
+    low = np.zeros((n, words * 16), np.uint64)
+    low[:, :m] = slots & np.uint64(15)
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(SLOT_BITS)
+    return np.bitwise_or.reduce(low.reshape(n, words, 16) << shifts, 2).view(np.int64)
+
+
+def most_different(slots: int, similarity: float) -> int:
+    """How many of ``slots`` may differ in the sketches of nodes of at least that similarity."""
+    p = (1 - similarity) * (1 - 2.0**-SLOT_BITS)
+    return int(slots * p + 3 * (slots * p * (1 - p)) ** 0.5)
+
+
+def _differing(a: str, b: str, words: int) -> Column:
+    def one(i: int) -> str:
+        x = f"({a}[{i}] ^ {b}[{i}])"
+        pairs = f"({x} | shiftrightunsigned({x}, 1))"
+        return f"bit_count(({pairs} | shiftrightunsigned({pairs}, 2)) & {0x1111111111111111}L)"
+
+    return F.expr(" + ".join(one(i) for i in range(words)))
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -30,12 +62,15 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return frozen(flat.join(sizes, "bucket"), "buckets")
 
 
-def similar_components(buckets: DataFrame, verify: Verify, least: float) -> DataFrame:
+def similar_components(
+    buckets: DataFrame, sketched: DataFrame, verify: Verify, least: float, slots: int, similarity: float
+) -> DataFrame:
     """(node, component) of nodes with a verified partner.
 
-    ``verify`` takes distinct pairs (a, b) and returns those similar enough. ``least`` is the least
-    ratio of the weights of two nodes that can be similar at all.
+    ``sketched`` is (node, bands, sketch), made from signatures of so many ``slots``. ``verify`` takes distinct pairs (a, b)
+    and returns them with their exact ``similarity``. ``least`` is the least ratio of the weights of two nodes that can be similar at all.
     """
+    words = -(-slots // 16)
     fits = F.least("weight", "other_weight") >= F.greatest("weight", "other_weight") * least
     busy = buckets.groupBy("node").agg(F.sum("members").alias("busy"))
     centres = (
@@ -48,13 +83,20 @@ def similar_components(buckets: DataFrame, verify: Verify, least: float) -> Data
         .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(),
         "stars",
     )
-    links = frozen(verify(stars), "verified")
-    first = frozen(connected(links), "components")
+    measured = frozen(verify(stars), "verified")
+    close = F.col("similarity") >= similarity
+    first = frozen(connected(measured.filter(close)), "components")
 
     member = buckets.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     member = frozen(
-        member.join(mixed, "bucket", "left_semi").select("bucket", "node", "weight", "component"), "mixed"
+        member.join(mixed, "bucket", "left_semi").select("bucket", "node", "weight", "component")
+        .join(centres.select("bucket", "centre"), "bucket")
+        .withColumns({"a": F.least("node", "centre"), "b": F.greatest("node", "centre")})
+        .join(measured, ["a", "b"], "left")
+        .withColumn("far", F.when(F.col("node") == F.col("centre"), 0.0).otherwise(1 - F.col("similarity")))
+        .select("bucket", "node", "weight", "component", "far").join(sketched, "node"),
+        "mixed",
     )
     main = (
         member.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -64,13 +106,17 @@ def similar_components(buckets: DataFrame, verify: Verify, least: float) -> Data
     outside = member.join(main, "bucket").filter("component != main")
     others = member.select(
         "bucket", F.col("node").alias("other"), F.col("weight").alias("other_weight"),
-        F.col("component").alias("other_component"),
+        F.col("component").alias("other_component"), F.col("sketch").alias("other_sketch"),
+        F.col("bands").alias("other_bands"), F.col("far").alias("other_far"),
     )
+    reach = F.coalesce(F.abs(F.col("far") - F.col("other_far")) <= 1 - similarity + 1e-9, F.lit(True))
+    once = F.col("bucket") == F.array_min(F.array_intersect("bands", "other_bands"))
+    alike = _differing("sketch", "other_sketch", words) <= most_different(slots, similarity)
     rest = (
         outside.join(others, "bucket").filter(fits)
-        .filter("component != other_component and (other_component = main or node < other)")
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        .filter("component != other_component and (other_component = main or node < other)").filter(alike).filter(once)
+        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
         .join(stars, ["a", "b"], "left_anti")
     )
-    more = frozen(verify(frozen(rest, "rest")), "verified")
+    more = frozen(verify(frozen(rest, "rest")).filter(close), "verified")
     return connected(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglens.llm.common import bounded_batches, frozen, numbered, text_or_empty, without_rows
-from loglens.llm.linking import shared_buckets, similar_components
+from loglens.llm.linking import shared_buckets, similar_components, sketches
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 8
@@ -144,7 +144,7 @@ def band_keys(found: np.ndarray, bands: int = BANDS) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = [_shingles(t) for t in batch.column(2).to_pylist()]
-        bands = [[]] * len(bags)
+        bands, sketch = [[]] * len(bags), [[]] * len(bags)
         begin = 0
         while begin < len(bags):
             end, size = begin, 0
@@ -153,15 +153,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end += 1
             some = [i for i in range(begin, end) if len(bags[i][0])]
             if some:
-                for i, k in zip(some, band_keys(signatures([bags[i] for i in some]))):
-                    bands[i] = k
+                found = signatures([bags[i] for i in some])
+                for i, keys, words in zip(some, band_keys(found), sketches(found)):
+                    bands[i], sketch[i] = keys, words
             begin = end
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(1), pa.array([int(c.sum()) for _, c in bags], pa.int64()),
-                pa.array(bands, pa.list_(pa.int64())),
+                pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())),
             ],
-            names=["row", "key", "weight", "bands"],
+            names=["row", "key", "weight", "bands", "sketch"],
         )
 
 
@@ -181,23 +182,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         a, b, left, right = (batch.column(i).to_pylist() for i in range(4))
-        close = [overlap(known(i, x), known(j, y)) >= SIMILARITY for i, j, x, y in zip(a, b, left, right)]
-        mask = pa.array(close, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        found = [overlap(known(i, x), known(j, y)) for i, j, x, y in zip(a, b, left, right)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"]
+        )
 
 
 def compared(pairs: DataFrame, texts: DataFrame, compare=_compare) -> DataFrame:
-    """The pairs (a, b) whose texts ``compare`` finds close; ``texts`` is (node, text)."""
+    """The pairs (a, b) with the similarity of their texts; ``texts`` is (node, text)."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    return both.mapInArrow(compare, "a long, b long")
+    return both.mapInArrow(compare, "a long, b long, similarity double")
 
 
 def texts_of(buckets: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, text) of the nodes that share a bucket, from (key, text) with any number of copies. Stored."""
     wanted = frozen(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("key", "node"), "wanted")
-    return frozen(texts.join(wanted, "key").select("node", "text").distinct(), "texts")
+    return frozen(texts.join(wanted.hint("merge"), "key").select("node", "text").distinct(), "texts")
 
 
 def near_duplicates(
@@ -220,15 +222,17 @@ def near_duplicates(
     if not row:
         rows = frozen(rows, "rows")  # so that rows keep their numbers
     listed, source, signed = rows.select("row", "doc_id", "key"), rows.select("key", "text"), rows.select("row", "key", "text")
-    signed = signed.mapInArrow(_sign, "row long, key binary, weight long, bands array<long>")
+    signed = signed.mapInArrow(_sign, "row long, key binary, weight long, bands array<long>, sketch array<long>")
     classes = frozen(
-        signed.groupBy("key").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+        signed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("weight", "bands", "sketch")))
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
     buckets = shared_buckets(classes)
     texts = texts_of(buckets, classes, source)
-    found = frozen(similar_components(buckets, lambda pairs: compared(pairs, texts), SIMILARITY), "groups")
+    sketched = classes.select("node", "bands", "sketch")
+    found = similar_components(buckets, sketched, lambda pairs: compared(pairs, texts), SIMILARITY, HASHES, SIMILARITY)
+    found = frozen(found, "groups")
     return grouped(listed, classes, found, [F.col("doc_id").isNull(), "doc_id", "row"])
 
 
