@@ -87,8 +87,8 @@ def _lists(dim: int) -> list[slice]:
 
 def _products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Queries by candidates, as exact whole numbers."""
-    most = max(1, abs(queries).max(initial=0)) * max(1, abs(data).max(initial=0)) * max(1, queries.shape[1])
-    if float(most) < 2**52:
+    most = float(abs(queries).max(initial=1)) * float(abs(data).max(initial=1)) * max(1, queries.shape[1])
+    if most < 2.0**52:
         return np.rint(queries.astype("f8") @ data.T.astype("f8")).astype("i8")
     return queries @ data.T
 
