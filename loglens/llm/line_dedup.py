@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import bounded_batches, free_name, frozen, numbered, text_or_empty
+from loglens.llm.common import bounded_batches, free_name, free_shuffles, frozen, numbered, text_or_empty
 from loglens.llm.linking import shared_buckets, similar_components, sketches
 from loglens.llm.near_dedup import band_keys, compared, grouped, mixed, texts_of
 
 CHARS, SIMILARITY = 7, 0.8
-BANDS, ROWS = 24, 7
+BANDS, ROWS = 14, 5
+#: Hashes of the longer signatures that decide which unsettled lines are compared.
+SLOTS = 512
 _STEP = 1 << 16
 _SEEN = 200_000
 
@@ -36,37 +38,41 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + CHARS] for i in range(max(1, len(line) - CHARS + 1))}
 
 
-def _salts() -> np.ndarray:
-    return mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | 1
+def _salts(n: int) -> np.ndarray:
+    return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | 1
 
 
-def minima(lines: list[str]) -> np.ndarray:
-    """(lines, hashes): the least salted hash of each line's shingles."""
+def minima(lines: list[str], n: int = BANDS * ROWS) -> np.ndarray:
+    """(lines, n): the least salted hash of each line's shingles; the first ones are the same for any ``n``."""
     texts = [plain(x) for x in lines]
-    points = [np.frombuffer((t + "\0" * (CHARS - 1 if len(t) >= CHARS else 2 * CHARS - len(t) - 1)).encode("utf-32-le"), "<u4") for t in texts]
-    sizes = np.array([max(1, len(t) - CHARS + 1) for t in texts])
-    flat = np.concatenate(points).astype(np.uint64)
-    keep = np.ones(len(flat), bool)
-    ends = np.cumsum([len(p) for p in points])
-    for end, p, n in zip(ends, points, sizes):
-        keep[end - len(p) + n : end] = False
-    padded = np.concatenate([flat, np.zeros(CHARS, np.uint64)])
-    total = np.zeros(len(flat), np.uint64)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    # Behind each line as many zeros as make a short line one whole shingle, and no shingle run into the next line.
+    points = np.frombuffer(("\0" * CHARS).join([*texts, ""]).encode("utf-32-le"), "<u4")
+    starts = np.concatenate([[0], np.cumsum(lengths + CHARS)[:-1]])
+    sizes = np.maximum(1, lengths - CHARS + 1)
+    total = np.zeros(len(points) - CHARS + 1, np.uint64)
     for i in range(CHARS):
-        total = total * np.uint64(0x100000001B3) + padded[i : i + len(flat)]
-    hashes = (mixed(total[keep]) >> np.uint64(32)).astype(np.uint32)
+        total *= np.uint64(0x100000001B3)
+        total += points[i : i + len(total)]
+    step = np.zeros(len(total) + 1, np.int8)
+    np.add.at(step, starts, 1)
+    np.add.at(step, starts + sizes, -1)
+    hashes = (mixed(total[np.cumsum(step[:-1]) > 0]) >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    out = np.full((len(lines), BANDS * ROWS), 0xFFFFFFFF, np.uint32)
-    salts = _salts()
+    out = np.full((n, len(lines)), 0xFFFFFFFF, np.uint32)
     # Stretches small enough for the processor's cache, each with the lines it touches.
     for begin in range(0, len(hashes), _STEP):
         part = hashes[begin : begin + _STEP]
         lo = np.searchsorted(starts, begin, "right") - 1
         hi = np.searchsorted(starts, begin + len(part), "left")
         at = np.maximum(starts[lo:hi] - begin, 0)
-        for k, salt in enumerate(salts):
-            np.minimum(out[lo:hi, k], np.minimum.reduceat((part ^ (salt >> 1)) * salt, at), out=out[lo:hi, k])
-    return out
+        for row, salt in zip(out, _salts(n)):
+            np.minimum(row[lo:hi], np.minimum.reduceat((part ^ (salt >> 1)) * salt, at), out=row[lo:hi])
+    return np.ascontiguousarray(out.T)
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], values.reshape(-1))
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,18 +88,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new[key] = line
         if not new:
             continue
-        found = minima(list(new.values())).astype(np.uint64)
-        bands, sketch = band_keys(found, BANDS), sketches(mixed(found + np.uint64(1)))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(list(new), pa.binary()),
-                *(
-                    pa.ListArray.from_arrays(np.arange(len(new) + 1, dtype=np.int32) * x.shape[1], x.reshape(-1))
-                    for x in (bands, sketch)
-                ),
-            ],
-            names=["key", "bands", "sketch"],
-        )
+        bands = band_keys(minima(list(new.values())).astype(np.uint64), BANDS)
+        yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), _lists(bands)], names=["key", "bands"])
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = minima(batch.column(1).to_pylist(), SLOTS).astype(np.uint64)
+        bands = band_keys(found[:, : BANDS * ROWS], BANDS)
+        sketch = sketches(mixed(found + np.uint64(1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(bands), _lists(sketch)], names=["node", "bands", "sketch"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,17 +147,21 @@ def line_groups(
     key = F.unhex(F.md5(F.col("text").cast("binary")))
     keyed = lines.select("row", "doc_id", "line_no", key.alias("key"), "text")
     listed = frozen(keyed.drop("text"), "lines")
-    signed = keyed.select("key", "text").mapInArrow(_sign, "key binary, bands array<long>, sketch array<long>")
+    signed = keyed.select("key", "text").mapInArrow(_sign, "key binary, bands array<long>")
     classes = frozen(
-        signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select(
-            "key", "bands", "sketch", F.lit(1).alias("weight"), F.monotonically_increasing_id().alias("node")
+        signed.groupBy("key").agg(F.first("bands").alias("bands")).select(
+            "key", "bands", F.lit(1).alias("weight"), F.monotonically_increasing_id().alias("node")
         ),
         "classes",
     )
+    free_shuffles(docs.sparkSession)
     buckets = shared_buckets(classes)
     texts = texts_of(buckets, classes, keyed.select("key", "text"))
+    free_shuffles(docs.sparkSession)
     found = similar_components(
-        buckets, classes.select("node", "bands", "sketch"), lambda pairs: compared(pairs, texts, _compare), 0.0, BANDS * ROWS, SIMILARITY
+        buckets,
+        lambda nodes: texts.join(nodes, "node", "left_semi").mapInArrow(_sketch, "node long, bands array<long>, sketch array<long>"),
+        lambda pairs: compared(pairs, texts, _compare), 0.0, SLOTS, SIMILARITY,
     )
     found = frozen(found, "groups")
     order = [F.col("doc_id").isNull(), "doc_id", "row", "line_no"]

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import frozen
+from loglens.llm.common import free_shuffles, frozen
 from loglens.llm.components import connected
 
 Verify = Callable[[DataFrame], DataFrame]
@@ -59,15 +59,17 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     """(bucket, node, weight, members) for buckets of at least two members, from (node, weight, bands)."""
     flat = nodes.select("node", "weight", F.explode("bands").alias("bucket"))
     sizes = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    return frozen(flat.join(sizes, "bucket"), "buckets")
+    found = frozen(flat.join(sizes.hint("shuffle_hash"), "bucket"), "buckets")
+    free_shuffles(nodes.sparkSession)
+    return found
 
 
 def similar_components(
-    buckets: DataFrame, sketched: DataFrame, verify: Verify, least: float, slots: int, similarity: float
+    buckets: DataFrame, sketched: Callable[[DataFrame], DataFrame], verify: Verify, least: float, slots: int, similarity: float
 ) -> DataFrame:
     """(node, component) of nodes with a verified partner.
 
-    ``sketched`` is (node, bands, sketch), made from signatures of so many ``slots``. ``verify`` takes distinct pairs (a, b)
+    ``sketched`` takes some nodes and returns (node, bands, sketch), made from signatures of so many ``slots``. ``verify`` takes distinct pairs (a, b)
     and returns them with their exact ``similarity``. ``least`` is the least ratio of the weights of two nodes that can be similar at all.
     """
     words = -(-slots // 16)
@@ -89,13 +91,15 @@ def similar_components(
 
     member = buckets.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    unsettled = member.join(mixed, "bucket", "left_semi").select("node").distinct()
+    known = sketched(frozen(unsettled, "unsettled"))
     member = frozen(
         member.join(mixed, "bucket", "left_semi").select("bucket", "node", "weight", "component")
         .join(centres.select("bucket", "centre"), "bucket")
         .withColumns({"a": F.least("node", "centre"), "b": F.greatest("node", "centre")})
         .join(measured, ["a", "b"], "left")
         .withColumn("far", F.when(F.col("node") == F.col("centre"), 0.0).otherwise(1 - F.col("similarity")))
-        .select("bucket", "node", "weight", "component", "far").join(sketched, "node"),
+        .select("bucket", "node", "weight", "component", "far").join(known, "node"),
         "mixed",
     )
     main = (

@@ -230,7 +230,7 @@ def near_duplicates(
     )
     buckets = shared_buckets(classes)
     texts = texts_of(buckets, classes, source)
-    sketched = classes.select("node", "bands", "sketch")
+    sketched = lambda nodes: classes.join(nodes, "node", "left_semi").select("node", "bands", "sketch")
     found = similar_components(buckets, sketched, lambda pairs: compared(pairs, texts), SIMILARITY, HASHES, SIMILARITY)
     found = frozen(found, "groups")
     return grouped(listed, classes, found, [F.col("doc_id").isNull(), "doc_id", "row"])

@@ -107,7 +107,7 @@ def test_temperature_and_quotas(spark, docs, awkward, nothing):
 
 
 def brute_top(rows, k, every):
-    x = [(i, np.floor(256 * np.array(v, float))) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    x = [(i, np.floor(256 * np.array(v, float)).astype(int).astype(object)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     out = []
     for n, (i, v) in enumerate(x):
         if i % every == 0:
