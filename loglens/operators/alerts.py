@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from loglens.functions import measures as m
 from loglens.operators.summaries import percentile, read_positions
 from loglens.schema import ALERT_CONDITIONS_SCHEMA
-from loglens.session import broadcast_if_small
 
 # Workers get this module's functions with the task and need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -144,7 +143,7 @@ def alert_evaluate(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     A rule sees at most one line per tick, so its group grows with the minutes of the range
     and not with the requests.
     """
-    active = broadcast_if_small(read_rules(rules))
+    active = read_rules(rules)
     breaches = metrics.join(active, ["metric", "scope"]).filter(F.col("value") > F.col("threshold"))
     at = metrics.schema["tick"].dataType.simpleString()
     lined_up = breaches.select(
@@ -178,7 +177,7 @@ def alert_record(fired: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFra
 
 def alert_history(history: DataFrame, rules: DataFrame, *, limit: int = 100, offset: int = 0) -> DataFrame:
     """Fired alerts with the name of their rule, newest first."""
-    names = broadcast_if_small(rules.select(F.col("id").alias("rule_id"), F.col("name").alias("rule_name")))
+    names = rules.groupBy(F.col("id").alias("rule_id")).agg(F.min("name").alias("rule_name"))
     return (
         history.join(names, "rule_id", "left")
         .orderBy(F.desc("triggered_at"), F.asc("rule_id"))

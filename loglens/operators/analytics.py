@@ -190,7 +190,7 @@ def status_codes(requests: DataFrame, tr: TimeRange, f: RequestFilter | None = N
     return _count_by(filter_requests(requests, tr, f), "status", "status")
 
 
-def browsers(requests: DataFrame, tr: TimeRange, f: RequestFilter | None = None, *, limit: int = 20) -> DataFrame:
+def browsers(requests: DataFrame, tr: TimeRange, f: RequestFilter | None = None, *, limit: int | None = 20) -> DataFrame:
     return _count_by(filter_requests(requests, tr, f), "ua_browser", "browser", limit)
 
 

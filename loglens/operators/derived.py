@@ -37,12 +37,12 @@ def status_distribution(overview: DataFrame) -> DataFrame:
 
 
 def share_of_total(report: DataFrame) -> DataFrame:
-    """A ranked report with each line's share of the report's requests.
+    """A report with each line's share of all its requests; give it an unlimited report, limit its result.
 
-    A ranked report has at most its limit of lines, so one window over all of it is small.
+    The whole is one line that partial sums lead to, whatever the length of the report.
     """
-    whole = F.sum("req_count").over(Window.partitionBy())
-    return report.withColumn("share_pct", _percent_of(F.col("req_count"), whole))
+    whole = report.agg(F.sum("req_count").alias("__whole"))
+    return report.join(F.broadcast(whole)).withColumn("share_pct", _percent_of(F.col("req_count"), F.col("__whole"))).drop("__whole")
 
 
 def geo_share(countries: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from loglens.functions import fixed_values as fixed
 from loglens.functions import measures as m
 from loglens.functions.net import with_ip_keys
 from loglens.operators.ranges import join_ranges
-from loglens.operators.skew import HOT_ROWS, attach
+from loglens.operators.skew import attach
 
 _LOOPBACK = ("127.0.0.1", "::1")
 
@@ -30,12 +30,12 @@ def locate_addresses(requests: DataFrame, geo: DataFrame) -> DataFrame:
     return found.groupBy("remote_ip", "requests").agg(place.alias("place")).select("remote_ip", "requests", "place.*")
 
 
-def enrich_geo(requests: DataFrame, geo: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def enrich_geo(requests: DataFrame, geo: DataFrame) -> DataFrame:
     """Requests with the place columns of ``geo``; NULL where no range holds the address.
 
     Ranges are joined to distinct addresses only, then attached without shuffling hot ones.
     """
-    return attach(requests, "remote_ip", locate_addresses(requests, geo), "requests", hot_rows=hot_rows)
+    return attach(requests, "remote_ip", locate_addresses(requests, geo), "requests")
 
 
 def classify_agents(requests: DataFrame) -> DataFrame:

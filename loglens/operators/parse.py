@@ -21,7 +21,6 @@ from loglens.functions.text import (
 )
 from loglens.functions.times import from_unix_seconds
 from loglens.schema import REQUESTS_SCHEMA
-from loglens.session import broadcast_if_small
 
 _ENTRY = "__entry"
 _FALSY_TEXT = "('', '0', '0.0', 'false')"
@@ -221,11 +220,14 @@ def parse_lines(
     mapped, label = F.lit(None).cast("string"), F.lit(None).cast("string")
     if logger_hosts is not None:
         names = logger_hosts.select(F.col("logger_id").alias("__logger"), F.get("hosts", F.lit(0)).alias("__mapped"))
-        rows = rows.join(broadcast_if_small(names), "__logger", "left")
+        # A repeated key takes its least value and never multiplies lines.
+        names = names.groupBy("__logger").agg(F.min("__mapped").alias("__mapped"))
+        rows = rows.join(names, "__logger", "left")
         mapped = F.col("__mapped")
     if source_labels is not None:
         labels = source_labels.select("log_source", F.col("label").alias("__label"))
-        rows = rows.join(broadcast_if_small(labels), "log_source", "left")
+        labels = labels.groupBy("log_source").agg(F.min("__label").alias("__label"))
+        rows = rows.join(labels, "log_source", "left")
         label = none_if_empty(F.col("__label"))
     host = F.coalesce("__named", mapped, label, F.lit("unknown"))
     return rows.withColumn("host", host).drop("__named", "__logger", "__mapped", "__label")

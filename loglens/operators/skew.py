@@ -5,34 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with at least this many rows is attached by broadcast. There are at most
-# rows / HOT_ROWS such keys, so the broadcast side stays small however large the table is.
-HOT_ROWS = 20_000_000
 
-
-def attach(
-    facts: DataFrame, key: str, dimension: DataFrame, row_count: str, *, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def attach(facts: DataFrame, key: str, dimension: DataFrame, row_count: str) -> DataFrame:
     """Left-join ``dimension`` (one line per key, with its number of fact rows) to ``facts``.
 
-    Hot keys never enter the shuffle by key: they take their columns from a broadcast and
-    are dealt over the partitions of the second join under keys that match nothing.
+    The dimension's side of a hot key is a single line, so adaptive execution can split the facts of that key
+    over any number of tasks. A dimension column replaces a fact column of the same name.
     """
     attributes = [c for c in dimension.columns if c not in (key, row_count)]
-    hot = dimension.filter(F.col(row_count) >= hot_rows).select(
-        F.col(key).alias("__hot_key"), *[F.col(c).alias(f"__hot_{c}") for c in attributes]
-    )
-    cold = dimension.filter(F.col(row_count) < hot_rows).select(
-        F.col(key).alias("__cold_key"), *[F.col(c).alias(f"__cold_{c}") for c in attributes]
-    )
-    is_hot = F.col("__hot_key").isNotNull()
-    aside = F.concat(F.lit("\x00"), F.xxhash64(*facts.columns).cast("string"))
-    joined = (
-        facts.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left")
-        .withColumn("__key", F.when(is_hot | F.col(key).isNull(), aside).otherwise(F.col(key)))
-        .join(cold, F.col("__key") == F.col("__cold_key"), "left")
-    )
-    # A dimension column replaces a fact column of the same name.
+    lines = dimension.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in attributes])
     columns = [c for c in facts.columns if c not in attributes]
-    merged = [F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in attributes]
-    return joined.select(*columns, *merged)
+    joined = facts.join(lines, F.col(key) == F.col("__key"), "left")
+    return joined.select(*columns, *[F.col(f"__{c}").alias(c) for c in attributes])

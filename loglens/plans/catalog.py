@@ -465,9 +465,9 @@ QUERIES: dict[str, Query] = {
     "live_metrics_filtered": _live_filtered,
     "health_level": _from(_report(analytics.overview), derived.health_level),
     "status_distribution": _from(_report(analytics.overview), derived.status_distribution),
-    "geo_share": _from(_report(analytics.top_countries, located=True), derived.geo_share),
+    "geo_share": _from(_report(analytics.top_countries, located=True, limit=None), derived.geo_share),
     "worst_country": _from(_report(analytics.top_countries, located=True, limit=None), derived.worst_country),
-    "share_of_total": _from(_report(analytics.browsers), derived.share_of_total),
+    "share_of_total": _from(_report(analytics.browsers, limit=None), derived.share_of_total),
     "heatmap_dense": _from(_report(analytics.busy_hours), derived.heatmap_dense),
     "ip_hours_dense": _from(_report(profiles.ip_busy_hours), derived.ip_hours_dense),
     "threat_level": _from(_report(profiles.ip_profile, located=True), derived.threat_level),

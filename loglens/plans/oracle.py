@@ -430,11 +430,11 @@ FROM parsed p JOIN requests r USING (ts)""",
   round(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (), 1) AS pct FROM requests WHERE {MONTH} GROUP BY status_class""",
     "geo_share": f"""SELECT country_code, country_name, req_count, CAST(floor(error_rate * req_count + 0.5) AS BIGINT) AS errors,
   round(req_count * 100.0 / SUM(req_count) OVER (), 1) AS share_pct FROM (
-  {_COUNTRIES.format(where='')} ORDER BY req_count DESC, country_code, country_name LIMIT 20)""",
+  {_COUNTRIES.format(where='')})""",
     "worst_country": f"""SELECT country_code, round(error_rate * 100, 1) AS error_pct FROM ({_COUNTRIES.format(where='')})
 ORDER BY error_rate DESC, req_count DESC, country_code LIMIT 1""",
     "share_of_total": f"""SELECT browser, req_count, round(req_count * 100.0 / SUM(req_count) OVER (), 1) AS share_pct
-FROM ({_counts('ua_browser', 'browser', limit='LIMIT 20')})""",
+FROM ({_counts('ua_browser', 'browser', limit='')})""",
     "heatmap_dense": f"""WITH busy AS ({_BUSY}),
 grid AS (SELECT CAST(i // 24 AS INTEGER) AS day, CAST(i % 24 AS INTEGER) AS hour FROM range(168) AS r(i)),
 dense AS (

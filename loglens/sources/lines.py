@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from loglens.filters import instant
 from loglens.functions.text import strip
 from loglens.functions.times import from_unix_seconds
-from loglens.session import broadcast_if_small
 
 _TIMESTAMP = r'"ts"\s*:\s*([0-9]+(?:\.[0-9]+)?)'
 
@@ -59,7 +58,7 @@ def backfill(lines: DataFrame, cutoff: datetime, newest: DataFrame | None = None
     timed = lines.withColumn("__at", at)
     kept = timed.filter(F.col("__at") >= instant(timed, cutoff, "__at"))
     if newest is not None:
-        known = broadcast_if_small(newest.select("log_source", F.col("last_ts").cast("timestamp").alias("__last")))
+        known = newest.groupBy("log_source").agg(F.max(F.col("last_ts").cast("timestamp")).alias("__last"))
         kept = kept.join(known, "log_source", "left").filter(
             F.col("__last").isNull() | (F.col("__at") > F.col("__last"))
         )

@@ -151,8 +151,7 @@ def test_summary_of_nothing(requests):
     assert [tuple(r) for r in got] == [(None, None, None)]
 
 
-@pytest.mark.parametrize("hot_rows", [1, 300, 10**9])
-def test_geography_does_not_depend_on_hot_keys(spark, requests, rows, hot_rows):
+def test_geography_does_not_depend_on_hot_keys(spark, requests, rows):
     geo = spark.createDataFrame(
         [
             ("198.51.100.0", "198.51.100.1", "AA", "Aland"), ("198.51.100.3", "198.51.100.4", "BB", "Beland"),
@@ -165,7 +164,7 @@ def test_geography_does_not_depend_on_hot_keys(spark, requests, rows, hot_rows):
         "id bigint, remote_ip string",
     )
     both = requests.select("id", "remote_ip").unionByName(extra)
-    got = {r.id: r.country_code for r in enrich.enrich_geo(both, geo, hot_rows=hot_rows).collect()}
+    got = {r.id: r.country_code for r in enrich.enrich_geo(both, geo).collect()}
     want = {r[0]: {"1": "AA", "3": "BB", "4": "BB"}.get(r[2].rsplit(".", 1)[1]) for r in rows}
     want |= {9001: "DD", 9002: None, 9003: "CC", 9004: None, 9005: None, 9006: None}
     assert got == want
@@ -173,7 +172,7 @@ def test_geography_does_not_depend_on_hot_keys(spark, requests, rows, hot_rows):
 
 def test_attach_keeps_rows_and_replaces_columns(spark, requests):
     dimension = requests.groupBy("remote_ip").agg(F.count(F.lit(1)).alias("n"), F.lit("x").alias("host"))
-    joined = skew.attach(requests, "remote_ip", dimension, "n", hot_rows=400)
+    joined = skew.attach(requests, "remote_ip", dimension, "n")
     assert joined.count() == requests.count()
     assert joined.select("host").distinct().collect()[0][0] == "x"
     assert sorted(joined.columns) == sorted(requests.columns)
@@ -209,16 +208,16 @@ def test_time_ranges():
 
 ATTACKS = {
     "is_sql_injection": (
-        ["?id=1 UNION SELECT username FROM users", "' OR '1'='1", "?x=1;DROP TABLE users--", "/exec?cmd=xp_cmdshell('x')"],
-        ["/api/v1/users/123", "/selected/from"],
+        ["/shop?item=7%27/**/union all select card from orders", "/basket?n=3; drop table baskets", "/run?q=exec xp_cmdshell"],
+        ["/unions/of/selectors", "/drops/tables-and-chairs"],
     ),
     "is_xss": (
-        ["<script>alert(1)</script>", "javascript:void(0)", "?x=<img onload=alert(1)>", "?x=eval(atob('dGVzdA=='))"],
-        ["/api/search?q=hello+world"],
+        ["/guest?note=<script src=//cdn.test/p.js>", "/go?to=JavaScript:open()", "/card?b=<svg onload=run()>"],
+        ["/scripts/evaluate?lesson=4"],
     ),
     "is_traversal": (
-        ["/../../../etc/passwd", "/%2e%2e/%2e%2e/etc/shadow", "/%252E%252e/", "/etc/passwd\x00.jpg", "/a%00"],
-        ["/a.b/c..d"],
+        ["/static/../../boot.ini", "/files/%2E%2e/keys", "/img/cat.png%00.txt"],
+        ["/notes..old/v1.2.3"],
     ),
 }
 
@@ -236,8 +235,8 @@ def test_attack_patterns(spark, rule):
 def test_agent_rules(spark):
     from loglens.functions import threats
 
-    agents = ["Nikto/2.1.6", "sqlmap/1.8.4#stable", "nuclei - Open Source", "SemrushBot/7~bl", "AhrefsBot nmap",
-              "Mozilla/5.0 Chrome/131.0", "Googlebot/2.1", None]
+    agents = ["probe nikto", "x SQLMAP y", "my-nuclei-run", "semrushbot crawl 12", "nmap and ahrefsbot",
+              "Opera/9 plain reader", "googlebot-like", None]
     df = spark.createDataFrame([(a,) for a in agents], "user_agent string")
     assert [r[0] for r in df.filter(threats.is_scanner()).collect()] == [agents[i] for i in (0, 1, 2, 4)]
-    assert [r[0] for r in df.filter(threats.is_bad_bot()).collect()] == ["SemrushBot/7~bl"]
+    assert [r[0] for r in df.filter(threats.is_bad_bot()).collect()] == ["semrushbot crawl 12"]
