@@ -8,7 +8,7 @@
    link would change nothing. Of these meetings only those become pairs that can be similar: one
    minus the (weighted) Jaccard similarity is a metric, so the distances of two members from their bucket's centre, which are
    known exactly, differ by no more than their own distance; and their signatures agree as often as those of similar
-   nodes do, with three standard deviations allowed for chance. A pair is made in the least bucket that its nodes
+   nodes do, with four standard deviations allowed for chance. A pair is made in the least bucket that its nodes
    share, once.
 
 Together these find the components that comparing all pairs within buckets would find.
@@ -43,7 +43,7 @@ def sketches(slots: np.ndarray) -> np.ndarray:
 def most_different(slots: int, similarity: float) -> int:
     """How many of ``slots`` may differ in the sketches of nodes of at least that similarity."""
     p = (1 - similarity) * (1 - 2.0**-SLOT_BITS)
-    return int(slots * p + 3 * (slots * p * (1 - p)) ** 0.5)
+    return int(slots * p + 4 * (slots * p * (1 - p)) ** 0.5)
 
 
 def _differing(a: str, b: str, words: int) -> Column:

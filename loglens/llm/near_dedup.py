@@ -28,6 +28,8 @@ from loglens.llm.linking import shared_buckets, similar_components, sketches
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 8
 HASHES = BANDS * ROWS
+#: Slots of the longer signatures that decide which unsettled documents are compared.
+SLOTS = 512
 _CACHE = 400_000
 _AT_ONCE = 400_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -141,31 +143,46 @@ def band_keys(found: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _signed(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> Iterator[tuple[list[int], np.ndarray]]:
+    """(places of documents that have shingles, their signatures), some documents at a time."""
+    begin = 0
+    while begin < len(bags):
+        end, size = begin, 0
+        while end < len(bags) and size < _AT_ONCE:
+            size += len(bags[end][0])
+            end += 1
+        some = [i for i in range(begin, end) if len(bags[i][0])]
+        if some:
+            yield some, signatures([bags[i] for i in some], m)
+        begin = end
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = [_shingles(t) for t in batch.column(2).to_pylist()]
-        bands, sketch = [[]] * len(bags), [[]] * len(bags)
-        begin = 0
-        while begin < len(bags):
-            end, size = begin, 0
-            while end < len(bags) and size < _AT_ONCE:
-                size += len(bags[end][0])
-                end += 1
-            some = [i for i in range(begin, end) if len(bags[i][0])]
-            if some:
-                found = signatures([bags[i] for i in some])
-                for i, keys, words in zip(some, band_keys(found), sketches(found)):
-                    bands[i], sketch[i] = keys, words
-            begin = end
+        bands = [[]] * len(bags)
+        for some, found in _signed(bags, HASHES):
+            for i, keys in zip(some, band_keys(found)):
+                bands[i] = keys
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(1), pa.array([int(c.sum()) for _, c in bags], pa.int64()),
-                pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())),
+                pa.array(bands, pa.list_(pa.int64())),
             ],
-            names=["row", "key", "weight", "bands", "sketch"],
+            names=["row", "key", "weight", "bands"],
         )
 
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bags = [_shingles(t) for t in batch.column(1).to_pylist()]
+        sketch = [[]] * len(bags)
+        for some, found in _signed(bags, SLOTS):
+            for i, words in zip(some, sketches(found)):
+                sketch[i] = words
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketch, pa.list_(pa.int64()))], names=["node", "sketch"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: dict[int, Counter] = {}
     size = 0
@@ -222,16 +239,20 @@ def near_duplicates(
     if not row:
         rows = frozen(rows, "rows")  # so that rows keep their numbers
     listed, source, signed = rows.select("row", "doc_id", "key"), rows.select("key", "text"), rows.select("row", "key", "text")
-    signed = signed.mapInArrow(_sign, "row long, key binary, weight long, bands array<long>, sketch array<long>")
+    signed = signed.mapInArrow(_sign, "row long, key binary, weight long, bands array<long>")
     classes = frozen(
-        signed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("weight", "bands", "sketch")))
+        signed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("weight", "bands")))
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
     buckets = shared_buckets(classes)
     texts = texts_of(buckets, classes, source)
-    sketched = lambda nodes: classes.join(nodes, "node", "left_semi").select("node", "bands", "sketch")
-    found = similar_components(buckets, sketched, lambda pairs: compared(pairs, texts), SIMILARITY, HASHES, SIMILARITY)
+
+    def sketched(nodes: DataFrame) -> DataFrame:
+        made = texts.join(nodes, "node", "left_semi").mapInArrow(_sketch, "node long, sketch array<long>")
+        return made.join(classes.select("node", "bands"), "node")
+
+    found = similar_components(buckets, sketched, lambda pairs: compared(pairs, texts), SIMILARITY, SLOTS, SIMILARITY)
     found = frozen(found, "groups")
     return grouped(listed, classes, found, [F.col("doc_id").isNull(), "doc_id", "row"])
 
