@@ -36,6 +36,18 @@ def in_range(df: DataFrame, tr: TimeRange, column: str = "ts") -> Column:
     return F.col(column).between(instant(df, tr.start, column), instant(df, tr.end, column))
 
 
+def on_days(df: DataFrame, start: datetime, end: datetime) -> Column:
+    """The days of a range where a table is stored by ``date``, so that others are not opened."""
+    if "date" not in df.columns:
+        return F.lit(True)
+    return F.col("date").between(F.lit(naive_utc(start).date()), F.lit(naive_utc(end).date()))
+
+
+def within(df: DataFrame, tr: TimeRange) -> DataFrame:
+    """The rows of the range, both ends included."""
+    return df.filter(in_range(df, tr) & on_days(df, tr.start, tr.end))
+
+
 def field_conditions(f: RequestFilter | None) -> list[Column]:
     if f is None:
         return []
@@ -61,12 +73,8 @@ def filter_requests(requests: DataFrame, tr: TimeRange, f: RequestFilter | None
 
     A table stored with a ``date`` partition column is pruned to the days of the range.
     """
-    conditions = [in_range(requests, tr)]
-    if "date" in requests.columns:
-        conditions.append(
-            F.col("date").between(F.lit(tr.start.date()), F.lit(tr.end.date()))
-        )
-    return requests.filter(reduce(lambda a, b: a & b, conditions + field_conditions(f)))
+    rows = within(requests, tr)
+    return rows.filter(reduce(lambda a, b: a & b, field_conditions(f), F.lit(True)))
 
 
 def live_conditions(f: RequestFilter) -> Column:

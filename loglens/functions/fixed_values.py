@@ -24,7 +24,7 @@ TLS_CIPHERS = {
     52393: "TLS_ECDHE_ECDSA_WITH_CHACHA20_POLY1305",
 }
 
-# -- Fixed values: stored length of each text column ---------------------------
+# -- Fixed values: length of each text column where it is cut for display ---------------------------
 FIELD_LENGTHS = {
     "method": 10,
     "uri": 4096,
@@ -39,8 +39,6 @@ FIELD_LENGTHS = {
     "logger_id": 20,
     "logger_name": 64,
 }
-RAW_LINE_LENGTH = 4096
-ERROR_LENGTH = 1024
 
 # -- Fixed values: user-agent words of scanners, bad bots and all bots/tools -----
 SCANNER_WORDS = (

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.filters import RequestFilter, in_range, stream_filter
+from loglens.filters import RequestFilter, stream_filter, within
 from loglens.functions import measures as m
 from loglens.functions.text import none_if_empty
 from loglens.functions.times import micros
@@ -67,7 +68,7 @@ def rates(summary: DataFrame, keys: list[str], seconds: int) -> DataFrame:
 def live_metrics_at(requests: DataFrame, now: datetime, *, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Metrics of the ``seconds`` before ``now``, both ends included."""
     end = naive_utc(now)
-    rows = requests.filter(in_range(requests, TimeRange(end - timedelta(seconds=seconds), end)))
+    rows = within(requests, TimeRange(end - timedelta(seconds=seconds), end))
     summary = summarize(
         _measured(rows), [], _totals(),
         greatest=_edges(),
@@ -81,21 +82,25 @@ def live_metrics(
 ) -> DataFrame:
     """Metrics of every window [end - seconds, end) with traffic, one each ``step`` seconds.
 
-    Requests are added up per step first; only those sums are copied to the windows they
-    fall in.
+    Requests are added up per slot first, the longest that divides step and window; only those
+    sums are copied to the windows they fall in.
     """
+    width = gcd(seconds, step)
     rows = _measured(stream_filter(requests, f) if f else requests)
-    rows = rows.withColumn("slot", F.floor(F.col("at_us") / (step * _SECOND)))
+    rows = rows.withColumn("slot", F.floor(F.col("at_us") / (width * _SECOND)))
     totals = _totals()
     edges = _edges()
     parts = m.named(totals) + [F.max(c).alias(n) for n, c in edges.items()]
     per_slot = lines(rows, ["slot"], parts, "visitor")
-    spread = per_slot.withColumn(
-        "slot", F.explode(F.sequence(F.col("slot") + 1, F.col("slot") + seconds // step))
-    )
+    # Windows end at multiples of the step, after the slot and at most a window later.
+    every = step // width
+    first = F.ceil((F.col("slot") + 1) / every) * every
+    last = F.col("slot") + seconds // width
+    ends = F.when(first <= last, F.sequence(first, last, F.lit(every).cast("bigint")))
+    spread = per_slot.withColumn("slot", F.explode(ends))
     merged = regroup(spread, ["slot"], list(totals), list(edges))
     summary = finish(merged, ["slot"], list(totals), list(edges), "unique_ips", {"p50": upper_median})
-    end = F.timestamp_micros(F.col("slot") * (step * _SECOND)).cast(requests.schema["ts"].dataType)
+    end = F.timestamp_micros(F.col("slot") * (width * _SECOND)).cast(requests.schema["ts"].dataType)
     return rates(summary.withColumn("window_end", end), ["window_end"], seconds)
 
 

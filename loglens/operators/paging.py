@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.filters import RequestFilter, filter_requests, in_range
+from loglens.filters import RequestFilter, filter_requests, within
 from loglens.functions.fixed_values import PAGE_COLUMNS, SORTABLE_COLUMNS
 from loglens.functions import measures as m
 from loglens.timerange import TimeRange
@@ -48,13 +48,14 @@ def requests_by_ids(requests: DataFrame, ids: DataFrame) -> DataFrame:
     return requests.join(ids.select("id").distinct(), "id", "left_semi")
 
 
-def recent_requests(requests: DataFrame, *, limit: int = 100) -> DataFrame:
-    """The newest requests."""
-    return requests.orderBy(F.desc("ts"), F.desc("id")).limit(limit)
+def recent_requests(requests: DataFrame, tr: TimeRange | None = None, *, limit: int = 100) -> DataFrame:
+    """The newest requests; a range bounds what is read to find them."""
+    rows = within(requests, tr) if tr else requests
+    return rows.orderBy(F.desc("ts"), F.desc("id")).limit(limit)
 
 
 def _event_rows(events: DataFrame, tr: TimeRange, **equal: str | None) -> DataFrame:
-    rows = events.filter(in_range(events, tr))
+    rows = within(events, tr)
     for column, value in equal.items():
         if value:
             rows = rows.filter(F.col(column) == value)
@@ -74,7 +75,7 @@ def security_events_page(
 ) -> DataFrame:
     """One page of the matching events, newest first, with readable details."""
     rows = _event_rows(events, tr, host=host, remote_ip=remote_ip, event_type=event_type, severity=severity)
-    page = rows.orderBy(F.desc("ts"), F.asc("id")).offset(offset).limit(limit)
+    page = rows.orderBy(F.desc("ts"), F.asc("event_type"), F.asc("id")).offset(offset).limit(limit)
     details = F.coalesce(F.from_json("details", "map<string,string>"), F.create_map().cast("map<string,string>"))
     return page.withColumn("details", details)
 

@@ -37,8 +37,8 @@ _ENTRY_SCHEMA = """
     headers STRUCT<Host VARIANT, `User-Agent` VARIANT, Referer VARIANT, Referrer VARIANT>,
     tls STRUCT<version VARIANT, cipher_suite VARIANT, proto STRING, server_name STRING, resumed VARIANT, ech VARIANT>>,
   response STRUCT<status STRING, size STRING>,
-  status STRING, size STRING, bytes_written STRING, bytes_read STRING, duration STRING, malformed STRING"""
-_READING = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"}
+  status STRING, size STRING, bytes_written STRING, bytes_read STRING, duration STRING"""
+_READING = {"mode": "PERMISSIVE"}
 
 _TEXTS = {
     "msg": "msg",
@@ -75,11 +75,17 @@ def _written_fields() -> dict[str, Column]:
 
 
 def _is_json() -> Column:
-    """Whether a line is JSON at all; a field of an unexpected kind only leaves that field out."""
+    """Whether a line is one JSON value; a field of an unexpected kind only leaves that field out.
+
+    The parser stops behind the first value and takes no offence at what follows. Inside an array
+    only a comma or the closing bracket may follow it; the rare line with such a bracket is parsed
+    inside an object, too, where that bracket is an error.
+    """
     line = F.col("line")
-    readable = F.try_parse_json(line).isNotNull()
-    is_object = F.when(F.col(f"{_ENTRY}.malformed").isNull(), F.lit(True)).otherwise(readable)
-    return F.when(line.startswith("{"), line.endswith("}") & is_object).otherwise(readable)
+    alone = "try_parse_json(concat('[', line, ']'))"
+    one_value = F.expr(f"{alone} IS NOT NULL AND try_variant_get({alone}, '$[1]') IS NULL")
+    closed = F.try_parse_json(F.concat(F.lit('{"value":'), line, F.lit("}"))).isNotNull()
+    return one_value & (~line.rlike(r"\}\s*\]") | closed)
 
 
 def _first_truthy(*fields: str) -> Column:
@@ -156,10 +162,13 @@ def _fields() -> dict[str, Column]:
     }
 
 
-def _cut(name: str, value: Column) -> Column:
-    if name in fixed.FIELD_LENGTHS:
-        value = none_if_empty(F.substring(value, 1, fixed.FIELD_LENGTHS[name]))
-    return value
+def shortened(requests: DataFrame) -> DataFrame:
+    """Requests with their texts cut to the lengths that tables for display use.
+
+    Rules and reports read whole texts; nothing in the library calls this.
+    """
+    cut = {n: F.substring(n, 1, length) for n, length in fixed.FIELD_LENGTHS.items() if n in requests.columns}
+    return requests.withColumns(cut)
 
 
 def _outcome() -> tuple[Column, Column]:
@@ -210,7 +219,8 @@ def parse_lines(
     chosen = written.select("value", "log_source", "line", "is_json", *m.named(_chosen_fields()))
     outcome, error = _outcome()
     judged = generated(chosen, outcome=outcome, error_msg=error)
-    fields = {name: _cut(name, value) for name, value in _fields().items()}
+    texts = fixed.FIELD_LENGTHS
+    fields = {name: none_if_empty(value) if name in texts else value for name, value in _fields().items()}
     rows = judged.select(
         "value", "log_source", "outcome", "error_msg",
         *m.named(fields),
@@ -251,11 +261,11 @@ def as_requests(parsed: DataFrame) -> DataFrame:
 
 
 def as_parse_errors(parsed: DataFrame, now: Column) -> DataFrame:
-    """Lines that could not be read, cut to the stored length."""
+    """Lines that could not be read, whole, so that they can be parsed again."""
     return parsed.filter(F.col("outcome") == ERROR).select(
         F.xxhash64("log_source", "value").alias("id"),
         now.alias("ts"),
-        F.substring("value", 1, fixed.RAW_LINE_LENGTH).alias("raw_line"),
-        F.substring("error_msg", 1, fixed.ERROR_LENGTH).alias("error_msg"),
+        F.col("value").alias("raw_line"),
+        "error_msg",
         "log_source",
     )

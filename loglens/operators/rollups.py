@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.filters import instant
+from loglens.filters import instant, on_days
 from loglens.functions import measures as m
 from loglens.operators.summaries import percentile, summarize
 
@@ -17,7 +17,7 @@ _DURATIONS = {"duration_p50": percentile(0.5), "duration_p95": percentile(0.95),
 def _closed_rows(requests: DataFrame, start: datetime, end: datetime, unit: str) -> DataFrame:
     """Rows of [start, end), with ``ts`` cut to the unit."""
     ts = F.col("ts")
-    rows = requests.filter((ts >= instant(requests, start)) & (ts < instant(requests, end)))
+    rows = requests.filter((ts >= instant(requests, start)) & (ts < instant(requests, end)) & on_days(requests, start, end))
     return rows.withColumn("ts", F.date_trunc(unit, ts).cast(requests.schema["ts"].dataType))
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.filters import in_range
+from loglens.filters import within
 from loglens.functions import measures as m
 from loglens.functions import threats
 from loglens.functions.net import with_cidr_bounds, with_ip_keys
@@ -32,14 +32,12 @@ class RuleSettings:
 
     rate_threshold: int = 300
     rate_seconds: int = 60
-    rate_cap: int = 1000
     empty_agent_over: int = 50
     options_over: int = 20
     scan_paths_over: int = 50
     session_gap_seconds: int = 3600
     logins_over: int = 10
     login_seconds: int = 3600
-    login_cap: int = 100
     slow_ms: int = 2000
 
 
@@ -69,8 +67,7 @@ def _emit(rows: DataFrame, *rules: tuple[Column, Column]) -> DataFrame:
 
 
 def _rules_of_one_request(s: RuleSettings) -> dict[str, tuple[Column, Column]]:
-    uri = F.substring(threats.lower_uri(), 1, 500)
-    agent = F.substring(threats.lower_agent(), 1, 200)
+    uri, agent = threats.lower_uri(), threats.lower_agent()
     duration = F.col("duration_ms")
     return {
         "sqli": (
@@ -131,9 +128,8 @@ def _timed(requests: DataFrame) -> DataFrame:
 
 
 def sec_window(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
-    """Requests of the same address in the trailing span at every request, up to the cap."""
-    counted = trailing_count(_timed(requests), "remote_ip", _AT, "id", s.rate_seconds * _SECOND, "in_window")
-    return counted.withColumn("in_window", F.least("in_window", F.lit(s.rate_cap)).cast("int"))
+    """Requests of the same address in the trailing span at every request."""
+    return trailing_count(_timed(requests), "remote_ip", _AT, "id", s.rate_seconds * _SECOND, "in_window")
 
 
 def _rate_rule(s: RuleSettings) -> tuple[Column, Column]:
@@ -193,7 +189,6 @@ def sec_auth_fail(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
     """Addresses that post to login pages again and again, whatever the answer."""
     posts = requests.filter(threats.is_login_attempt())
     counted = trailing_count(_timed(posts), "remote_ip", _AT, "id", s.login_seconds * _SECOND, "attempts")
-    counted = counted.withColumn("attempts", F.least("attempts", F.lit(s.login_cap)).cast("int"))
     return _emit(counted, _login_rule(s))
 
 
@@ -236,7 +231,7 @@ def security_events(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFram
 
 def top_threats(requests: DataFrame, tr: TimeRange, *, limit: int = 20) -> DataFrame:
     grouped = (
-        requests.filter(in_range(requests, tr) & (F.col("threat_score") > 0))
+        within(requests, tr).filter(F.col("threat_score") > 0)
         .groupBy("remote_ip")
         .agg(
             m.requests().alias("event_count"),

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,17 +94,32 @@ def _sink_parse_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sink_security_events(spark: SparkSession, sf: str) -> DataFrame:
     path = fx.scratch(spark, "security_events")
-    sinks.sink_security_events(security.sec_sqli(fx.requests(spark, sf)), path)
+    sinks.sink_security_events(_events(spark, sf), path)
     return spark.read.parquet(path).select("ts", "event_type", "severity", "remote_ip", "host", "uri", "details")
 
 
 def _retention_purge(spark: SparkSession, sf: str) -> DataFrame:
-    raw = fx.requests(spark, sf)
-    hourly = rollups.rollup_hourly(raw, START, END)
-    return (
-        sinks.retention_report(raw, "requests", NOW, CUTOFF_DAYS)
-        .unionByName(sinks.retention_report(security.sec_slow(raw), "security_events", NOW, CUTOFF_DAYS))
-        .unionByName(sinks.retention_report(hourly, "stats_hourly", NOW, 25))
+    """All five tables as the pipeline stores them, purged with a cutoff at noon and read back."""
+    raw, now = fx.requests(spark, sf), NOW + timedelta(hours=12)
+    parsed = parse.parse_lines(fx.raw_lines(spark, sf))
+    tables = {
+        "requests": [raw],
+        "parse_errors": [parse.as_parse_errors(parsed, F.lit(at)) for at in (START, NOW)],
+        "security_events": [_events(spark, sf)],
+        "stats_minutely": [rollups.rollup_minutely(raw, START, END)],
+        "stats_hourly": [rollups.rollup_hourly(raw, START, END)],
+    }
+    changes = []
+    for name, batches in tables.items():
+        path = fx.scratch(spark, name)
+        for number, rows in enumerate(batches):
+            sinks.write_batch(rows, path, number)
+            changes.append(rows.select(F.lit(name).alias("table_name"), F.lit(1).alias("purged"), F.lit(0).alias("kept")))
+        sinks.retention_purge(spark, path, now, CUTOFF_DAYS + 1)
+        stored = spark.read.parquet(path)
+        changes.append(stored.select(F.lit(name).alias("table_name"), F.lit(-1).alias("purged"), F.lit(1).alias("kept")))
+    return reduce(DataFrame.unionByName, changes).groupBy("table_name").agg(
+        F.sum("purged").alias("purged"), F.sum("kept").alias("kept")
     )
 
 
@@ -205,6 +221,13 @@ def _drop_country_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _request_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    """The slowest request looked up by its id."""
+    rows = fx.requests(spark, sf)
+    slowest = rows.agg(F.max(F.struct("duration_ms", "id"))["id"]).first()[0]
+    return paging.request_by_id(rows, slowest)
+
+
+def _requests_by_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The slowest requests of each site looked up by their id."""
     rows = fx.requests(spark, sf)
     slowest = rows.groupBy("host").agg(F.max(F.struct("duration_ms", "id"))["id"].alias("id"))
@@ -240,15 +263,19 @@ def _security_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _security_events_page(spark: SparkSession, sf: str) -> DataFrame:
-    rows = security.sec_xss(fx.requests(spark, sf))
-    page = paging.security_events_page(rows, MONTH, severity="medium", limit=25, offset=5)
+    page = paging.security_events_page(_events(spark, sf), MONTH, severity="high", limit=25, offset=5)
     return page.select("ts", "event_type", "remote_ip", F.col("details")["uri"].alias("detail_uri"))
 
 
 def _security_event_by_id(spark: SparkSession, sf: str) -> DataFrame:
-    rows = security.sec_traversal(fx.requests(spark, sf))
-    last = rows.agg(F.max(F.struct("ts", "id"))["id"].alias("wanted"))
-    return rows.join(F.broadcast(last), F.col("id") == F.col("wanted"), "left_semi").select("ts", "remote_ip", "details")
+    """The newest event looked up by its id."""
+    rows = _events(spark, sf)
+    last = rows.agg(F.max(F.struct("ts", "event_type", "severity", "id"))["id"]).first()[0]
+    return paging.security_event_by_id(rows, last).select("ts", "event_type", "remote_ip", "details")
+
+
+def _security_events_total(spark: SparkSession, sf: str) -> DataFrame:
+    return paging.security_events_total(_events(spark, sf), MONTH, severity="medium")
 
 
 def _ip_list_match(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,7 +295,7 @@ def _alert_metric(metric: Callable[..., DataFrame], located: bool = False) -> Qu
 
 
 def _alert_security_event(spark: SparkSession, sf: str) -> DataFrame:
-    return alerts.alert_security_event(security.sec_scanner(fx.requests(spark, sf))).select("tick", "scope", "shown")
+    return alerts.alert_security_event(_events(spark, sf)).select("tick", "scope", "shown")
 
 
 def _fired(spark: SparkSession, sf: str) -> DataFrame:
@@ -292,6 +319,16 @@ def _live(spark: SparkSession, sf: str) -> DataFrame:
     return live.live_metrics(fx.requests(spark, sf), seconds=LIVE_SECONDS, step=LIVE_STEP)
 
 
+def _live_at(spark: SparkSession, sf: str) -> DataFrame:
+    """The last day of the tables as one window with both ends."""
+    return live.live_metrics_at(fx.requests(spark, sf), NOW - timedelta(days=1), seconds=24 * 3600)
+
+
+def _live_uneven(spark: SparkSession, sf: str) -> DataFrame:
+    """A step that does not divide the window."""
+    return live.live_metrics(fx.requests(spark, sf), seconds=1800, step=420).select("window_end", "req_count", "unique_ips")
+
+
 def _live_filtered(spark: SparkSession, sf: str) -> DataFrame:
     f = RequestFilter(host="site2.example.com", method="POST", path="/p")
     return live.live_metrics_filtered(fx.requests(spark, sf), f, seconds=LIVE_SECONDS, step=LIVE_STEP)
@@ -385,6 +422,7 @@ QUERIES: dict[str, Query] = {
     "requests_page": _requests_page,
     "requests_total": _report(paging.requests_total),
     "request_by_id": _request_by_id,
+    "requests_by_ids": _requests_by_ids,
     "stream_filter": _stream_filter,
     # reports
     "overview": _report(analytics.overview),
@@ -444,6 +482,7 @@ QUERIES: dict[str, Query] = {
     "security_events": _security_events,
     "security_events_page": _security_events_page,
     "security_event_by_id": _security_event_by_id,
+    "security_events_total": _security_events_total,
     "top_threats": _report(security.top_threats, located=True),
     "ip_list_match": _ip_list_match,
     # alerts
@@ -463,6 +502,8 @@ QUERIES: dict[str, Query] = {
     # live and derived
     "live_metrics": _live,
     "live_metrics_filtered": _live_filtered,
+    "live_metrics_at": _live_at,
+    "live_metrics_uneven": _live_uneven,
     "health_level": _from(_report(analytics.overview), derived.health_level),
     "status_distribution": _from(_report(analytics.overview), derived.status_distribution),
     "geo_share": _from(_report(analytics.top_countries, located=True, limit=None), derived.geo_share),

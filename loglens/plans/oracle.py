@@ -105,12 +105,12 @@ _UA = "lower(COALESCE(user_agent, ''))"
 _URI = "lower(COALESCE(uri, ''))"
 
 _WINDOWED = """windowed AS (
-  SELECT *, CAST(least(COUNT(*) OVER (PARTITION BY remote_ip ORDER BY ts
-      RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW), 1000) AS INTEGER) AS in_window
+  SELECT *, COUNT(*) OVER (PARTITION BY remote_ip ORDER BY ts
+      RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS in_window
   FROM requests)"""
 _LOGINS = """logins AS (
-  SELECT *, CAST(least(COUNT(*) OVER (PARTITION BY remote_ip ORDER BY ts
-      RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW), 100) AS INTEGER) AS attempts
+  SELECT *, COUNT(*) OVER (PARTITION BY remote_ip ORDER BY ts
+      RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS attempts
   FROM requests WHERE method = 'POST' AND regexp_matches(lower(path), '/login|/auth|/signin|/wp-login'))"""
 _SCANS = """gaps AS (
   SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY remote_ip ORDER BY ts) > INTERVAL 24 HOURS THEN 1 ELSE 0 END AS b
@@ -132,11 +132,11 @@ def _event(kind: str, severity: str, details: str, source: str, where: str) -> s
 
 _RULES = {
     "sec_rate_limit": _event("rate_limit_trigger", "high", "'req_per_min', in_window, 'threshold', 4", "windowed", "in_window >= 4"),
-    "sec_sqli": _event("sql_injection_attempt", "high", f"'pattern', 'sqli', 'uri', left({_URI}, 500)", "requests", f"regexp_matches({_URI}, '{_SQLI}')"),
-    "sec_xss": _event("xss_attempt", "medium", f"'uri', left({_URI}, 500)", "requests", f"regexp_matches({_URI}, '{_XSS}')"),
-    "sec_traversal": _event("path_traversal", "high", f"'uri', left({_URI}, 500)", "requests", f"regexp_matches({_URI}, '{_TRAVERSAL}')"),
-    "sec_scanner": _event("known_scanner", "critical", f"'ua', left({_UA}, 200)", "requests", f"regexp_matches({_UA}, '{_SCANNERS}')"),
-    "sec_bad_bot": _event("bad_bot", "low", f"'ua', left({_UA}, 200)", "requests", f"regexp_matches({_UA}, '{_BAD_BOTS}') AND NOT regexp_matches({_UA}, '{_SCANNERS}')"),
+    "sec_sqli": _event("sql_injection_attempt", "high", f"'pattern', 'sqli', 'uri', {_URI}", "requests", f"regexp_matches({_URI}, '{_SQLI}')"),
+    "sec_xss": _event("xss_attempt", "medium", f"'uri', {_URI}", "requests", f"regexp_matches({_URI}, '{_XSS}')"),
+    "sec_traversal": _event("path_traversal", "high", f"'uri', {_URI}", "requests", f"regexp_matches({_URI}, '{_TRAVERSAL}')"),
+    "sec_scanner": _event("known_scanner", "critical", f"'ua', {_UA}", "requests", f"regexp_matches({_UA}, '{_SCANNERS}')"),
+    "sec_bad_bot": _event("bad_bot", "low", f"'ua', {_UA}", "requests", f"regexp_matches({_UA}, '{_BAD_BOTS}') AND NOT regexp_matches({_UA}, '{_SCANNERS}')"),
     "sec_empty_ua": _event("bad_bot", "medium", "'ua', 'empty', 'req_per_min', in_window", "windowed", f"{_UA} = '' AND in_window > 2"),
     "sec_port_scan": _event("port_scan_attempt", "high", "'unique_404_paths', paths", "scans", "paths > 2"),
     "sec_auth_fail": _event("repeated_auth_fail", "high", "'login_attempts', attempts", "logins", "attempts > 2"),
@@ -200,20 +200,21 @@ fired AS MATERIALIZED (
 
 # -- live ------------------------------------------------------------------------------------------
 
-def _live(where: str) -> str:
+def _live(where: str, key: str = "slot + i AS slot", span: float = 1800.0, copies: str = ", range(1, 7) AS r(i)") -> str:
+    end = "make_timestamp(slot * 300000000) AS window_end, " if copies else ""
     classes = ", ".join(f"COUNT(*) FILTER (status_class = '{c}xx') AS req_{c}xx" for c in "2345")
     rates = ", ".join(f"round_even(req_{c}xx / elapsed, 2) AS rps_{c}xx" for c in "2345")
     return f"""WITH slots AS (
   SELECT *, epoch_us(ts) // 300000000 AS slot FROM requests WHERE {where}),
 wins AS (
-  SELECT slot + i AS slot, COUNT(*) AS req_count, {classes},
+  SELECT {key}, COUNT(*) AS req_count, {classes},
     COUNT(DISTINCT remote_ip) AS unique_ips,
     COALESCE(list_sort(list(duration_ms) FILTER (duration_ms IS NOT NULL))[COUNT(duration_ms) // 2 + 1], 0) AS p50_ms,
     CAST(SUM(COALESCE(response_bytes, 0)) AS BIGINT) AS bytes_out,
     CAST(SUM(COALESCE(request_bytes, 0)) AS BIGINT) AS bytes_in,
-    CASE WHEN COUNT(*) >= 2 THEN greatest((epoch_us(MAX(ts)) - epoch_us(MIN(ts))) / 1e6, 0.5) ELSE 1800.0 END AS elapsed
-  FROM slots, range(1, 7) AS r(i) GROUP BY ALL)
-SELECT make_timestamp(slot * 300000000) AS window_end, req_count, round_even(req_count / elapsed, 2) AS rps, {rates},
+    CASE WHEN COUNT(*) >= 2 THEN greatest((epoch_us(MAX(ts)) - epoch_us(MIN(ts))) / 1e6, 0.5) ELSE {span} END AS elapsed
+  FROM slots{copies} GROUP BY ALL)
+SELECT {end}req_count, round_even(req_count / elapsed, 2) AS rps, {rates},
   round_even((req_4xx + req_5xx) / req_count, 4) AS error_rate, unique_ips, p50_ms, bytes_out, bytes_in,
   req_2xx, req_3xx, req_4xx, req_5xx FROM wins"""
 
@@ -259,15 +260,16 @@ WHERE id % 83 <> 0 AND id % 5 > 0 AND ts >= TIMESTAMP '2024-01-10' AND (id % 3 <
   MAX(ts) AS last_ts FROM requests GROUP BY ALL""",
     "sink_parse_errors": """SELECT concat('source', id % 3) AS log_source, 'line is not valid JSON' AS error_msg,
   COUNT(*) AS lines FROM requests WHERE id % 97 = 0 AND id % 83 <> 0 GROUP BY ALL""",
-    "sink_security_events": _RULES["sec_sqli"],
+    "sink_security_events": _EVENTS + "SELECT * FROM events_found",
     "recent_requests": "SELECT id, ts, host, uri FROM requests ORDER BY ts DESC, id DESC LIMIT 100",
-    "retention_purge": """WITH hours AS (SELECT DISTINCT date_trunc('hour', ts) AS ts, host FROM requests)
-SELECT 'requests' AS table_name, COUNT(*) FILTER (ts < TIMESTAMP '2024-01-11') AS purged,
-  COUNT(*) FILTER (ts >= TIMESTAMP '2024-01-11') AS kept FROM requests
-UNION ALL SELECT 'security_events', COUNT(*) FILTER (ts < TIMESTAMP '2024-01-11'),
-  COUNT(*) FILTER (ts >= TIMESTAMP '2024-01-11') FROM requests WHERE duration_ms > 2000
-UNION ALL SELECT 'stats_hourly', COUNT(*) FILTER (ts < TIMESTAMP '2024-01-06'),
-  COUNT(*) FILTER (ts >= TIMESTAMP '2024-01-06') FROM hours""",
+    "retention_purge": f"""{_EVENTS}, stored AS (
+  SELECT 'requests' AS table_name, ts FROM requests
+  UNION ALL SELECT 'parse_errors', unnest([TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31']) FROM requests WHERE id % 97 = 0 AND id % 83 <> 0
+  UNION ALL SELECT 'security_events', ts FROM events_found
+  UNION ALL SELECT 'stats_minutely', ts FROM (SELECT DISTINCT date_trunc('minute', ts) AS ts, host FROM requests)
+  UNION ALL SELECT 'stats_hourly', ts FROM (SELECT DISTINCT date_trunc('hour', ts) AS ts, host FROM requests))
+SELECT table_name, COUNT(*) FILTER (ts < TIMESTAMP '2024-01-10 12:00:00') AS purged,
+  COUNT(*) FILTER (ts >= TIMESTAMP '2024-01-10 12:00:00') AS kept FROM stored GROUP BY table_name""",
     # parsing
     "parse_lines": _parsed("*"),
     "parse_outcomes": """SELECT CASE WHEN id % 83 = 0 THEN 'skip' WHEN id % 97 = 0 THEN 'error' WHEN id % 89 = 0 THEN 'skip'
@@ -302,6 +304,8 @@ SELECT period, bucket, hint, COUNT(ts) AS req_count FROM ranges LEFT JOIN reques
   threat_score FROM requests WHERE {MONTH} ORDER BY duration_ms DESC NULLS LAST, id LIMIT 50 OFFSET 100""",
     "requests_total": f"SELECT COUNT(*) AS total FROM requests WHERE {MONTH}",
     "request_by_id": """SELECT * EXCLUDE (country_code, country_name, city, latitude, longitude) FROM requests
+ORDER BY duration_ms DESC NULLS LAST, id DESC LIMIT 1""",
+    "requests_by_ids": """SELECT * EXCLUDE (country_code, country_name, city, latitude, longitude) FROM requests
 QUALIFY row_number() OVER (PARTITION BY host ORDER BY duration_ms DESC NULLS LAST, id DESC) = 1""",
     "stream_filter": """SELECT id, path, status FROM requests
 WHERE host = 'site1.example.com' AND status_class = '4xx' AND contains(path, 'error/1')""",
@@ -386,10 +390,12 @@ WHERE {MONTH} AND user_agent IS NOT NULL AND user_agent <> '' GROUP BY remote_ip
     "sec_window_60s": f"WITH {_WINDOWED} SELECT id, remote_ip, in_window FROM windowed",
     **{name: f"{_STATES}\n{sql}" for name, sql in _RULES.items()},
     "security_events": _EVENTS + "SELECT * FROM events_found",
-    "security_events_page": f"""SELECT ts, 'xss_attempt' AS event_type, remote_ip, {_URI} AS detail_uri
-FROM requests WHERE {MONTH} AND regexp_matches({_URI}, '{_XSS}') ORDER BY ts DESC LIMIT 25 OFFSET 5""",
-    "security_event_by_id": f"""SELECT ts, remote_ip, CAST(json_object('uri', {_URI}) AS VARCHAR) AS details
-FROM requests WHERE regexp_matches({_URI}, '{_TRAVERSAL}') ORDER BY ts DESC LIMIT 1""",
+    "security_events_page": f"""{_EVENTS} SELECT ts, event_type, remote_ip, json_extract_string(details, '$.uri') AS detail_uri
+FROM events_found WHERE {MONTH} AND severity = 'high' ORDER BY ts DESC, event_type LIMIT 25 OFFSET 5""",
+    "security_events_total": f"""{_EVENTS} SELECT COUNT(*) AS total FROM events_found
+WHERE {MONTH} AND severity = 'medium'""",
+    "security_event_by_id": f"""{_EVENTS} SELECT ts, event_type, remote_ip, details FROM events_found
+ORDER BY ts DESC, event_type DESC, severity DESC LIMIT 1""",
     "top_threats": f"""SELECT remote_ip, COUNT(*) AS event_count, CAST(MAX(threat_score) AS INTEGER) AS max_score,
   MAX(country_code) AS country_code, MIN(ts) AS first_seen, MAX(ts) AS last_seen
 FROM requests WHERE {MONTH} AND threat_score > 0 GROUP BY remote_ip
@@ -399,9 +405,8 @@ ORDER BY max_score DESC, event_count DESC, remote_ip LIMIT 20""",
     "alert_error_rate": _metric("error_rate", 4),
     "alert_latency_p95": _metric("latency_p95", 0),
     "alert_bandwidth": _metric("bandwidth", 0),
-    "alert_security_event": f"""WITH found AS (
-  SELECT date_trunc('minute', ts) AS minute, scope FROM requests, unnest(['*', host]) AS s(scope)
-  WHERE regexp_matches({_UA}, '{_SCANNERS}'))
+    "alert_security_event": f"""{_EVENTS}, found AS (
+  SELECT date_trunc('minute', ts) AS minute, scope FROM events_found, unnest(['*', host]) AS s(scope))
 SELECT minute + INTERVAL (i) MINUTE AS tick, scope, CAST(COUNT(*) AS DOUBLE) AS shown
 FROM found, range(1, 6) AS r(i) GROUP BY ALL""",
     "alert_evaluate": f"WITH RECURSIVE {_FIRED} SELECT * FROM fired",
@@ -423,6 +428,12 @@ WHERE window_end <= (SELECT MAX(ts) - INTERVAL 5 MINUTE FROM base)""",
 FROM parsed p JOIN requests r USING (ts)""",
     # live and derived
     "live_metrics": _live("TRUE"),
+    "live_metrics_at": _live(
+        "ts BETWEEN TIMESTAMP '2024-01-29' AND TIMESTAMP '2024-01-30'", "1 AS one", 86400.0, ""),
+    "live_metrics_uneven": """SELECT make_timestamp(e * 420000000) AS window_end, COUNT(*) AS req_count,
+  COUNT(DISTINCT remote_ip) AS unique_ips
+FROM (SELECT remote_ip, unnest(range(epoch_us(ts) // 420000000 + 1, (epoch_us(ts) + 1800000000) // 420000000 + 1)) AS e
+  FROM requests) GROUP BY ALL""",
     "live_metrics_filtered": _live("host = 'site2.example.com' AND method = 'POST' AND contains(path, '/p')"),
     "health_level": f"""SELECT total_requests, error_rate, CASE WHEN error_rate > 0.1 THEN 'critical'
   WHEN error_rate > 0.05 THEN 'degraded' ELSE 'healthy' END AS level FROM ({_OVERVIEW}) WHERE total_requests > 0""",

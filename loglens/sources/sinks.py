@@ -11,8 +11,6 @@ from loglens.filters import instant
 from loglens.functions import measures as m
 from loglens.timerange import naive_utc
 
-MAX_RETENTION_DAYS = 30
-
 
 def _by_day(df: DataFrame) -> DataFrame:
     return df.withColumn("date", F.to_date("ts"))
@@ -47,8 +45,18 @@ def replace_days(table: DataFrame, path: str) -> None:
     )
 
 
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path's constructor."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.Path
+
+
 def write_batch(table: DataFrame, path: str, batch_id: int) -> None:
-    """Store one micro-batch of a stream; writing it again replaces it."""
+    """Store one micro-batch of a stream; writing it again replaces it, also where its rows
+    now fall on other days (rows stamped with the time of writing do)."""
+    files, at = _files(table.sparkSession, path)
+    for found in files.globStatus(at(f"{path}/date=*/batch_id={batch_id}")) or []:
+        files.delete(found.getPath(), True)
     (
         _by_day(table)
         .withColumn("batch_id", F.lit(batch_id))
@@ -59,11 +67,9 @@ def write_batch(table: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
-def clamp_retention(days: int) -> int:
-    return min(max(days, 1), MAX_RETENTION_DAYS)
-
-
 def retention_cutoff(now: datetime, days: int) -> datetime:
+    if days < 1:
+        raise ValueError("a retention is at least one day")
     return naive_utc(now) - timedelta(days=days)
 
 
@@ -87,21 +93,25 @@ def retention_report(table: DataFrame, name: str, now: datetime, days: int) -> D
 def retention_purge(spark: SparkSession, path: str, now: datetime, days: int) -> None:
     """Remove rows older than the retention from a table stored by day.
 
-    Whole days are deleted as folders; only the day the cutoff falls into is rewritten.
+    Whole days are deleted as folders; only the day the cutoff falls into is rewritten, in the
+    table's own layout (by day, or by day and micro-batch). A cutoff at midnight rewrites nothing.
     """
     cutoff = retention_cutoff(now, days)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, at = _files(spark, path)
     boundary = f"date={cutoff.date().isoformat()}"
     table = spark.read.parquet(path)
+    layout = [c for c in ("date", "batch_id") if c in table.columns]
     day = table.filter(F.col("date") == F.lit(cutoff.date()))
-    rest = day.filter(_is_kept(table, cutoff))
-    if not rest.isEmpty():
-        rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-    else:
-        files.delete(hadoop.Path(root, boundary), True)
-    for status in files.listStatus(root):
+    if cutoff.time() != datetime.min.time():
+        # Parts of the day that keep no row are not rewritten, so they go as folders.
+        parts = day.groupBy(*layout).agg(F.max(_is_kept(table, cutoff)).alias("stays"))
+        emptied = parts.filter(~F.col("stays")).select(*layout).collect()
+        day.filter(_is_kept(table, cutoff)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy(*layout).parquet(path)
+        for part in emptied:
+            files.delete(at(path + "".join(f"/{name}={part[name]}" for name in layout)), True)
+    for status in files.listStatus(at(path)):
         name = status.getPath().getName()
         if name.startswith("date=") and name < boundary:
             files.delete(status.getPath(), True)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from loglens.operators import enrich, parse
+from loglens.operators import enrich, parse, security
 from loglens.sources.sinks import write_batch
 
+
 @dataclass(frozen=True)
 class Dimensions:
     """The small tables that parsing and enrichment look things up in."""
@@ -30,17 +31,29 @@ def enriched(parsed: DataFrame, geo: DataFrame | None = None) -> DataFrame:
 
 
 def stream_pipeline(
-    lines: DataFrame, requests_path: str, errors_path: str, checkpoint: str, dimensions: Dimensions = Dimensions()
+    lines: DataFrame,
+    requests_path: str,
+    errors_path: str,
+    checkpoint: str,
+    dimensions: Dimensions = Dimensions(),
+    *,
+    events_path: str | None = None,
+    rules: security.RuleSettings = security.DEFAULTS,
 ) -> DataStreamWriter:
     """The query that stores what ``lines`` (value, log_source) say; start it with a trigger.
 
+    With ``events_path`` the events of the rules about one request are stored as well; those about an
+    address's past need state and run as ``streaming.security.stream_past`` over the stored requests.
     A repeated micro-batch replaces its own files, so every line is stored once.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         parsed = parse.parse_lines(batch, dimensions.logger_hosts, dimensions.source_labels).persist()
         try:
-            write_batch(enriched(parsed, dimensions.geo), requests_path, batch_id)
+            rows = enriched(parsed, dimensions.geo)
+            write_batch(rows, requests_path, batch_id)
+            if events_path:
+                write_batch(security.single_request_events(rows, rules), events_path, batch_id)
             write_batch(parse.as_parse_errors(parsed, F.current_timestamp()), errors_path, batch_id)
         finally:
             parsed.unpersist()

@@ -1,10 +1,11 @@
 """Security events from a stream of requests.
 
 Rules about one request run as plain expressions. The rules about an address's past keep
-per address: the last arrivals and login attempts (both bounded by their caps), the paths
-not found in the current session (in the state store, not in memory) and a timer that
-forgets the address after a session's silence. What an address adds in one micro-batch is
-bounded by the source's rate limit.
+per address: how often it arrived and tried to log in at each instant of the trailing window, the
+paths not found in the current session (in the state store, not in memory) and a timer that forgets
+the address when neither window nor session can still matter. What an address adds in one
+micro-batch is bounded by the source's rate limit. A late row counts all rows before it; events
+already given out are not taken back.
 """
 
 from __future__ import annotations
@@ -40,27 +41,41 @@ _COUNTED = T.StructType(
         T.StructField("uri", T.StringType()),
         T.StructField("method", T.StringType()),
         T.StructField("no_agent", T.BooleanType()),
-        T.StructField("in_window", T.IntegerType()),
-        T.StructField("attempts", T.IntegerType()),
+        T.StructField("in_window", T.LongType()),
+        T.StructField("attempts", T.LongType()),
         T.StructField("paths", T.LongType()),
     ]
 )
-_TIMES = T.StructType([T.StructField("at", T.ArrayType(T.LongType()))])
+_TIMES = T.StructType(
+    [T.StructField("at", T.ArrayType(T.LongType())), T.StructField("rows", T.ArrayType(T.LongType()))]
+)
 _SEEN = T.StructType([T.StructField("at", T.LongType()), T.StructField("paths", T.LongType())])
 _PATH = T.StructType([T.StructField("path", T.StringType())])
 _MARK = T.StructType([T.StructField("known", T.BooleanType())])
 
 
-def trailing_counts(earlier: list[int], arrivals: np.ndarray, span: int, cap: int) -> tuple[np.ndarray, list[int]]:
-    """For sorted arrivals, how many came within ``span`` up to each, and the times to keep."""
-    before = np.sort(np.asarray(earlier, dtype="int64"))
-    times = np.sort(np.concatenate([before, arrivals]))
+def trailing_counts(
+    earlier: tuple[list[int], list[int]], arrivals: np.ndarray, span: int, settled: int
+) -> tuple[np.ndarray, tuple[list[int], list[int]]]:
+    """For sorted arrivals, how many came within ``span`` up to each, and what to keep.
+
+    ``earlier`` and what is kept are instants and their numbers of rows. No row from before
+    ``settled`` will come any more.
+    """
+    before, rows = (np.asarray(part, dtype="int64") for part in earlier)
+    passed = np.concatenate([[0], np.cumsum(rows)])
+
+    def within(side: str, instants: np.ndarray) -> np.ndarray:
+        return passed[np.searchsorted(before, instants, side=side)]
+
     # Up to each arrival there are the earlier ones not after it and the new ones in order.
-    so_far = np.searchsorted(before, arrivals, side="right") + np.arange(1, len(arrivals) + 1)
-    gone = np.searchsorted(times, arrivals - span, side="left")
-    counts = np.minimum(so_far - gone, cap)
-    kept = times[times >= (times[-1] - span)][-cap:] if len(times) else times
-    return counts, kept.tolist()
+    so_far = within("right", arrivals) + np.arange(1, len(arrivals) + 1)
+    gone = within("left", arrivals - span) + np.searchsorted(arrivals, arrivals - span, side="left")
+    instants, place = np.unique(np.concatenate([before, arrivals]), return_inverse=True)
+    merged = np.zeros(len(instants), dtype="int64")
+    np.add.at(merged, place, np.concatenate([rows, np.ones(len(arrivals), dtype="int64")]))
+    needed = instants >= min(instants[-1], settled) - span
+    return so_far - gone, (instants[needed].tolist(), merged[needed].tolist())
 
 
 class AddressRules(StatefulProcessor):
@@ -76,8 +91,8 @@ class AddressRules(StatefulProcessor):
         self.seen = handle.getValueState("seen", _SEEN)
         self.missing = handle.getMapState("missing", _PATH, _MARK)
 
-    def _times(self, state) -> list[int]:
-        return list(state.get()[0]) if state.exists() else []
+    def _times(self, state) -> tuple[list[int], list[int]]:
+        return tuple(map(list, state.get())) if state.exists() else ([], [])
 
     def _count_paths(self, rows: pd.DataFrame) -> list[int]:
         last, paths = self.seen.get() if self.seen.exists() else (None, 0)
@@ -102,22 +117,26 @@ class AddressRules(StatefulProcessor):
         s = self.settings
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "id"], ignore_index=True)
         at = batch["at_us"].to_numpy(dtype="int64")
-        in_window, kept = trailing_counts(self._times(self.arrivals), at, s["rate_seconds"] * _SECOND, s["rate_cap"])
-        self.arrivals.update((kept,))
+        settled = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
+        in_window, kept = trailing_counts(self._times(self.arrivals), at, s["rate_seconds"] * _SECOND, settled)
+        self.arrivals.update(kept)
 
         paths = self._count_paths(batch)
         is_login = batch["is_login"].to_numpy(dtype=bool)
         attempts = np.zeros(len(batch), dtype="int64")
         if is_login.any():
             attempts[is_login], kept = trailing_counts(
-                self._times(self.logins), at[is_login], s["login_seconds"] * _SECOND, s["login_cap"]
+                self._times(self.logins), at[is_login], s["login_seconds"] * _SECOND, settled
             )
-            self.logins.update((kept,))
+            self.logins.update(kept)
 
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        # Timers count milliseconds; the session outlives the gap itself.
-        self.handle.registerTimer(int(at[-1]) // 1000 + s["session_gap_seconds"] * 1000 + 1)
+        # Timers count milliseconds; what is known outlives the longest span itself. A late batch
+        # does not move the timer back.
+        newest = self.seen.get()[0]
+        longest = max(s["session_gap_seconds"], s["login_seconds"], s["rate_seconds"])
+        self.handle.registerTimer(newest // 1000 + longest * 1000 + 1)
 
         batch = batch.assign(in_window=in_window, attempts=attempts, paths=paths)
         raised = (
@@ -127,7 +146,7 @@ class AddressRules(StatefulProcessor):
             | (batch["attempts"] > s["logins_over"])
             | (batch["paths"] > s["scan_paths_over"])
         )
-        yield batch.loc[raised, _COUNTED.fieldNames()].astype({"in_window": "int32", "attempts": "int32"})
+        yield batch.loc[raised, _COUNTED.fieldNames()].astype({"in_window": "int64", "attempts": "int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         for state in (self.arrivals, self.logins, self.seen, self.missing):
@@ -154,7 +173,12 @@ def count_by_address(requests: DataFrame, s: RuleSettings = DEFAULTS, *, waterma
     ).withColumn("ts", F.timestamp_micros("at_us"))
 
 
+def stream_past(requests: DataFrame, s: RuleSettings = DEFAULTS, *, watermark: str = WATERMARK) -> DataFrame:
+    """The events of the rules about an address's past. Its state needs the RocksDB state store."""
+    return security.counted_events(count_by_address(requests, s, watermark=watermark), s)
+
+
 def stream_security(requests: DataFrame, s: RuleSettings = DEFAULTS, *, watermark: str = WATERMARK) -> DataFrame:
     """All security events of a stream. Its state needs the RocksDB state store."""
     own = security.single_request_events(requests.withColumn("ts", F.col("ts").cast("timestamp")), s)
-    return own.unionByName(security.counted_events(count_by_address(requests, s, watermark=watermark), s))
+    return own.unionByName(stream_past(requests, s, watermark=watermark))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -43,7 +44,7 @@ SCHEMA = (
     "status int, user_agent string, duration_ms int"
 )
 SETTINGS = security.RuleSettings(
-    rate_threshold=30, empty_agent_over=10, options_over=8, scan_paths_over=6, logins_over=5, rate_cap=40, login_cap=9
+    rate_threshold=30, empty_agent_over=10, options_over=8, scan_paths_over=6, logins_over=5
 )
 
 
@@ -57,7 +58,7 @@ def brute_force_events(rows, s):
         last[ip] = ts
         recent = [t for t in arrivals.get(ip, []) if ts - t <= timedelta(seconds=s.rate_seconds)] + [ts]
         arrivals[ip] = recent
-        n = min(len(recent), s.rate_cap)
+        n = len(recent)
         if n >= s.rate_threshold:
             events[id_, "rate_limit_trigger"] += 1
         if not agent and n > s.empty_agent_over:
@@ -69,7 +70,7 @@ def brute_force_events(rows, s):
         if method == "POST" and "/login" in path:
             tries = [t for t in logins.get(ip, []) if ts - t <= timedelta(seconds=s.login_seconds)] + [ts]
             logins[ip] = tries
-            if min(len(tries), s.login_cap) > s.logins_over:
+            if len(tries) > s.logins_over:
                 events[id_, "repeated_auth_fail"] += 1
         if method == "TRACE" or (method == "OPTIONS" and n > s.options_over):
             events[id_, "http_method_abuse"] += 1
@@ -108,7 +109,31 @@ _KINDS = [
 def test_trailing_count_keeps_every_row(requests, rows):
     counted = security.sec_window(requests, SETTINGS).select("id", "in_window").collect()
     assert sorted(r.id for r in counted) == [r[0] for r in rows]
-    assert max(r.in_window for r in counted) <= SETTINGS.rate_cap
+
+
+def _flood(rows, per_second=100):
+    """One address that asks for the login page and never stops."""
+    start = datetime(2024, 3, 1)
+    return [
+        (i, start + timedelta(microseconds=i * 1_000_000 // per_second), "198.51.100.9", "h", "/login", "/login", "POST", 200, "a", 1)
+        for i in range(rows)
+    ]
+
+
+def test_a_flood_is_counted_to_its_end(spark):
+    flood = spark.createDataFrame(_flood(2500), SCHEMA).repartition(3)
+    settings = security.RuleSettings(rate_threshold=2400, logins_over=2450)
+    kinds = Counter(r.event_type for r in security.security_events(flood, settings).collect())
+    assert kinds == {"rate_limit_trigger": 101, "repeated_auth_fail": 50}
+    assert security.sec_window(flood, settings).agg(F.max("in_window")).first()[0] == 2500
+
+
+def test_details_hold_whole_texts(spark):
+    uri = "/" + "x" * 6000 + "?q=<script>"
+    row = (1, datetime(2024, 3, 1), "198.51.100.9", "h", uri, "/", "GET", 200, "nikto" + "y" * 900, 1)
+    found = security.single_request_events(spark.createDataFrame([row], SCHEMA)).collect()
+    details = {r.event_type: json.loads(r.details) for r in found}
+    assert details["xss_attempt"]["uri"] == uri and len(details["known_scanner"]["ua"]) == 905
 
 
 def test_sessions_need_a_gap_of_a_slice(requests):

@@ -70,7 +70,9 @@ def test_whole_entry(spark):
     ("line", "outcome"),
     [
         ("", "skip"), ("   ", "skip"), ("not json", "error"), ('{"a": 1', "error"), ("[1]", "error"), ("5", "error"),
-        (_line() + " trailing", "error"), (_line(msg="starting"), "skip"), (_line(msg=None), "skip"),
+        (_line() + " trailing", "error"), (_line() + _line(), "error"), (_line() + " {}", "error"),
+        (_line() + ",", "error"), (_line() + ",}", "error"), (_line() + "," + _line(), "error"), (_line() + " junk }", "error"),
+        (_line() + "],[" + _line(), "error"), (_line() + "}, {\"x\": {}", "error"), (_line() + "  ", "row"), (_line(msg="starting"), "skip"), (_line(msg=None), "skip"),
         (_line(ts=None), "skip"), (_line(ts="abc"), "error"), (_line(ts="1700000000.5"), "row"),
         (_line(ts=None, time=1700000000), "row"), (_line(status="abc"), "error"), (_line(status="404"), "row"),
         (_line(size="many"), "error"), (_line(duration="slow"), "error"), (_line(request="odd"), "row"),
@@ -111,13 +113,15 @@ def test_host_from_logger_and_label(spark):
     assert _parse(spark, nameless)[0].host == "unknown"
 
 
-def test_stored_form_and_lengths(spark):
+def test_stored_form_is_whole(spark):
     long = _line(request__uri="/" + "a" * 5000, request__method="m" * 20)
     rows = spark.createDataFrame([(long, "s"), ("x" * 5000, "s")], "value string, log_source string")
     parsed = parse.parse_lines(rows)
     request = parse.as_requests(parsed).collect()[0]
     assert parse.as_requests(parsed).columns == REQUEST_COLUMNS
-    assert (len(request.uri), len(request.path), len(request.method)) == (4096, 2048, 10)
+    assert (len(request.uri), len(request.path), len(request.method)) == (5001, 5001, 20)
+    cut = parse.shortened(parse.as_requests(parsed)).collect()[0]
+    assert (len(cut.uri), len(cut.path), len(cut.method)) == (4096, 2048, 10)
     assert request.id is not None and request.is_bot is False and request.threat_score == 0
     error = parse.as_parse_errors(parsed, F.lit(datetime(2024, 1, 1))).collect()[0]
-    assert len(error.raw_line) == 4096 and error.error_msg == "line is not valid JSON"
+    assert len(error.raw_line) == 5000 and error.error_msg == "line is not valid JSON"

@@ -9,11 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import SCHEMA, SETTINGS, _traffic
 
-from loglens.operators import alerts, rollups, security
+from loglens.operators import alerts, live, paging, rollups, security
 from loglens.session import state_store
 from loglens.sources import lines, sinks
 from loglens.streaming import pipeline, rollup
 from loglens.streaming import security as stream_rules
+from loglens.timerange import TimeRange
 
 START = datetime(2024, 1, 1)
 
@@ -75,18 +76,20 @@ def test_pipeline_stores_every_line_once(spark, tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()
     (folder / "a.log").write_text("\n".join([_log_line(1), "", "broken", _log_line(2, msg="other")]) + "\n")
-    stored, errors, check = (str(tmp_path / n) for n in ("requests", "errors", "check"))
+    stored, errors, check, events = (str(tmp_path / n) for n in ("requests", "errors", "check", "events"))
 
     def run():
         tail = lines.tail_log_stream(spark, str(folder), max_files_per_trigger=1)
-        pipeline.stream_pipeline(tail, stored, errors, check).trigger(availableNow=True).start().awaitTermination()
+        pipeline.stream_pipeline(tail, stored, errors, check, events_path=events).trigger(availableNow=True).start().awaitTermination()
 
     run()
-    (folder / "b.log").write_text(_log_line(3) + "\n" + _log_line(4) + "\n")
+    attack = {"client_ip": "192.0.2.1", "host": "h", "uri": "/?q=document.cookie"}
+    (folder / "b.log").write_text(_log_line(3) + "\n" + _log_line(4, request=attack) + "\n")
     run()
     run()
     assert spark.read.parquet(stored).select(F.count("id"), F.count_distinct("id")).collect()[0] == (3, 3)
     assert [r.raw_line for r in spark.read.parquet(errors).collect()] == ["broken"]
+    assert [r.event_type for r in spark.read.parquet(events).collect()] == ["xss_attempt"]
 
 
 def test_writing_a_batch_again_replaces_it(spark, tmp_path):
@@ -108,7 +111,72 @@ def test_retention_removes_days_and_rewrites_the_boundary(spark, tmp_path):
     assert kept == [i for i, ts in rows if ts >= now - timedelta(days=5)]
     report = sinks.retention_report(table, "t", now, 5).collect()[0]
     assert (report.purged, report.kept) == (40 - len(kept), len(kept))
-    assert [sinks.clamp_retention(d) for d in (0, 7, 90)] == [1, 7, 30]
+    with pytest.raises(ValueError):
+        sinks.retention_purge(spark, path, now, 0)
+
+
+@pytest.mark.parametrize("hours", [0, 12])
+def test_retention_of_a_streams_table(spark, tmp_path, hours):
+    rows = [(i, START + timedelta(hours=6 * i)) for i in range(40)]
+    path = str(tmp_path / "t")
+    for batch in range(2):
+        sinks.write_batch(spark.createDataFrame(rows[batch::2], "id int, ts timestamp"), path, batch)
+    now = START + timedelta(days=9, hours=hours)
+    sinks.retention_purge(spark, path, now, 5)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [i for i, ts in rows if ts >= now - timedelta(days=5)]
+    sinks.write_batch(spark.createDataFrame([(99, now)], "id int, ts timestamp"), path, 7)
+    assert spark.read.parquet(path).filter("id = 99").count() == 1
+
+
+def test_a_batch_repeated_on_another_day_is_stored_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for day in range(2):
+        rows = spark.createDataFrame([(1, START + timedelta(days=day))], "id int, ts timestamp")
+        sinks.write_batch(rows, path, 7)
+    assert [r.ts for r in spark.read.parquet(path).collect()] == [START + timedelta(days=1)]
+
+
+def test_ranges_open_only_their_days(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.sink_requests(spark.createDataFrame(_traffic(seed=2, rows=50), SCHEMA), path)
+    stored = spark.read.parquet(path)
+    extra = stored.withColumns({"response_bytes": F.lit(1), "request_bytes": F.lit(1), "status_class": F.lit("2xx"),
+                                "threat_score": F.lit(1), "country_code": F.lit("NA")})
+    day = TimeRange(START, START + timedelta(days=1))
+    for report in (
+        paging.recent_requests(stored, day), security.top_threats(extra, day), live.live_metrics_at(extra, START),
+        rollups.rollup_minutely(extra, day.start, day.end), rollups.rollup_hourly(extra, day.start, day.end),
+        rollups.rollup_top_paths_hourly(extra, day.start, day.end), rollups.rollup_top_ips_hourly(extra, day.start, day.end),
+    ):
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(date" in plan, plan
+
+
+def test_stream_counts_outlive_session_and_late_batches(spark, tmp_path):
+    """Login spans longer than the session, and a late batch that must not shorten the session."""
+    settings = security.RuleSettings(session_gap_seconds=1200, logins_over=2, login_seconds=7200, scan_paths_over=2)
+
+    def row(i, minute, ip, path, method, status):
+        return (i, START + timedelta(minutes=minute), ip, "h", path, path, method, status, "a", 1)
+
+    rows = [
+        row(1, 0, "10.0.0.1", "/login", "POST", 200), row(2, 0, "10.0.0.2", "/a", "GET", 404),
+        row(3, 30, "10.0.0.1", "/login", "POST", 200), row(4, 30, "10.0.0.2", "/b", "GET", 404),
+        row(5, 27, "10.0.0.2", "/c", "GET", 404), row(6, 31, "10.0.0.9", "/", "GET", 200),
+        row(7, 60, "10.0.0.1", "/login", "POST", 200), row(8, 49, "10.0.0.2", "/d", "GET", 404),
+    ]
+    # The late request comes after a newer one of its address.
+    batches = [rows[0:2], rows[2:4], rows[4:6], rows[7:8], rows[6:7]]
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in batches:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    with state_store(spark):
+        _drain(stream_rules.stream_past(source, settings), out, str(tmp_path / "check"))
+    got = {(r.remote_ip, r.event_type) for r in spark.read.parquet(out).collect()}
+    want = security.security_events(spark.createDataFrame(rows, SCHEMA), settings).collect()
+    assert got == {(r.remote_ip, r.event_type) for r in want}
+    assert got == {("10.0.0.1", "repeated_auth_fail"), ("10.0.0.2", "port_scan_attempt")}
 
 
 def test_rollup_replaces_only_its_days(spark, tmp_path):
