@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import bounded_batches, free_name, text_or_empty, with_columns
+from loglens.llm.common import bounded_batches, free_name, returning_memory, text_or_empty, with_columns
 
 # Classes of code points. Some depend on what follows.
 LETTER, NUMBER, OTHER, SPACE, BLANK, GAP, SHORT, LONG, END = range(9)
@@ -249,7 +249,7 @@ def _encode_batches(path: str, at: int, names: list[str]):
             done = list(encoder.encode(batch.column(at).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns,
+                    *(c for i, c in enumerate(batch.columns) if i != at),
                     pa.array([len(i) for i, _ in done], pa.int64()),
                     pa.array([i.tobytes() for i, _ in done], pa.binary()),
                     pa.array([o.tobytes() for _, o in done], pa.binary()),
@@ -272,11 +272,10 @@ def encode(
     below 4 GB.
     """
     bounded_batches(docs.sparkSession)
-    text = free_name(docs, "text_to_encode")
-    rows = docs.select(*carry, text_or_empty(text_column).alias(text))
-    names = [*carry, text, n_tokens, ids, offsets]
-    schema = with_columns(rows, **{n_tokens: "long", ids: "binary", offsets: "binary"})
-    return rows.mapInArrow(_encode_batches(path, len(carry), names), schema).drop(text)
+    rows = docs.select(*carry, text_or_empty(text_column).alias(free_name(docs, "text_to_encode")))
+    step = _encode_batches(path, len(carry), [*carry, n_tokens, ids, offsets])
+    schema = with_columns(docs.select(*carry), **{n_tokens: "long", ids: "binary", offsets: "binary"})
+    return rows.mapInArrow(returning_memory(step), schema)
 
 
 def _decode_batches(path: str, ids: str, offsets: str | None, names: list[str]):
@@ -310,4 +309,22 @@ def decode(
     """
     bounded_batches(rows.sparkSession)
     names = [*rows.columns, decoded]
-    return rows.mapInArrow(_decode_batches(path, ids, offsets, names), with_columns(rows, **{decoded: "binary"}))
+    step = _decode_batches(path, ids, offsets, names)
+    return rows.mapInArrow(returning_memory(step), with_columns(rows, **{decoded: "binary"}))
+
+
+def round_trip(
+    docs: DataFrame, path: str, text_column: str = "text", carry: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """``decode(encode(docs))`` in one step: ``carry``, n_tokens, ids, offsets and decoded.
+
+    Each batch is decoded by the Python worker that encoded it, so that neither texts nor ids pass through the
+    JVM in between and a task needs one worker.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(*carry, text_or_empty(text_column).alias(free_name(docs, "text_to_encode")))
+    coded = [*carry, "n_tokens", "ids", "offsets"]
+    encoded = _encode_batches(path, len(carry), coded)
+    decoded = _decode_batches(path, "ids", "offsets", [*coded, "decoded"])
+    schema = with_columns(docs.select(*carry), n_tokens="long", ids="binary", offsets="binary", decoded="binary")
+    return rows.mapInArrow(returning_memory(lambda batches: decoded(encoded(batches))), schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import bounded_batches, frozen, numbered, text_or_empty, without_rows
+from loglens.llm.common import bounded_batches, frozen, numbered, returning_memory, text_or_empty, without_rows
 from loglens.llm.linking import shared_buckets, similar_components, sketches
 
 WORDS, SIMILARITY = 5, 0.8
@@ -210,7 +210,7 @@ def compared(pairs: DataFrame, texts: DataFrame, compare=_compare) -> DataFrame:
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    return both.mapInArrow(compare, "a long, b long, similarity double")
+    return both.mapInArrow(returning_memory(compare), "a long, b long, similarity double")
 
 
 def texts_of(buckets: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def near_duplicates(
     if not row:
         rows = frozen(rows, "rows")  # so that rows keep their numbers
     listed, source, signed = rows.select("row", "doc_id", "key"), rows.select("key", "text"), rows.select("row", "key", "text")
-    signed = signed.mapInArrow(_sign, "row long, key binary, weight long, bands array<long>")
+    signed = signed.mapInArrow(returning_memory(_sign), "row long, key binary, weight long, bands array<long>")
     classes = frozen(
         signed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("weight", "bands")))
         .withColumn("node", F.monotonically_increasing_id()),
@@ -249,7 +249,7 @@ def near_duplicates(
     texts = texts_of(buckets, classes, source)
 
     def sketched(nodes: DataFrame) -> DataFrame:
-        made = texts.join(nodes, "node", "left_semi").mapInArrow(_sketch, "node long, sketch array<long>")
+        made = texts.join(nodes, "node", "left_semi").mapInArrow(returning_memory(_sketch), "node long, sketch array<long>")
         return made.join(classes.select("node", "bands"), "node")
 
     found = similar_components(buckets, sketched, lambda pairs: compared(pairs, texts), SIMILARITY, SLOTS, SIMILARITY)

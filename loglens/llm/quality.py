@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import bounded_batches, folds, free_name, text_or_empty, with_columns
+from loglens.llm.common import bounded_batches, folds, free_name, returning_memory, text_or_empty, with_columns
 
 BUCKETS, RANK = 1 << 14, 8
 #: Structure statistics and metadata, each cut into steps of an input of its own.
@@ -235,7 +235,7 @@ def score(
             scores = [model.score(*features(t, n)) for t, n in zip(texts, lengths)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 
-    return rows.mapInArrow(scored, with_columns(rows, **{into: "double"})).drop(text, stated)
+    return rows.mapInArrow(returning_memory(scored), with_columns(rows, **{into: "double"})).drop(text, stated)
 
 
 def training_rows(id_column: str = "doc_id") -> Column:

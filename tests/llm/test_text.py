@@ -43,7 +43,11 @@ def test_encode_and_decode(awkward, nothing, library):
     for r in coded:
         assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode_ordinary(bytes(r["decoded"]).decode())
         assert r["n_tokens"] == len(r["ids"]) // 4 == len(r["offsets"]) // 4
+    once = bpe.round_trip(awkward, PATH)
+    assert once.columns == ["doc_id", "n_tokens", "ids", "offsets", "decoded"]
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, coded))
     assert bpe.encode(nothing, PATH).count() == 0
+    assert bpe.round_trip(nothing, PATH).count() == 0
 
 
 @pytest.mark.parametrize("name", list(oracle.oracle_sql()))
