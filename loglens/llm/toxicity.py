@@ -1,14 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Each class, toxic and ordinary, has a bigram model over words, interpolated with its own continuation model,
-that with a continuation model of word beginnings, and that with backoff counts which both classes share: how many
-different neighbours a word has in the whole corpus. A text's score follows from the length-normalised
-difference of its two log-likelihoods. What no class has seen cancels out, so rare expressions
-decide nothing.
-
-Sizes are fixed: counts are held by hashed buckets (``BITS``), class models learn from a bounded sample of
-labelled rows (``max_rows``), and the shared backoff counts are gathered from every document, as one
-64-bit set of neighbours for each bucket and task, which are combined by "or" wherever they meet.
+Each class, toxic and ordinary, has a bigram model over words, interpolated with its own continuation model, that with a
+continuation model of word beginnings, and that with backoff counts which both classes share: after how many different
+words each word stands in the whole corpus. A text's score follows from the length-normalised difference of its two
+log-likelihoods. What no class has seen cancels out, so rare expressions decide nothing.
+
+The shared counts are a stored table with a line for every different word of the corpus. Class models learn from a bounded
+sample of labelled rows (``max_rows``), so their words, and the shared counts of these words, are bounded too. The counts
+of all other words are the same factor in both likelihoods, so a score needs no more than these.
 """
 
 from __future__ import annotations
@@ -23,16 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import bounded_batches, folds, free_name, text_or_empty, with_columns
+from loglens.llm.common import bounded_batches, folds, free_name, frozen, returning_memory, text_or_empty, with_columns
 from loglens.llm.quality import sample
 
-BITS = 20
-SIZE = 1 << BITS
 STEM = 4
 #: What a class has seen less often is left to backoff: one text's chance words say nothing about its class.
 LEAST_SEEN = 6
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _CACHE = 400_000
+#: Pairs of words that a task holds before it hands them on.
+_HELD = 2_000_000
 
 
 @lru_cache(maxsize=1)
@@ -41,26 +39,30 @@ def _known() -> dict[str, int]:
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    """Two 20-bit buckets of each word in one number: of the whole word, and of its first letters."""
+    """The key of each word: 31 bits of its first letters, then 32 of the whole word."""
     known = _known()
     if len(known) > _CACHE:
         known.clear()
     for w in set(words).difference(known):
         plain = w.strip(".,;:!?\"'()[]{}<>*%$&#|-")
-        whole = zlib.crc32(plain.encode("utf-8", "replace")) % SIZE
-        stem = zlib.crc32(plain[:STEM].encode("utf-8", "replace"), 99) % SIZE
-        known[w] = whole << BITS | stem
+        whole = zlib.crc32(plain.encode("utf-8", "replace"))
+        stem = zlib.crc32(plain[:STEM].encode("utf-8", "replace"), 99) >> 1
+        known[w] = stem << 32 | whole
     return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 def words(text: str) -> np.ndarray:
-    """Buckets of the words of a text, with a mark for its beginning in front."""
+    """Keys of the words of a text, with a mark for its beginning in front."""
     return np.concatenate([[0], _codes(text.lower().split())])
 
 
-def _pairs(before: np.ndarray, after: np.ndarray, size: int) -> np.ndarray:
-    mixed = (before.astype(np.uint64) * np.uint64(0x100000001B3) + after.astype(np.uint64)) * _MIX
-    return (mixed >> np.uint64(64 - (size.bit_length() - 1))).astype(np.int64)
+def _places(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key stands among the sorted ones; their number for those that are not there."""
+    n = len(sorted_keys)
+    if not n:
+        return np.zeros(len(keys), np.int64)
+    at = np.searchsorted(sorted_keys, keys)
+    return np.where(sorted_keys[np.minimum(at, n - 1)] == keys, at, n)
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -69,69 +71,102 @@ def _discount(counts: np.ndarray) -> float:
     return float(np.clip(once / (once + 2 * twice), 0.1, 0.95)) if once else 0.5
 
 
-def _level(keys: np.ndarray) -> tuple[np.ndarray, float]:
-    """Discounted shares by key, and the mass left over."""
-    found, counts = np.unique(keys, return_counts=True)
-    d, total = _discount(counts), max(1, counts.sum())
-    share = np.zeros(SIZE, np.float32)
-    share[found] = np.where(counts >= LEAST_SEEN, counts - d, 0) / total
-    return share, float(1 - share.sum(dtype=float))
+def _discounted(counts: np.ndarray) -> np.ndarray:
+    return np.where(counts >= LEAST_SEEN, counts - _discount(counts[counts > 0]), 0)
+
+
+def _level(counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """Discounted shares, and the mass left over."""
+    share = _discounted(counts) / max(1, counts.sum())
+    return share, float(1 - share.sum())
 
 
 @dataclass
 class ClassModel:
-    """One class: discounted bigrams by bucket, the mass left by history, continuations of words and of stems."""
+    """One class: its words' keys with the mass left after each and their continuations, those of stems, and bigrams.
 
-    bigram: np.ndarray
+    Bigrams are numbers: the place of the first word among ``vocabulary`` times its length, plus that of the second.
+    """
+
+    vocabulary: np.ndarray
     left: np.ndarray
     word: np.ndarray
     word_left: float
+    stems: np.ndarray
     stem: np.ndarray
     stem_left: float
-
-    def log_likelihood(self, w: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        """Of each word after the first."""
-        whole, stem = w[1:] >> BITS, w[1:] & (SIZE - 1)
-        history = w[:-1] >> BITS
-        low = self.stem[stem] + self.stem_left * shared[stem]
-        mid = self.word[whole] + self.word_left * low
-        return np.log(self.bigram[_pairs(history, whole, len(self.bigram))] + self.left[history] * mid)
+    bigrams: np.ndarray
+    bigram: np.ndarray
 
 
 def class_model(texts: list[np.ndarray]) -> ClassModel:
-    """Kneser-Ney counts of the word buckets of one class's texts."""
+    """Kneser-Ney counts of the words of one class's texts."""
     none = np.zeros(0, np.int64)
-    history = np.concatenate([none, *(w[:-1] >> BITS for w in texts)])
-    whole = np.concatenate([none, *(w[1:] >> BITS for w in texts)])
-    stem = np.concatenate([none, *(w[1:] & (SIZE - 1) for w in texts)])
-    size = SIZE * 4
-    keys = history << BITS | whole
-    kept, first, counts = np.unique(keys, return_index=True, return_counts=True)
-    d = _discount(counts)
-    of = np.bincount(history, minlength=SIZE)
-    share = np.where(counts >= LEAST_SEEN, counts - d, 0) / of[history[first]]
-    left = (1 - np.bincount(history[first], share, SIZE)).astype(np.float32)
-    bigram = np.zeros(size, np.float32)
-    np.add.at(bigram, _pairs(history[first], whole[first], size), share.astype(np.float32))
+    both = np.concatenate([none, *(w[:-1] for w in texts), *(w[1:] for w in texts)])
+    vocabulary, at = np.unique(both, return_inverse=True)
+    history, whole = at[: len(at) // 2], at[len(at) // 2 :]
+    size = max(1, len(vocabulary))
+    bigrams, counts = np.unique(history * size + whole, return_counts=True)
+    first, second = bigrams // size, bigrams % size
+    bigram = _discounted(counts) / np.bincount(history, minlength=size)[first]
+    left = 1 - np.bincount(first, bigram, len(vocabulary))
     # Lower levels count different neighbours, not occurrences.
-    word, word_left = _level(whole[first])
-    fresh = np.unique(history[first] << BITS | stem[first])
-    stems, stem_left = _level(fresh & (SIZE - 1))
-    return ClassModel(bigram, left, word, word_left, stems, stem_left)
+    word, word_left = _level(np.bincount(second, minlength=len(vocabulary)))
+    stems, stem_of = np.unique(vocabulary >> 32, return_inverse=True)
+    fresh = np.unique(first * size + stem_of[second])
+    stem, stem_left = _level(np.bincount(fresh % size, minlength=len(stems)))
+    return ClassModel(vocabulary, left, word, word_left, stems, stem, stem_left, bigrams, bigram)
+
+
+def _spread(values: np.ndarray, places: np.ndarray, size: int, other: float) -> np.ndarray:
+    """``values`` at their places of an array of ``size`` and one more place, for what is unknown; ``other`` elsewhere."""
+    out = np.full(size + 1, other, float)
+    out[places] = values
+    return out
 
 
-@dataclass
 class Models:
-    toxic: ClassModel
-    ordinary: ClassModel
-    shared: np.ndarray
-    slope: np.ndarray
+    """Both classes over their common words, with the shared counts of these, and the final score's coefficients."""
+
+    def __init__(self, toxic: ClassModel, ordinary: ClassModel, shared: Shared) -> None:
+        parts = (toxic, ordinary)
+        self.vocabulary, self.stems, self.slope = shared.vocabulary, shared.stems, np.zeros(4)
+        n = len(self.vocabulary) + 1
+        moved = []
+        for m in parts:
+            at = _places(self.vocabulary, m.vocabulary)
+            size = max(1, len(m.vocabulary))
+            moved.append(at[m.bigrams // size] * n + at[m.bigrams % size] if len(m.bigrams) else m.bigrams)
+        self.bigrams = np.unique(np.concatenate(moved))
+        of_stem = _places(self.stems, self.vocabulary >> 32)
+        # A word that no class has seen has the same shared probability in both: any number will do, and 1 is taken.
+        within = np.append(shared.words / shared.of_stems[of_stem], 1.0)
+        chance = np.append(shared.of_stems / max(1, shared.total), 1.0)
+        self.classes = []
+        for m, pairs in zip(parts, moved):
+            at = _places(self.vocabulary, m.vocabulary)
+            low = _spread(m.stem, _places(self.stems, m.stems), len(self.stems), 0) + m.stem_left * chance
+            self.classes.append((
+                _spread(m.bigram, _places(self.bigrams, pairs), len(self.bigrams), 0), _spread(m.left, at, n - 1, 1),
+                _spread(m.word, at, n - 1, 0), m.word_left * within, low,
+            ))
+
+    def gains(self, w: np.ndarray) -> np.ndarray:
+        """Of each word after the first, how much more likely it is in toxic texts, as a logarithm."""
+        at, stem = _places(self.vocabulary, w), _places(self.stems, w[1:] >> 32)
+        history, whole = at[:-1], at[1:]
+        pair = _places(self.bigrams, history * (len(self.vocabulary) + 1) + whole)
+        toxic, ordinary = (
+            bigram[pair] + left[history] * (word[whole] + rest[whole] * low[stem])
+            for bigram, left, word, rest, low in self.classes
+        )
+        return np.log(toxic / ordinary)
 
     def evidence(self, w: np.ndarray) -> np.ndarray:
         """Inputs of the final score: the mean difference by word, and that of clear words by length and by its root."""
         if len(w) < 2:
             return np.zeros(3)
-        gain = self.toxic.log_likelihood(w, self.shared) - self.ordinary.log_likelihood(w, self.shared)
+        gain = self.gains(w)
         clear = np.clip(gain - 3, 0, 4).sum()  # words that e**3 times rather stand in toxic texts
         return np.array([gain.mean(), clear / len(gain), clear / np.sqrt(len(gain)) / 10])
 
@@ -140,35 +175,85 @@ class Models:
         return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
 
 
+def _distinct(history: list[np.ndarray], word: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs, ordered by word."""
+    h, w = np.concatenate(history), np.concatenate(word)
+    order = np.lexsort((h, w))
+    h, w = h[order], w[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    return h[new], w[new]
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each bucket of a word's beginning a set of hashed neighbours: one row per bucket and task."""
-    seen = np.zeros(SIZE, np.uint64)
+    """(word, history): each word with each word in front of it, most repetitions within a task left out."""
+    history, word, held = [], [], 0
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(word[0]), 100_000):
+            part = [pa.array(x[0][i : i + 100_000], pa.int64()) for x in (word, history)]
+            yield pa.RecordBatch.from_arrays(part, names=["word", "history"])
+
     for batch in batches:
         for text in batch.column(0).to_pylist():
             w = words(text)
-            pairs = np.unique((w[1:] & (SIZE - 1)) << 6 | _pairs(w[:-1] >> BITS, np.zeros(len(w) - 1, np.int64), 64))
-            np.bitwise_or.at(seen, pairs >> 6, np.uint64(1) << (pairs & 63).astype(np.uint64))
-    at = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at].view(np.int64))], names=["bucket", "seen"])
+            history.append(w[:-1])
+            word.append(w[1:])
+            held += len(w) - 1
+            if held >= _HELD:
+                h, w = _distinct(history, word)
+                history, word, held = [h], [w], len(w)
+                if held >= _HELD // 2:
+                    yield from given()
+                    history, word, held = [], [], 0
+    if held:
+        h, w = _distinct(history, word)
+        history, word = [h], [w]
+        yield from given()
 
 
 def shared_backoff(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """(bucket, seen): a set of neighbours of the words with each beginning, over all documents.
+    """(word, n): after how many different words each word of the corpus stands, by keys, stored.
 
-    At most 2**BITS rows of a few bytes, whatever the corpus; every document counts.
+    The table has a line for every different word of all documents; a text's beginning counts as a word in front.
     """
     bounded_batches(docs.sparkSession)
-    sets = docs.select(text_or_empty(text_column).alias("text")).mapInArrow(_neighbours, "bucket long, seen long")
-    return sets.groupBy("bucket").agg(F.bit_or("seen").alias("seen"))
+    texts = docs.select(text_or_empty(text_column).alias("text"))
+    pairs = texts.mapInArrow(returning_memory(_neighbours), "word long, history long")
+    # Dealt by both words: the pairs of a frequent word are spread over all tasks.
+    different = pairs.repartition("word", "history").distinct()
+    return frozen(different.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "neighbours")
+
+
+@dataclass
+class Shared:
+    """Shared counts of the classes' words and stems, in the order of their keys, and of all words."""
+
+    vocabulary: np.ndarray
+    words: np.ndarray
+    stems: np.ndarray
+    of_stems: np.ndarray
+    total: int
+
+
+def _shared(counts: DataFrame, *classes: ClassModel) -> Shared:
+    """What the classes need of the stored counts; a stem's count is that of all the corpus's words with it."""
+    vocabulary = np.unique(np.concatenate([m.vocabulary for m in classes]))
+    stems = np.unique(vocabulary >> 32)
 
+    def looked_up(table: DataFrame, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys))  # the mark of a beginning is no word and has no count
+        if len(keys):
+            wanted = table.sparkSession.createDataFrame(pa.table({"key": keys}))
+            found = table.join(wanted, "key").select("key", F.col("n").cast("double")).toArrow()
+            out[_places(keys, found.column(0).to_numpy())] = found.column(1).to_numpy()
+        return out
 
-def _shares(sets: DataFrame) -> np.ndarray:
-    """Shared probabilities from the sets: 64 - misses of a hash table of 64 places, as a number of neighbours."""
-    bits = np.zeros(SIZE, np.float64)
-    for batch in sets.select("bucket", F.bit_count("seen").alias("n")).toArrow().to_batches():
-        bits[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    many = -64 * np.log1p(-np.minimum(bits, 63.5) / 64) + 0.5
-    return (many / many.sum()).astype(np.float32)
+    by_stem = counts.groupBy(F.shiftright("word", 32).alias("key")).agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0]
+    return Shared(
+        vocabulary, looked_up(counts.withColumnRenamed("word", "key"), vocabulary), stems, looked_up(by_stem, stems), total or 0
+    )
 
 
 def calibrate(inputs: np.ndarray, y: np.ndarray, rounds: int = 200) -> np.ndarray:
@@ -211,7 +296,7 @@ def fit(
     y = np.array([k for _, k in rows], int)
     checked = np.arange(len(rows)) % 4 == 3
     parts = [class_model([t for t, k, c in zip(texts, y, checked) if k == kind and not c]) for kind in (1, 0)]
-    models = Models(*parts, _shares(shared_backoff(docs, text_column)), np.zeros(4))
+    models = Models(*parts, _shared(shared_backoff(docs, text_column), *parts))
     inputs = np.array([models.evidence(t) for t, c in zip(texts, checked) if c]).reshape(-1, 3)
     models.slope = calibrate(inputs, y[checked])
     return models
@@ -226,7 +311,7 @@ def score(docs: DataFrame, models: Models, into: str = "score", text_column: str
     text = free_name(docs, "text_to_score")
     rows = docs.withColumn(text, text_or_empty(text_column))
     names = [*rows.columns, into]
-    shipped = docs.sparkSession.sparkContext.broadcast(models)  # of fixed size
+    shipped = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value

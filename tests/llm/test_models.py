@@ -49,6 +49,33 @@ def test_class_model_is_a_distribution():
     assert 0 < m.left.min() and m.left.max() <= 1
 
 
+def test_shared_backoff_counts_every_neighbour(spark, docs):
+    """More neighbours than a set of fixed size tells apart, over several documents and tasks."""
+    rows = [(i, " ".join(f"w{j} common w{j} other{j % 3}" for j in range(i * 100, i * 100 + 200))) for i in range(20)]
+    table = toxicity.shared_backoff(docs(rows).repartition(5))
+    n = {r["word"]: r["n"] for r in table.collect()}
+    pairs = set()
+    for _, text in rows:
+        w = toxicity.words(text).tolist()
+        pairs |= set(zip(w, w[1:]))
+    assert n == {w: sum(b == w for _, b in pairs) for w in {b for _, b in pairs}}
+    assert n[toxicity.words("common")[1]] == 2100
+
+
+def test_scores_need_no_counts_of_words_that_no_class_has(spark):
+    """Scores equal those from the shared counts of every word of the text."""
+    texts = [toxicity.words(t) for t in ("you awful fool " * 9, "the cat sat on the mat " * 9, "the dog fooled unseen words awfully")]
+    parts = [toxicity.class_model([t]) for t in texts[:2]]
+    every = toxicity.class_model(texts)
+    pairs = {p for t in texts for p in zip(t.tolist(), t[1:].tolist())}
+    n = [(w, sum(b == w for _, b in pairs)) for w in {b for _, b in pairs}]
+    counts = spark.createDataFrame(n, "word long, n long")
+    few = toxicity.Models(*parts, toxicity._shared(counts, *parts))
+    whole = toxicity.Models(*parts, toxicity._shared(counts, *parts, every))
+    assert len(whole.vocabulary) > len(few.vocabulary)
+    assert np.allclose(few.gains(texts[2]), whole.gains(texts[2]))
+
+
 def test_scores_of_awkward_rows(spark, awkward, nothing):
     labels = spark.createDataFrame([(5, 1, 0), (9, 0, 1), (None, 1, 1), (4, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
     for module in (quality, toxicity):
