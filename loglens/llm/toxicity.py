@@ -26,8 +26,6 @@ from loglens.llm.common import bounded_batches, folds, free_name, frozen, return
 from loglens.llm.quality import sample
 
 STEM = 4
-#: What a class has seen less often is left to backoff: one text's chance words say nothing about its class.
-LEAST_SEEN = 6
 _CACHE = 400_000
 #: Pairs of words that a task holds before it hands them on.
 _HELD = 2_000_000
@@ -65,14 +63,17 @@ def _places(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[np.minimum(at, n - 1)] == keys, at, n)
 
 
-def _discount(counts: np.ndarray) -> float:
-    """Kneser and Ney's estimate from how many things were seen once and twice."""
-    once, twice = (counts == 1).sum(), (counts == 2).sum()
-    return float(np.clip(once / (once + 2 * twice), 0.1, 0.95)) if once else 0.5
+def _discounts(counts: np.ndarray) -> np.ndarray:
+    """Chen and Goodman's discounts for what was seen once, twice and more often, from how many were seen 1 to 4 times."""
+    n = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+    found = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k * y for k in (1, 2, 3)]
+    return np.clip(found, [0.1, 0.2, 0.3], [0.95, 1.9, 2.85])
 
 
 def _discounted(counts: np.ndarray) -> np.ndarray:
-    return np.where(counts >= LEAST_SEEN, counts - _discount(counts[counts > 0]), 0)
+    """Counts less their discounts; every count from 1 on keeps something."""
+    return np.where(counts > 0, counts - _discounts(counts)[np.clip(counts, 1, 3) - 1], 0)
 
 
 def _level(counts: np.ndarray) -> tuple[np.ndarray, float]:
@@ -151,23 +152,27 @@ class Models:
                 _spread(m.word, at, n - 1, 0), m.word_left * within, low,
             ))
 
-    def gains(self, w: np.ndarray) -> np.ndarray:
-        """Of each word after the first, how much more likely it is in toxic texts, as a logarithm."""
+    def gains(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word after the first, how much more likely it is in toxic texts, as a logarithm: after the word in front
+        of it, and by itself, from the level of words down.
+        """
         at, stem = _places(self.vocabulary, w), _places(self.stems, w[1:] >> 32)
         history, whole = at[:-1], at[1:]
         pair = _places(self.bigrams, history * (len(self.vocabulary) + 1) + whole)
-        toxic, ordinary = (
-            bigram[pair] + left[history] * (word[whole] + rest[whole] * low[stem])
-            for bigram, left, word, rest, low in self.classes
-        )
-        return np.log(toxic / ordinary)
+        alone = [word[whole] + rest[whole] * low[stem] for _, _, word, rest, low in self.classes]
+        toxic, ordinary = (bigram[pair] + left[history] * x for (bigram, left, *_), x in zip(self.classes, alone))
+        return np.log(toxic / ordinary), np.log(alone[0] / alone[1])
 
     def evidence(self, w: np.ndarray) -> np.ndarray:
-        """Inputs of the final score: the mean difference by word, and that of clear words by length and by its root."""
+        """Inputs of the final score: the mean difference by word, and that of clear words by length and by its root.
+
+        Clear words are judged by themselves: two words that met once by chance are clear after one another, but a word
+        that met many others is not chance.
+        """
         if len(w) < 2:
             return np.zeros(3)
-        gain = self.gains(w)
-        clear = np.clip(gain - 3, 0, 4).sum()  # words that e**3 times rather stand in toxic texts
+        gain, alone = self.gains(w)
+        clear = np.clip(alone - 3, 0, 4).sum()  # words that e**3 times rather stand in toxic texts
         return np.array([gain.mean(), clear / len(gain), clear / np.sqrt(len(gain)) / 10])
 
     def score(self, w: np.ndarray) -> float:

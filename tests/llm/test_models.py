@@ -49,6 +49,32 @@ def test_class_model_is_a_distribution():
     assert 0 < m.left.min() and m.left.max() <= 1
 
 
+def test_rare_words_of_a_class_are_evidence(spark):
+    """From one occurrence on, at every level."""
+    plain = [f"the day was number{i} and the road was long" for i in range(30)]
+    parts = [toxicity.class_model([toxicity.words(t) for t in texts]) for texts in (["you zounds", *["the utter grobian"] * 3], plain)]
+    m = parts[0]
+    assert (m.word[np.isin(m.vocabulary, toxicity.words("you zounds utter grobian")[1:])] > 0).all() and (m.bigram > 0).all()
+    assert (m.stem[m.stems != 0] > 0).all()
+    pairs = {p for t in (*plain, "you zounds", "the utter grobian") for w in [toxicity.words(t).tolist()] for p in zip(w, w[1:])}
+    n = [(w, sum(b == w for _, b in pairs)) for w in {b for _, b in pairs}]
+    models = toxicity.Models(*parts, toxicity._shared(spark.createDataFrame(n, "word long, n long"), *parts))
+    gain = models.gains(toxicity.words("zounds utter grobian road"))[1]
+    assert gain[:3].min() > 2 > 1 > gain[3]
+
+
+def test_few_labelled_rows_find_toxic_texts(spark):
+    """Learnt from the smallest labels, where insults are rare; judged on the next larger ones."""
+    few, more = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+    read = lambda sf, name: spark.read.parquet(f"{sf}/{name}.parquet")
+    models = toxicity.fit(read(few, "documents"), read(few, "labels"), F.lit(True))
+    rows = toxicity.score(read(more, "documents").select("doc_id", "text"), models).join(read(more, "labels"), "doc_id").collect()
+    toxic = [r["score"] >= 0.5 for r in rows if r["toxic"] == 1]
+    clean = [r["score"] >= 0.5 for r in rows if r["toxic"] == 0]
+    assert sum(toxic) >= 0.6 * len(toxic)
+    assert sum(clean) <= 0.1 * len(clean)
+
+
 def test_shared_backoff_counts_every_neighbour(spark, docs):
     """More neighbours than a set of fixed size tells apart, over several documents and tasks."""
     rows = [(i, " ".join(f"w{j} common w{j} other{j % 3}" for j in range(i * 100, i * 100 + 200))) for i in range(20)]
