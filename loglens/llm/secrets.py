@@ -1,6 +1,7 @@
 """Secret scanning with a random forest against false positives.
 
-A wide pattern finds candidates: runs of key characters with a digit. What tells a secret from a card number, a path or a long
+Two wide patterns find candidates: runs of key characters with a digit, and whatever is assigned to a name with a word such
+as password or token in it, of any characters, quoted or up to white space. What tells a secret from a card number, a path or a long
 name is left to a random forest over the candidate's length, the transitions between its characters, how much of it
 consists of frequent words of the corpus, whether it stands in a path, and the words beside it. The forest is trained on
 labelled findings, a bounded sample of them (``max_rows``), and scores every candidate of every whole text.
@@ -21,6 +22,9 @@ from loglens.llm.common import frozen, text_or_empty
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{8,}={0,2}"
 #: Words beside a candidate that name it.
 HINTS = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "auth", "bearer", "credential")
+#: A name with such a word in it and what assigns it a value, up to the value; then that value.
+NAMED = r"(?i:(?:" + "|".join(HINTS) + r")[\w.\]-]*+[\"']?+\s{0,3}+[:=]>?+\s{0,3}+[\"']?+|bearer\s{1,3}+)"
+ASSIGNED = NAMED + r"""(?:(?<=")[^"\r\n]+(?=")|(?<=')[^'\r\n]+(?=')|[^\s"']\S*)"""
 AROUND = 40
 LETTERS, DIGITS = "A-Za-z", "0-9"
 FEATURES = (
@@ -30,38 +34,66 @@ FEATURES = (
 )
 
 
-def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(row, doc_id, n, start, candidate, before, after): every candidate of every text, with the text beside it.
-
-    ``start`` counts characters from 0. Null and empty texts have none. Stored, so that rows keep their numbers.
-    """
-    text = text_or_empty(text_column)
-    cut = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), text.alias("text")
-    ).filter(F.col("text").rlike(CANDIDATE))
-    cut = cut.select(
-        "row", "doc_id", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"),
-        F.split("text", CANDIDATE, -1).alias("between"),
+def _found(texts: DataFrame, pattern: str) -> DataFrame:
+    """(row, doc_id, start, match, before, after): every match, with the text on both sides."""
+    cut = texts.filter(F.col("text").rlike(pattern)).select(
+        "row", "doc_id", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"),
+        F.split("text", pattern, -1).alias("between"),
     )
-    # The pieces between candidates tell where each begins, and hold the words beside it.
+    # The pieces between matches tell where each begins, and hold the words beside it.
     beside = F.transform(
         "between", lambda x: F.struct(F.length(x).alias("n"), F.left(x, F.lit(AROUND)).alias("head"), F.right(x, F.lit(AROUND)).alias("tail"))
     )
     flat = cut.select("row", "doc_id", "found", beside.alias("b")).select(
         "row", "doc_id",
         F.posexplode(F.arrays_zip(
-            F.col("found").alias("candidate"), F.slice("b", 1, F.size("found")).alias("l"), F.slice("b", 2, F.size("found")).alias("r")
+            F.col("found").alias("match"), F.slice("b", 1, F.size("found")).alias("l"), F.slice("b", 2, F.size("found")).alias("r")
         )).alias("n", "x"),
     )
-    flat = flat.select(
-        "row", "doc_id", "n", F.col("x.candidate").alias("candidate"), F.col("x.l.n").alias("gap"),
-        F.col("x.l.tail").alias("before"), F.col("x.r.head").alias("after"),
+    of_row = Window.partitionBy("row").orderBy("n")
+    so_far = of_row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A match has four characters or more, so this many neighbours hold the text around where pieces are short.
+    reach = AROUND // 4
+    earlier = F.concat_ws("", F.collect_list(
+        F.concat(F.col("x.l.tail"), F.right("x.match", F.lit(AROUND)))
+    ).over(of_row.rowsBetween(-reach, -1)))
+    later = F.concat_ws("", F.collect_list(
+        F.concat(F.left("x.match", F.lit(AROUND)), F.col("x.r.head"))
+    ).over(of_row.rowsBetween(1, reach)))
+    return flat.select(
+        "row", "doc_id", F.col("x.match").alias("match"),
+        (F.sum(F.col("x.l.n") + F.length("x.match")).over(so_far) - F.length("x.match")).cast("long").alias("start"),
+        F.right(F.concat(earlier, F.col("x.l.tail")), F.lit(AROUND)).alias("before"),
+        F.left(F.concat(F.col("x.r.head"), later), F.lit(AROUND)).alias("after"),
     )
-    so_far = Window.partitionBy("row").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = F.sum(F.col("gap") + F.length("candidate")).over(so_far) - F.length("candidate")
-    return frozen(
-        flat.select("row", "doc_id", "n", start.cast("long").alias("start"), "candidate", "before", "after"), "candidates"
+
+
+def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(row, doc_id, n, start, candidate, before, after): every candidate of every text, with the text beside it.
+
+    ``start`` counts characters from 0. Where a run and an assigned value begin at the same place, the longer is taken. A
+    comma, semicolon or closing mark behind an unquoted value is not part of it. Null and empty texts have none. Stored, so
+    that rows keep their numbers.
+    """
+    texts = frozen(docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text")
+    ).filter(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(ASSIGNED)), "texts")
+    runs = _found(texts, CANDIDATE).withColumnRenamed("match", "candidate")
+    named = _found(texts, ASSIGNED).withColumn("name", F.regexp_extract("match", "^" + NAMED, 0))
+    value = F.expr("substring(match, length(name) + 1)")
+    closed = F.col("name").rlike("\"$") & F.col("after").startswith("\"") | F.col("name").rlike("'$") & F.col("after").startswith("'")
+    bare = F.regexp_replace(value, r"""[,;"')\]}]+$""", "")
+    named = named.withColumn("candidate", F.when(closed, value).otherwise(bare)).filter("candidate <> ''")
+    named = named.select(
+        "row", "doc_id", (F.col("start") + F.length("name")).alias("start"), "candidate",
+        F.right(F.concat("before", "name"), F.lit(AROUND)).alias("before"),
+        F.left(F.concat(F.expr("substring(match, length(name) + length(candidate) + 1)"), "after"), F.lit(AROUND)).alias("after"),
     )
+    both = runs.select(named.columns).unionByName(named)
+    place = Window.partitionBy("row", "start").orderBy(F.desc(F.length("candidate")))
+    one = both.withColumn("place", F.row_number().over(place)).filter("place = 1").drop("place")
+    n = F.row_number().over(Window.partitionBy("row").orderBy("start")) - 1
+    return frozen(one.select("row", "doc_id", n.alias("n"), "start", "candidate", "before", "after"), "candidates")
 
 
 def dictionary(docs: DataFrame, words: int = 5000, text_column: str = "text") -> DataFrame:
@@ -94,7 +126,7 @@ def features(found: DataFrame, known: DataFrame) -> DataFrame:
         {
             "length": F.least(F.length("candidate"), F.lit(200)).cast("double"),
             "digit_share": _share(DIGITS), "upper_share": _share("A-Z"), "lower_share": _share("a-z"),
-            "symbol_share": _share("+/_="),
+            "symbol_share": F.length(F.regexp_replace("candidate", "[A-Za-z0-9]", "")) / F.length("candidate"),
             "to_other_class": _pairs(r"(?<=[A-Z])(?=[^A-Z])|(?<=[a-z])(?=[^a-z])|(?<=[0-9])(?=[^0-9])"),
             "letter_digit": _pairs(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"),
             "case_change": _pairs(r"(?<=[a-z])(?=[A-Z])"),
@@ -120,7 +152,7 @@ def seed_findings(found: DataFrame) -> DataFrame:
     Secrets: AWS access key ids and values assigned to a name such as password or token. Others: plain numbers. Candidates of
     neither form have no label.
     """
-    named = F.col("before").rlike(r"(?i)\b(password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?$")
+    named = F.col("before").rlike(r"(?i)(password|passwd|secret|token|api_?key)\w*[\"']?\s*[=:]\s*[\"']?$")
     issued = F.col("candidate").rlike("^(AKIA|ASIA)[A-Z0-9]{16}$")
     label = F.when(named | issued, 1).when(F.col("candidate").rlike("^[0-9_+/-]+$"), 0)
     return found.select("row", "n", label.alias("label")).filter("label is not null")

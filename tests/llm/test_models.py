@@ -137,3 +137,24 @@ def test_secret_scan(spark, docs, awkward, nothing):
     assert secrets.scan(awkward).count() == 0 and secrets.scan(nothing).count() == 0
     unsure = secrets.scan(docs([(1, "key ab12cd34ef56gh")])).collect()
     assert [(r["is_secret"], r["score"]) for r in unsure] == [(True, None)]
+
+
+def test_assigned_values_are_candidates(docs):
+    """Without digits, with symbols, short, quoted or bare; and what stands in front is taken from the whole text."""
+    texts = [
+        (1, "password=CorrectHorseBattery end"), (2, 'password = "P@ssw0rd!" end'), (3, "passwd: T0p$ecret!x"),
+        (4, "api_token_v2=9f8e7d6c5b4a39281706"), (5, "é {'db_secret': 'pa ss, wörd', 'x': 1}"), (6, "auth=ab, pwd=cd; none"),
+    ]
+    by_id = dict(texts)
+    found = secrets.candidates(docs(texts)).collect()
+    for r in found:
+        text, end = by_id[r["doc_id"]], r["start"] + len(r["candidate"])
+        assert text[r["start"] : end] == r["candidate"]
+        assert text[max(0, r["start"] - 40) : r["start"]] == r["before"] and text[end : end + 40] == r["after"]
+    values = {(r["doc_id"], r["candidate"]) for r in found}
+    assert values >= {
+        (1, "CorrectHorseBattery"), (2, "P@ssw0rd!"), (3, "T0p$ecret!x"), (4, "9f8e7d6c5b4a39281706"), (5, "pa ss, wörd"),
+        (6, "ab"), (6, "cd"),
+    }
+    marked = secrets.seed_findings(secrets.candidates(docs(texts[3:4]))).collect()
+    assert [r["label"] for r in marked] == [1]
