@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.llm import (
-    bpe, exact_dedup, line_dedup, mixing, near_dedup, perspectives, quality, secrets, topk, toxicity,
+    bpe, chunk_bpe, exact_dedup, line_dedup, mixing, near_dedup, periodic, perspectives, quality, secrets, topk, toxicity,
+    whitening,
 )
 from loglens.llm.common import table
 
@@ -81,9 +82,64 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the tail of every tenth text, by the checksum of its id, made periodic.
+
+    A null id has the checksum of empty text. Words of a changed text are joined by one space.
+    """
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    g, n = F.floor(F.col("h") / 10), F.size("words")
+    a = F.col("g") % F.col("n")
+    tail = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    copies = F.array_repeat(tail, F.ceil(F.col("rest") / F.col("p")).cast("int"))
+    periodic = F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), F.slice(F.flatten(copies), F.lit(1), F.col("rest").cast("int")))
+    return (
+        docs.select("doc_id", "text", h.alias("h"))
+        .withColumn("words", F.when(F.col("h") % 10 == 0, words))
+        .withColumn("g", g).withColumn("n", n.cast("long")).withColumn("a", F.when(F.col("n") > 0, a))
+        .withColumn("rest", F.col("n") - F.col("a"))
+        .withColumn("p", 1 + F.floor(F.col("rest") / (3 + F.col("g") % 8)))
+        .select("doc_id", F.when(F.col("n") > 0, F.array_join(periodic, " ")).otherwise(F.col("text")).alias("text"))
+    )
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every whole document after planting: their number, the longest, and digests of all and of what is left.
+
+    A null text has no words. Repeated rows are rows of their own.
+    """
+    found = periodic.periodic_runs(planted_runs(table(spark, sf_dir, "documents")))
+    longest = F.array_min(
+        F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", "runs", "collapsed", longest.alias("top")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"),
+        (-F.col("top.less")).alias("length"), F.col("top.period").alias("period"),
+        F.floor(1000 * -F.col("top.less") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole document and the text decoded from them, as digests; a null text counts as empty."""
+    coded = chunk_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding without null or non-finite entries."""
+    vectors = table(spark, sf_dir, "embeddings")
+    fitted = whitening.fit(whitening.whole_numbers(vectors), components=8)
+    return whitening.whiten(fitted)
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_line_dedup, op2_quality, op3_exact_dedup, op4_secret_scan, op5_mixing, op6_perspectives, op7_bpe,
-        op8_near_dedup, op9_top_k, op10_toxicity,
+        op8_near_dedup, op9_top_k, op10_toxicity, op11_periodic_runs, op12_chunk_bpe, op13_whitening,
     ]
     return {f.__name__: f for f in found}
