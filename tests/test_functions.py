@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,52 +17,58 @@ def _map(spark, values, expression):
 
 
 def test_clean_host(spark):
-    cases = {
-        "example.com:443": "example.com", "EXAMPLE.COM": "example.com", "example.com.": "example.com",
-        "[::1]:8080": "::1", "[::1]": "::1", "api.example.com": "api.example.com", "": "",
-        " a.b. ": "a.b", "2001:DB8::1": "2001:db8::1", "[broken": "[broken", "...": "",
-    }
+    names = ["depot.example.org", "x", "a-b.c-d.example", "10.20.30.40", "xn--bcher-kva.example"]
+    forms = {"{}": 0, "{}:80": 0, "{}:65535": 0, "{}.": 0, "  {} ": 0}
+    cases = {form.format(case(n)): n for form in forms for n in names for case in (str.lower, str.upper)}
+    for n in range(1, 12, 3):  # bracketed IPv6, with and without a port
+        address = ipaddress.IPv6Address(0x20010DB8 << 96 | n * 0x1234567)
+        cases |= {f"[{address}]": str(address), f"[{address}]:{4000 + n}": str(address), str(address).upper(): str(address)}
+    cases |= {"": "", "....": "", "[unclosed": "[unclosed"}
     assert _map(spark, cases, text.clean_host) == list(cases.values())
 
 
 def test_clean_ip(spark):
-    cases = {
-        "1.2.3.4": "1.2.3.4", "[::1]:8080": "::1", "fe80::1%eth0": "fe80::1", "[fe80::1%eth0]": "fe80::1",
-        "": "", "1.2.3.4:99": "1.2.3.4", " 1.2.3.4 ": "1.2.3.4",
-    }
+    cases = {"": ""}
+    for n in range(3, 300, 97):
+        four, six = ipaddress.IPv4Address(0xC6336400 + n), ipaddress.IPv6Address(0x20010DB8 << 96 | n << 40 | n)
+        cases |= {f"{four}": f"{four}", f"{four}:{n}": f"{four}", f"\t{four} ": f"{four}"}
+        cases |= {f"[{six}]:{n}": f"{six}", f"{six}%wlan{n}": f"{six}", f"[{six}%7]": f"{six}"}
     assert _map(spark, cases, text.clean_ip) == list(cases.values())
 
 
 def test_split_uri(spark):
-    cases = {
-        "/api/v1/users": ("/api/v1/users", ""), "/search?q=hello&page=2": ("/search", "q=hello&page=2"),
-        "": ("", ""), "/a;p=1/b;q=2?x#y": ("/a;p=1/b", "x"), "//host/x?y": ("/x", "y"),
-        "http://h:1/p?q#f": ("/p", "q"), "/a b#c?d": ("/a b", ""), "*": ("*", ""), "/x?a?b": ("/x", "a?b"),
-    }
-    paths, queries = _map(spark, cases, text.uri_path), _map(spark, cases, text.uri_query)
-    assert list(zip(paths, queries)) == list(cases.values())
+    paths = ["", "/", "/depot/17", "/a b", "/p;v=1", "/p;v=1/q;w", "/~x/%2F", "*"]
+    tails = ["", "?", "?k=v", "?k=v&l=", "?a?b", "#part", "?k#part", "#part?no"]
+    cases = [p + t for p in paths for t in tails]
+    cases += ["//depot.example.org/x" + t for t in tails] + ["https://depot.example.org:9/x/y" + t for t in tails]
+    want = [urlparse(c) for c in cases]
+    found = list(zip(_map(spark, cases, text.uri_path), _map(spark, cases, text.uri_query)))
+    for case, got, parsed in zip(cases, found, want):
+        assert got[1] == parsed.query, case
+        # Parameters belong to the path they follow, save those of the last segment.
+        assert got[0] == parsed.path, case
 
 
 def test_referer_domain(spark):
-    cases = {
-        "https://www.google.com/": "www.google.com", "https://u:p@h:8/x": "u:p@h:8", "//h/x": "h",
-        "android-app://com.x/": "com.x", "nothing": "", "": "",
-    }
-    assert _map(spark, cases, text.authority) == list(cases.values())
+    cases = [
+        f"{scheme}{user}{host}{port}{rest}"
+        for scheme in ("https://", "http://", "//", "app-link://") for user in ("", "ann@", "ann:pw@")
+        for host in ("desk.example.org", "10.9.8.7") for port in ("", ":81") for rest in ("", "/", "/q?x#y", "?x", "#y")
+    ] + ["", "desk", "/only/a/path"]
+    assert _map(spark, cases, text.authority) == [urlparse(c).netloc for c in cases]
 
 
 def test_status_class(spark):
-    cases = {"200": "2xx", "204": "2xx", "301": "3xx", "404": "4xx", "429": "4xx", "503": "5xx", "599": "5xx",
-             "199": None, "600": None, "100": None}
+    cases = {str(n): f"{n // 100}xx" if 200 <= n < 600 else None for n in range(90, 700, 7)}
     assert _map(spark, cases, lambda c: text.status_class(c.cast("int"))) == list(cases.values())
 
 
 def test_tls_names(spark):
-    versions = {"772": "TLS 1.3", "771": "TLS 1.2", "770": "TLS 1.1", "769": "TLS 1.0", "9999": "UNKNOWN(9999)",
-                "null": None, '"TLS 1.3"': "TLS 1.3", '"771"': "771"}
+    # Numbers of the protocol: 0x0300 + minor version, suites from its registry.
+    versions = {str(0x0301 + n): f"TLS 1.{n}" for n in range(4)}
+    versions |= {"31000": "UNKNOWN(31000)", "null": None, '"TLS 1.2"': "TLS 1.2", '"0x0303"': "0x0303"}
     assert _map(spark, versions, lambda c: tls.tls_version(F.parse_json(c))) == list(versions.values())
-    suites = {"4865": "TLS_AES_128_GCM_SHA256", "52392": "TLS_ECDHE_RSA_WITH_CHACHA20_POLY1305",
-              "1234": "UNKNOWN(1234)", "null": None}
+    suites = {str(0x1302): "TLS_AES_256_GCM_SHA384", str(0x1303): "TLS_CHACHA20_POLY1305_SHA256", "77": "UNKNOWN(77)", "null": None}
     assert _map(spark, suites, lambda c: tls.tls_cipher(F.parse_json(c))) == list(suites.values())
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pytest
 from comparing import differences, duckdb_tables
-from conftest import SF_DIR
 
 import __spark_entry__ as driver
 from loglens.plans import catalog, oracle
@@ -13,8 +12,8 @@ ORACLE = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
-def tables():
-    return duckdb_tables(SF_DIR)
+def tables(sf_dir):
+    return duckdb_tables(sf_dir)
 
 
 def test_every_query_has_an_oracle():
