@@ -5,6 +5,9 @@ from __future__ import annotations
 # -- Fixed values: message that marks an access-log line ----------------------
 ACCESS_MESSAGE = "handled request"
 
+# -- Fixed values: where a line says its time, in Unix seconds ------------------
+LINE_TIME = r'"ts"\s*:\s*([0-9]+(?:\.[0-9]+)?)'
+
 # -- Fixed values: registered TLS protocol and cipher-suite numbers ------------
 TLS_VERSIONS = {
     769: "TLS 1.0",

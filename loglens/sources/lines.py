@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.filters import instant
+from loglens.functions.fixed_values import LINE_TIME
 from loglens.functions.text import strip
 from loglens.functions.times import from_unix_seconds
-
-_TIMESTAMP = r'"ts"\s*:\s*([0-9]+(?:\.[0-9]+)?)'
+from loglens.sources import growing
 
 
 def _lines(text: DataFrame) -> DataFrame:
@@ -27,11 +27,31 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def tail_log_stream(
+    spark: SparkSession, directory: str, *, pattern: str = "*", range_bytes: int = growing.RANGE
+) -> DataFrame:
+    """Whole lines of all files in ``directory``, as they are written: each line once.
+
+    Files may grow, be renamed, be copied and cut, or begin anew; a file is known by its content (see ``sources.growing``).
+    A line is read once its end is written. ``pattern`` must match rotated names too, or what was added between the last
+    look and the rotation is lost; packed files (.gz and the like) are left out. Two files with the same content count as
+    one. The directory is a path, or a URI of a file system that pyarrow knows. A batch holds all that was
+    added, in tasks of ``range_bytes``; offsets are kept in the query's checkpoint.
+    """
+    spark.dataSource.register(growing.GrowingLines)
+    added = (
+        spark.readStream.format(growing.NAME).option("pattern", pattern).option("rangeBytes", range_bytes).load(directory)
+    )
+    lines = added.select(strip(F.make_valid_utf8(F.col("value").cast("string"))).alias("value"), "log_source")
+    return lines.filter(F.col("value") != "")
+
+
+def segment_stream(
     spark: SparkSession, directory: str, *, max_files_per_trigger: int | None = None, latest_first: bool = False
 ) -> DataFrame:
-    """Lines of the files that appear in ``directory``, each read once.
+    """Lines of finished files that appear in ``directory``, each file read once and whole, by any file system of Spark.
 
-    Rotated segments are new files; offsets are kept in the query's checkpoint.
+    A file must be complete when it appears: lines added to it later are not read. For files that are still written
+    to use ``tail_log_stream``.
     """
     reader = spark.readStream.format("text").option("latestFirst", str(latest_first).lower())
     if max_files_per_trigger:
@@ -41,7 +61,7 @@ def tail_log_stream(
 
 def line_time(line: Column) -> Column:
     """The time written in a line, found without parsing it; NULL when there is none."""
-    return from_unix_seconds(F.regexp_extract(line, _TIMESTAMP, 1).try_cast("double"))
+    return from_unix_seconds(F.regexp_extract(line, LINE_TIME, 1).try_cast("double"))
 
 
 def newest_per_source(requests: DataFrame) -> DataFrame:

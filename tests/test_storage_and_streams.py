@@ -79,7 +79,7 @@ def test_pipeline_stores_every_line_once(spark, tmp_path):
     stored, errors, check, events = (str(tmp_path / n) for n in ("requests", "errors", "check", "events"))
 
     def run():
-        tail = lines.tail_log_stream(spark, str(folder), max_files_per_trigger=1)
+        tail = lines.segment_stream(spark, str(folder), max_files_per_trigger=1)
         pipeline.stream_pipeline(tail, stored, errors, check, events_path=events).trigger(availableNow=True).start().awaitTermination()
 
     run()
