@@ -1,15 +1,18 @@
 """Security events: eleven rules over the requests, in event time.
 
-Rules about one request alone run inside the scan stage. Rules about an address's recent
-past run on running sums that split busy addresses over time.
+Rules about one request alone run inside the scan stage. Rules about an address's recent past first add up requests by
+address and short slot of time: the slots that a trailing window can touch bound what it can hold, and a session's
+missing pages bound its different ones. Only requests in slots where a rule can fire by these bounds, and in those its
+windows reach back to, are then put in order, by running sums that split busy addresses over time.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from math import gcd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.filters import within
@@ -18,8 +21,9 @@ from loglens.functions import threats
 from loglens.functions.net import with_cidr_bounds, with_ip_keys
 from loglens.functions.times import micros
 from loglens.operators.ranges import join_ranges
-from loglens.operators.running import running_distinct, sessions, trailing_count, with_session
+from loglens.operators.running import running_distinct, trailing_count
 from loglens.operators.summaries import top
+from loglens.session import stored
 from loglens.timerange import TimeRange
 
 _SECOND = 1_000_000
@@ -124,12 +128,112 @@ def _timed(requests: DataFrame) -> DataFrame:
         micros(F.col("ts")).alias(_AT),
         threats.has_no_agent().alias("no_agent"),
         threats.upper_method().alias("method"),
+        threats.is_login_attempt().alias("login"),
+        F.when(F.col("status") == 404, F.lower(F.coalesce("path", F.lit("")))).alias("missing_path"),
     )
 
 
 def sec_window(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
     """Requests of the same address in the trailing span at every request."""
-    return trailing_count(_timed(requests), "remote_ip", _AT, "id", s.rate_seconds * _SECOND, "in_window")
+    rows = requests.select(
+        "id", "ts", "remote_ip", "host", "uri", micros(F.col("ts")).alias(_AT),
+        threats.has_no_agent().alias("no_agent"), threats.upper_method().alias("method"),
+    )
+    return trailing_count(rows, "remote_ip", _AT, "id", s.rate_seconds * _SECOND, "in_window")
+
+
+def _slot_seconds(s: RuleSettings) -> int:
+    return gcd(s.rate_seconds, s.login_seconds, s.session_gap_seconds)
+
+
+def _slot(s: RuleSettings) -> Column:
+    return F.floor(F.col(_AT) / (_slot_seconds(s) * _SECOND)).alias("slot")
+
+
+def suspicious_slots(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
+    """The slots of an address where a rule about its past can fire (``*_fires``) or whose requests such a slot's windows
+    hold (``*_feeds``), and the number of the session; one scan, combined before the shuffle.
+
+    A window that ends in a slot lies within it and the slots one span back, so their sum bounds its count. A session has at
+    most as many different missing paths as missing pages.
+    """
+    def number(condition: Column) -> Column:
+        return F.sum(F.when(condition, 1).otherwise(0))
+
+    slots = (
+        _timed(requests).groupBy("remote_ip", _slot(s))
+        .agg(
+            F.count(F.lit(1)).alias("n"), number(F.col("no_agent")).alias("agentless"),
+            number(F.col("method") == "OPTIONS").alias("options"), number(F.col("login")).alias("logins"),
+            number(F.col("missing_path").isNotNull()).alias("missing"), F.min(_AT).alias("first"), F.max(_AT).alias("last"),
+        )
+    )
+    in_order = Window.partitionBy("remote_ip").orderBy("slot")
+    rate, login = s.rate_seconds // _slot_seconds(s), s.login_seconds // _slot_seconds(s)
+
+    def back(count: str, span: int) -> Column:
+        return F.sum(count).over(in_order.rangeBetween(-span, 0))
+
+    def ahead(fires: str, span: int) -> Column:
+        return F.max(fires).over(in_order.rangeBetween(0, span))
+
+    silence = F.col("first") - F.lag("last").over(in_order)
+    begins = F.when(silence > s.session_gap_seconds * _SECOND, 1).otherwise(0)
+    bounded = slots.withColumns(
+        {"in_rate": back("n", rate), "in_login": back("logins", login), "begins": begins}
+    ).withColumns(
+        {
+            "rate_fires": (F.col("in_rate") >= s.rate_threshold)
+            | ((F.col("agentless") > 0) & (F.col("in_rate") > s.empty_agent_over))
+            | ((F.col("options") > 0) & (F.col("in_rate") > s.options_over)),
+            "login_fires": (F.col("logins") > 0) & (F.col("in_login") > s.logins_over),
+            "session": F.sum("begins").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        }
+    )
+    session = Window.partitionBy("remote_ip", "session")
+    flagged = bounded.withColumns(
+        {
+            "rate_feeds": ahead("rate_fires", rate),
+            "login_feeds": ahead("login_fires", login),
+            "scan_fires": (F.col("missing") > 0) & (F.sum("missing").over(session) > s.scan_paths_over),
+        }
+    )
+    return flagged.filter(F.col("rate_feeds") | F.col("login_feeds") | F.col("scan_fires")).select(
+        "remote_ip", "slot", "session", "rate_fires", "rate_feeds", "login_fires", "login_feeds", "scan_fires"
+    )
+
+
+def _suspicious(requests: DataFrame, s: RuleSettings, *rules: str) -> DataFrame:
+    """The requests that the rules about the past need to look at, stored: a second scan, the last."""
+    slots = suspicious_slots(requests, s)
+    rows = _timed(requests).withColumn("slot", _slot(s)).alias("r")
+    joined = rows.join(
+        slots.alias("f"), F.col("r.remote_ip").eqNullSafe(F.col("f.remote_ip")) & (F.col("r.slot") == F.col("f.slot"))
+    ).select("r.*", "session", "rate_fires", "rate_feeds", "login_fires", "login_feeds", "scan_fires")
+    needs = {
+        "rate": F.col("rate_feeds"), "login": F.col("login_feeds") & F.col("login"),
+        "scan": F.col("scan_fires") & F.col("missing_path").isNotNull(),
+    }
+    return stored(joined.filter(reduce(Column.__or__, [needs[r] for r in rules])), "suspicious")
+
+
+def _in_rate(suspects: DataFrame, s: RuleSettings) -> DataFrame:
+    rows = suspects.filter("rate_feeds").select("id", "ts", "remote_ip", "host", "uri", _AT, "no_agent", "method", "rate_fires")
+    counted = trailing_count(rows, "remote_ip", _AT, "id", s.rate_seconds * _SECOND, "in_window")
+    return counted.filter("rate_fires")
+
+
+def _in_login(suspects: DataFrame, s: RuleSettings) -> DataFrame:
+    rows = suspects.filter("login_feeds AND login").select("id", "ts", "remote_ip", "host", "uri", _AT, "login_fires")
+    counted = trailing_count(rows, "remote_ip", _AT, "id", s.login_seconds * _SECOND, "attempts")
+    return counted.filter("login_fires")
+
+
+def _in_scan(suspects: DataFrame) -> DataFrame:
+    rows = suspects.filter("scan_fires AND missing_path IS NOT NULL").select(
+        "id", "ts", "remote_ip", "host", "uri", _AT, "session", "missing_path"
+    )
+    return running_distinct(rows, ["remote_ip", "session"], "missing_path", _AT, "id", "paths")
 
 
 def _rate_rule(s: RuleSettings) -> tuple[Column, Column]:
@@ -154,16 +258,16 @@ def _options_rule(s: RuleSettings) -> tuple[Column, Column]:
 
 
 def sec_rate_limit(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
-    return _emit(sec_window(requests, s), _rate_rule(s))
+    return _emit(_in_rate(_suspicious(requests, s, "rate"), s), _rate_rule(s))
 
 
 def sec_empty_ua(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
-    return _emit(sec_window(requests, s), _empty_agent_rule(s))
+    return _emit(_in_rate(_suspicious(requests, s, "rate"), s), _empty_agent_rule(s))
 
 
 def sec_method_abuse(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
     always = _single(requests, "method", s)
-    return always.unionByName(_emit(sec_window(requests, s), _options_rule(s)))
+    return always.unionByName(_emit(_in_rate(_suspicious(requests, s, "rate"), s), _options_rule(s)))
 
 
 def sec_port_scan(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
@@ -171,25 +275,12 @@ def sec_port_scan(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
 
     All requests of the address keep its session alive; only those answered 404 count.
     """
-    gap = s.session_gap_seconds * _SECOND
-    timed = requests.withColumn(_AT, micros(F.col("ts")))
-    numbered = sessions(timed.select("remote_ip", _AT), "remote_ip", _AT, gap)
-    missing = timed.filter(F.col("status") == 404).select(
-        "id", "ts", "remote_ip", "host", "uri", _AT,
-        F.lower(F.coalesce("path", F.lit(""))).alias("missing_path"),
-    )
-    counted = running_distinct(
-        with_session(missing, "remote_ip", _AT, numbered),
-        ["remote_ip", "session"], "missing_path", _AT, "id", "paths",
-    )
-    return _emit(counted, _scan_rule(s))
+    return _emit(_in_scan(_suspicious(requests, s, "scan")), _scan_rule(s))
 
 
 def sec_auth_fail(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
     """Addresses that post to login pages again and again, whatever the answer."""
-    posts = requests.filter(threats.is_login_attempt())
-    counted = trailing_count(_timed(posts), "remote_ip", _AT, "id", s.login_seconds * _SECOND, "attempts")
-    return _emit(counted, _login_rule(s))
+    return _emit(_in_login(_suspicious(requests, s, "login"), s), _login_rule(s))
 
 
 def _scan_rule(s: RuleSettings) -> tuple[Column, Column]:
@@ -219,12 +310,16 @@ def counted_events(counted: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
 
 
 def security_events(requests: DataFrame, s: RuleSettings = DEFAULTS) -> DataFrame:
-    """All events of all rules."""
+    """All events of all rules, from three scans: for rules about one request, for bounds, and for what exceeds them.
+
+    The requests of suspicious slots are stored in the shared folder when this is called.
+    """
+    suspects = _suspicious(requests, s, "rate", "login", "scan")
     parts = [
         single_request_events(requests, s),
-        _emit(sec_window(requests, s), _rate_rule(s), _empty_agent_rule(s), _options_rule(s)),
-        sec_port_scan(requests, s),
-        sec_auth_fail(requests, s),
+        _emit(_in_rate(suspects, s), _rate_rule(s), _empty_agent_rule(s), _options_rule(s)),
+        _emit(_in_scan(suspects), _scan_rule(s)),
+        _emit(_in_login(suspects, s), _login_rule(s)),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import random
 from collections import Counter
+from dataclasses import replace
 from datetime import datetime, timedelta
 from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
-from loglens.operators import enrich, live, running, security, skew, summaries
+from loglens.operators import enrich, live, security, skew, summaries
 from loglens.timerange import resolve_time_range
 
 START = datetime(2024, 1, 1)
@@ -136,9 +137,58 @@ def test_details_hold_whole_texts(spark):
     assert details["xss_attempt"]["uri"] == uri and len(details["known_scanner"]["ua"]) == 905
 
 
-def test_sessions_need_a_gap_of_a_slice(requests):
-    with pytest.raises(ValueError):
-        running.sessions(requests, "remote_ip", "at_us", 5)
+@pytest.mark.parametrize(
+    "changes",
+    [
+        {"rate_seconds": 45, "login_seconds": 100, "session_gap_seconds": 7, "scan_paths_over": 1},
+        {"rate_seconds": 7200, "rate_threshold": 200, "login_seconds": 10, "logins_over": 1, "session_gap_seconds": 30},
+    ],
+)
+def test_bounds_lose_no_event(spark, rows, requests, changes):
+    settings = replace(SETTINGS, **changes)
+    found = security.security_events(requests, settings).groupBy("event_type").count().collect()
+    want = Counter()
+    for (_, kind), n in brute_force_events(rows, settings).items():
+        want[kind] += n
+    counted = {r["event_type"]: r["count"] for r in found if r["event_type"] in dict(_KINDS) and r["event_type"] not in ("bad_bot", "http_method_abuse")}
+    assert counted == {k: n for k, n in want.items() if k not in ("bad_bot", "http_method_abuse")}
+
+
+def test_calm_traffic_is_not_put_in_order(spark):
+    calm = [
+        (i, START + timedelta(seconds=30 * i), f"198.51.100.{i % 3}", "h", "/", "/", "GET", 404 if i % 200 == 0 else 200, None, 1)
+        for i in range(3000)
+    ]
+    burst = [(9000 + i, START + timedelta(hours=30, milliseconds=i), HOT, "h", "/", "/", "GET", 200, None, 1) for i in range(400)]
+    frame = spark.createDataFrame(calm + burst, SCHEMA)
+    found = security.suspicious_slots(frame).collect()
+    assert {r["remote_ip"] for r in found} == {HOT} and len(found) <= 2
+    assert security.suspicious_slots(frame.limit(0)).count() == 0
+    assert security.security_events(frame.limit(0)).count() == 0
+
+
+def test_a_flood_is_many_tasks(spark):
+    """200 000 requests of one address within ten minutes."""
+    n = 200_000
+    at = F.timestamp_micros(F.unix_micros(F.lit(datetime(2024, 3, 1)).cast("timestamp")) + F.col("id") * 3000)
+    flood = spark.range(n).select(
+        "id", at.alias("ts"), F.lit("198.51.100.9").alias("remote_ip"), F.lit("h").alias("host"), F.lit("/").alias("uri"),
+        F.lit("/").alias("path"), F.lit("GET").alias("method"), F.lit(200).alias("status"), F.lit("a").alias("user_agent"),
+        F.lit(1).alias("duration_ms"),
+    )
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counted = security.sec_window(flood).select("id", "in_window", F.spark_partition_id().alias("task"))
+        found = counted.groupBy("task").agg(
+            F.count("*").alias("rows"), F.sum(F.when(F.col("in_window") != F.least(F.col("id") + 1, F.lit(20_001)), 1).otherwise(0)).alias("wrong")
+        ).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(r["rows"] for r in found) == n and sum(r["wrong"] for r in found) == 0
+    assert len(found) >= 8 and max(r["rows"] for r in found) < n / 4
 
 
 def test_summarize_equals_brute_force(requests, rows):
