@@ -9,7 +9,7 @@ from loglens.functions import agents
 from loglens.functions import fixed_values as fixed
 from loglens.functions import measures as m
 from loglens.functions.net import with_ip_keys
-from loglens.operators.ranges import join_ranges
+from loglens.operators.ranges import sweep
 from loglens.operators.skew import attach
 
 _LOOPBACK = ("127.0.0.1", "::1")
@@ -24,16 +24,15 @@ def locate_addresses(requests: DataFrame, geo: DataFrame) -> DataFrame:
     addresses = requests.groupBy("remote_ip").agg(m.requests().alias("requests"))
     sought = F.when(~F.col("remote_ip").isin(*_LOOPBACK), F.col("remote_ip"))
     keyed = with_ip_keys(addresses.withColumn("__sought", sought), ip="__sought")
-    ranges = with_ip_keys(geo, low="first_ip", high="last_ip").select("low", "high", *places)
-    found = join_ranges(keyed, "ip", ranges, "low", "high", how="left")
-    place = F.max(F.when(F.col("low").isNotNull(), F.struct(*places)))
-    return found.groupBy("remote_ip", "requests").agg(place.alias("place")).select("remote_ip", "requests", "place.*")
+    ranges = with_ip_keys(geo, low="first_ip", high="last_ip").groupBy("low", "high").agg(F.max(F.struct(*places)).alias("place"))
+    found = sweep(keyed, "ip", ranges, "low", "high")
+    return found.select("remote_ip", "requests", F.get("found", F.lit(0))["place"].alias("place")).select("remote_ip", "requests", "place.*")
 
 
 def enrich_geo(requests: DataFrame, geo: DataFrame) -> DataFrame:
     """Requests with the place columns of ``geo``; NULL where no range holds the address.
 
-    Ranges are joined to distinct addresses only, then attached without shuffling hot ones.
+    Ranges are swept over distinct addresses only, then attached without shuffling hot ones.
     """
     return attach(requests, "remote_ip", locate_addresses(requests, geo), "requests")
 

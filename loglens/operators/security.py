@@ -20,7 +20,7 @@ from loglens.functions import measures as m
 from loglens.functions import threats
 from loglens.functions.net import with_cidr_bounds, with_ip_keys
 from loglens.functions.times import micros
-from loglens.operators.ranges import join_ranges
+from loglens.operators.ranges import network_layer, sweep
 from loglens.operators.running import running_distinct, trailing_count
 from loglens.operators.summaries import top
 from loglens.session import stored
@@ -355,13 +355,16 @@ def ip_list_match(addresses: DataFrame, lists: DataFrame) -> DataFrame:
     distinct = addresses.select("ip").distinct()
     unscoped = distinct.withColumn("__address", F.regexp_replace("ip", "%.*$", ""))
     keyed = with_ip_keys(unscoped, key="__address").select("ip", "key")
-    matches = join_ranges(keyed, "key", networks, "low", "high")
 
     def first(name: str) -> Column:
         return F.min(F.when(F.col("list") == name, F.col("entry"))).alias(f"{name}list_entry")
 
-    firsts = matches.groupBy("ip").agg(first("white"), first("block"))
-    joined = distinct.join(firsts, "ip", "left")
+    # One line for each network: its first entry of either list.
+    lines = networks.groupBy("low", "high").agg(first("white"), first("block")).withColumn("layer", network_layer("low", "high"))
+    found = sweep(keyed, "key", lines, "low", "high", "layer")
+    joined = found.select(
+        "ip", *[F.array_min(F.col(f"found.{n}")).alias(n) for n in ("whitelist_entry", "blocklist_entry")]
+    )
     return joined.select(
         "ip",
         F.col("whitelist_entry").isNotNull().alias("whitelisted"),

@@ -120,15 +120,6 @@ def lines(df: DataFrame, keys: list[str], parts: list[Column], item: str) -> Dat
     )
 
 
-def regroup(df: DataFrame, keys: list[str], totals: list[str], greatest: list[str]) -> DataFrame:
-    """Lines merged again after their groups were changed."""
-    return df.groupBy(*keys, _ITEM, _VALUE, _BY_VALUE).agg(
-        F.sum(_ROWS).alias(_ROWS),
-        *[F.sum(n).alias(n) for n in totals],
-        *[F.max(n).alias(n) for n in greatest],
-    )
-
-
 def finish(
     df: DataFrame,
     keys: list[str],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import json
 import random
 from collections import Counter
@@ -271,6 +272,79 @@ def test_live_metrics_at_one_instant(spark):
     assert (none.req_count, none.rps, none.error_rate, none.p50_ms) == (0, 0.0, 0.0, 0)
 
 
+@pytest.mark.parametrize(("seconds", "step"), [(30, 1), (30, 7), (5, 60), (20, 20)])
+def test_live_metrics_equal_brute_force(spark, seconds, step):
+    rng = random.Random(seconds * 100 + step)
+    rows, now = [], 0.0
+    for i in range(600):
+        now += rng.choice([0, 0.25, 1, 3, 3, 90 if rng.random() < 0.1 else 2])
+        rows.append((i, START + timedelta(seconds=now), rng.choice(["a", "a", "b", "c", "", None]), rng.choice(["2xx", "4xx", None]),
+                     rng.choice([None, 1, 5, rng.randrange(50)]), rng.choice([None, 10]), 1))
+    frame = spark.createDataFrame(
+        rows, "id int, ts timestamp, remote_ip string, status_class string, duration_ms int, response_bytes bigint, request_bytes bigint"
+    )
+    got = {
+        int((r.window_end - START).total_seconds()): (r.req_count, r.unique_ips, r.p50_ms, r.bytes_out, r.req_4xx, r.rps)
+        for r in live.live_metrics(frame, seconds=seconds, step=step).collect()
+    }
+    epoch = int((START - datetime(1970, 1, 1)).total_seconds())
+    want = {}
+    for end in range(-(-epoch // step) * step - epoch, int(now) + seconds + step, step):
+        held = [r for r in rows if end - seconds <= (r[1] - START).total_seconds() < end]
+        if held:
+            times = [(r[1] - START).total_seconds() for r in held]
+            elapsed = max(max(times) - min(times), 0.5) if len(held) > 1 else seconds
+            durations = sorted(r[4] for r in held if r[4] is not None)
+            want[end] = (
+                len(held), len({r[2] for r in held if r[2]}), durations[len(durations) // 2] if durations else 0,
+                sum(r[5] or 0 for r in held), sum(r[3] == "4xx" for r in held), pytest.approx(len(held) / elapsed, abs=0.006),
+            )
+    assert got.keys() == want.keys()
+    assert all(got[k] == want[k] for k in want)
+    assert live.live_metrics(frame.limit(0), seconds=seconds, step=step).count() == 0
+
+
+def test_live_windows_are_not_copied(spark, requests):
+    rows = live._measured(requests.withColumns({"status_class": F.lit("2xx"), "response_bytes": F.lit(1), "request_bytes": F.lit(1)}))
+    rows = rows.withColumn("slot", F.floor(F.col("at_us") / 1_000_000))
+    parts = [c.alias(n) for n, c in live._totals().items()] + [F.max(c).alias(n) for n, c in live._edges().items()]
+    per_slot = summaries.lines(rows, ["slot"], parts, "visitor")
+    slots = per_slot.select("slot").distinct().count()
+    for width in (10, 1000):
+        assert live._changes(per_slot, list(live._totals()), width).count() <= 2 * slots
+
+
+def test_networks_equal_brute_force(spark):
+    """Nested, equal and touching networks of both families."""
+    rng = random.Random(12)
+    networks = []
+    for i in range(300):
+        if rng.random() < 0.6:
+            base, bits = ipaddress.IPv4Address(0xC0A80000 + rng.randrange(1 << 12)), rng.choice([8, 20, 22, 25, 27, 30, 31, 32])
+        else:
+            base, bits = ipaddress.IPv6Address(0x20010DB8 << 96 | rng.randrange(1 << 12)), rng.choice([0, 32, 117, 121, 126, 128])
+        networks.append((i, rng.choice(["white", "block"]), f"{base}/{bits}", None))
+    networks += [(400, "block", "no network", "x"), (401, "white", networks[0][2], "again")]
+    addresses = [str(ipaddress.IPv4Address(0xC0A80000 + rng.randrange(1 << 12))) for _ in range(200)]
+    addresses += [str(ipaddress.IPv6Address(0x20010DB8 << 96 | rng.randrange(1 << 12))) for _ in range(200)]
+    addresses += ["9.9.9.9", "no address", "", None, addresses[0]]
+    frame = spark.createDataFrame([(a,) for a in addresses], "ip string").repartition(7)
+    lists = spark.createDataFrame(networks, "id int, list string, cidr string, note string")
+    got = {r.ip: (r.whitelist_entry and r.whitelist_entry.id, r.block_entry and r.block_entry.id) for r in security.ip_list_match(frame, lists).collect()}
+    parsed = [(i, kind, ipaddress.ip_network(c, strict=False)) for i, kind, c, _ in networks if "/" in c]
+
+    def first(address, wanted):
+        try:
+            found = ipaddress.ip_address(address)
+        except ValueError:
+            return None
+        return min((i for i, kind, n in parsed if kind == wanted and n.version == found.version and found in n), default=None)
+
+    assert got == {a: (first(a, "white"), first(a, "block")) for a in set(addresses)}
+    assert security.ip_list_match(frame, lists.limit(0)).filter("whitelisted OR blocked").count() == 0
+    assert security.ip_list_match(frame.limit(0), lists).count() == 0
+
+
 def test_time_ranges():
     now = datetime(2024, 1, 31, 12)
     assert resolve_time_range(now).start == datetime(2024, 1, 30, 12)
