@@ -56,16 +56,9 @@ BAD_BOT_WORDS = (
     "yandexbot", "baiduspider", "ia_archiver",
 )
 BOT_WORDS = (
-    "nikto", "nessus", "sqlmap", "masscan", "zgrab", "nuclei", "nmap",
-    "dirbuster", "gobuster", "wfuzz", "hydra", "medusa", "metasploit",
-    "burpsuite", "acunetix", "netsparker", "appscan", "w3af", "skipfish",
-    "whatweb", "httprint", "fimap", "commix", "dalfox", "jaeles",
-    "subfinder", "amass", "feroxbuster", "ffuf", "dirb", "crawl", "spider",
-    "python-requests", "go-http-client", "curl/", "wget/", "libwww", "lwp-",
-    "scrapy", "mechanize", "ahrefsbot", "semrushbot", "dotbot", "majestic",
-    "mj12bot", "petalbot", "yandexbot", "baiduspider", "duckduckbot",
-    "ia_archiver", "facebookexternalhit", "twitterbot", "linkedinbot",
-    "slackbot",
+    *SCANNER_WORDS,
+    "subfinder", "amass", "crawl", "spider", "python-requests", "go-http-client", "curl/", "wget/", "libwww", "lwp-",
+    "scrapy", "mechanize", *BAD_BOT_WORDS, "duckduckbot", "facebookexternalhit", "twitterbot", "linkedinbot", "slackbot",
 )
 
 # -- Fixed values: attack patterns searched in the lower-cased URI -----------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +50,26 @@ def requests_by_ids(requests: DataFrame, ids: DataFrame) -> DataFrame:
     return requests.join(ids.select("id").distinct(), "id", "left_semi")
 
 
+def _days(requests: DataFrame) -> list[str]:
+    """The days that a table stored by day has files of, newest first; none where it is not stored so."""
+    if "date" not in requests.columns:
+        return []
+    found = (re.search(r"/date=(\d{4}-\d{2}-\d{2})/", file) for file in requests.inputFiles())
+    return sorted({day.group(1) for day in found if day}, reverse=True)
+
+
 def recent_requests(requests: DataFrame, tr: TimeRange | None = None, *, limit: int = 100) -> DataFrame:
-    """The newest requests; a range bounds what is read to find them."""
+    """The newest requests; a range bounds what is read to find them.
+
+    Of a table stored by day (with its column ``date``) only the newest days are read that hold ``limit`` rows.
+    """
     rows = within(requests, tr) if tr else requests
+    found = 0
+    for day in _days(requests):
+        found += rows.filter(F.col("date") == F.lit(day).cast("date")).limit(limit - found).count()
+        if found >= limit:
+            rows = rows.filter(F.col("date") >= F.lit(day).cast("date"))
+            break
     return rows.orderBy(F.desc("ts"), F.desc("id")).limit(limit)
 
 

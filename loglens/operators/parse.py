@@ -22,55 +22,41 @@ from loglens.functions.text import (
 from loglens.functions.times import from_unix_seconds
 from loglens.schema import REQUESTS_SCHEMA
 
-_ENTRY = "__entry"
-_FALSY_TEXT = "('', '0', '0.0', 'false')"
-
 ROW, SKIP, ERROR = "row", "skip", "error"
 
-# What is read of an entry, in one pass. Numbers are kept as they are written; where the kind
-# of a value decides its meaning it is kept whole, as a VARIANT.
-_ENTRY_SCHEMA = """
-  msg STRING, ts STRING, time STRING, timestamp STRING, logger STRING,
-  request STRUCT<
-    client_ip STRING, remote_ip STRING, remote_addr STRING, host STRING, method STRING, uri STRING, url STRING,
-    proto STRING, bytes_read STRING,
-    headers STRUCT<Host VARIANT, `User-Agent` VARIANT, Referer VARIANT, Referrer VARIANT>,
-    tls STRUCT<version VARIANT, cipher_suite VARIANT, proto STRING, server_name STRING, resumed VARIANT, ech VARIANT>>,
-  response STRUCT<status STRING, size STRING>,
-  status STRING, size STRING, bytes_written STRING, bytes_read STRING, duration STRING"""
-_READING = {"mode": "PERMISSIVE"}
-
+# Where a field is found.
 _TEXTS = {
-    "msg": "msg",
-    "ts": "ts", "time": "time", "timestamp": "timestamp",
-    "logger": "logger",
+    "msg": "msg", "logger": "logger", "duration": "duration",
     "client_ip": "request.client_ip", "remote_ip": "request.remote_ip", "remote_addr": "request.remote_addr",
-    "host_field": "request.host",
-    "server_name": "request.tls.server_name",
-    "method": "request.method",
-    "uri": "request.uri", "url": "request.url",
-    "protocol": "request.proto",
-    "status": "status", "response_status": "response.status",
-    "size": "size", "response_size": "response.size", "bytes_written": "bytes_written",
-    "bytes_read": "bytes_read", "request_bytes_read": "request.bytes_read",
-    "duration": "duration",
-    "alpn": "request.tls.proto",
-    "version": "request.tls.version", "cipher": "request.tls.cipher_suite",
+    "host_field": "request.host", "method": "request.method", "uri": "request.uri", "url": "request.url",
+    "protocol": "request.proto", "server_name": "request.tls.server_name", "alpn": "request.tls.proto",
 }
+# Texts of which the kind decides what they mean.
+_NUMBERS = {
+    "ts": "ts", "time": "time", "timestamp": "timestamp", "status": "status", "response_status": "response.status",
+    "size": "size", "response_size": "response.size", "bytes_written": "bytes_written", "bytes_read": "bytes_read",
+    "request_bytes_read": "request.bytes_read",
+}
+_VALUES = {"version": "request.tls.version", "cipher": "request.tls.cipher_suite"}
 _FLAGS = {"resumed": "request.tls.resumed", "ech": "request.tls.ech"}
 _HEADERS = {"host_header": "Host", "user_agent": "User-Agent", "referer": "Referer", "referrer": "Referrer"}
 
 
+def _inside(path: str, kind: str) -> str:
+    """A part of the line's entry, which stands alone in the array ``__all``."""
+    return f"try_variant_get(__all, '$[0].{path}', '{kind}')"
+
+
 def _written_fields() -> dict[str, Column]:
     """Every field of the entry as it is written. A header is a list of values or, by itself, a
     text."""
-    found = {name: F.col(f"{_ENTRY}.{path}") for name, path in _TEXTS.items()}
-    for name, path in _FLAGS.items():
-        found[name] = F.expr(f"try_variant_get({_ENTRY}.{path}, '$', 'boolean')")
+    found = {name: F.expr(_inside(path, "string")) for name, path in (_TEXTS | _NUMBERS).items()}
+    found |= {name: F.expr(_inside(path, "variant")) for name, path in _VALUES.items()}
+    found |= {name: F.expr(_inside(path, "boolean")) for name, path in _FLAGS.items()}
     for name, header in _HEADERS.items():
-        value = f"{_ENTRY}.request.headers.`{header}`"
-        found[f"{name}_list"] = F.expr(f"try_variant_get({value}, '$', 'array<string>')")
-        found[f"{name}_text"] = F.expr(f"try_variant_get({value}, '$', 'string')")
+        path = f'request.headers["{header}"]'
+        found[f"{name}_list"] = F.expr(_inside(path, "array<string>"))
+        found[f"{name}_text"] = F.expr(_inside(path, "string"))
     return found
 
 
@@ -82,17 +68,23 @@ def _is_json() -> Column:
     inside an object, too, where that bracket is an error.
     """
     line = F.col("line")
-    alone = "try_parse_json(concat('[', line, ']'))"
-    one_value = F.expr(f"{alone} IS NOT NULL AND try_variant_get({alone}, '$[1]') IS NULL")
+    one_value = F.expr("__all IS NOT NULL AND try_variant_get(__all, '$[1]', 'variant') IS NULL")
     closed = F.try_parse_json(F.concat(F.lit('{"value":'), line, F.lit("}"))).isNotNull()
-    return one_value & (~line.rlike(r"\}\s*\]") | closed)
+    return one_value & F.when(line.rlike(r"\}\s*\]"), closed).otherwise(True)
 
 
 def _first_truthy(*fields: str) -> Column:
-    """The first field that is neither missing, empty nor zero; the last one as it is."""
+    """The text of the first field that is neither missing, empty, false nor the number zero; else that of the last.
+
+    Zero written as a text is a text like any other: the kind of the value decides.
+    """
+    def present(field: str) -> str:
+        nothing = f"coalesce(try_cast({field} AS DOUBLE) = 0, {field} IN ('false', '[]', '{{}}'))"
+        is_text = f"schema_of_variant({_inside(_NUMBERS[field], 'variant')}) = 'STRING'"
+        return f"CASE WHEN {field} <> '' AND (NOT {nothing} OR {is_text}) THEN {field} END"
+
     *leading, last = fields
-    present = [f"CASE WHEN {field} NOT IN {_FALSY_TEXT} THEN {field} END" for field in leading]
-    return F.expr(f"coalesce({', '.join([*present, last])})")
+    return F.expr(f"coalesce({', '.join([*map(present, leading), last])})")
 
 
 def _first_text(*fields: str) -> Column:
@@ -165,7 +157,7 @@ def _fields() -> dict[str, Column]:
 def shortened(requests: DataFrame) -> DataFrame:
     """Requests with their texts cut to the lengths that tables for display use.
 
-    Rules and reports read whole texts; nothing in the library calls this.
+    Rules and reports read whole texts.
     """
     cut = {n: F.substring(n, 1, length) for n, length in fixed.FIELD_LENGTHS.items() if n in requests.columns}
     return requests.withColumns(cut)
@@ -209,12 +201,13 @@ def parse_lines(
     ``lines`` has ``value`` and ``log_source``; ``logger_hosts`` (logger_id, hosts) and
     ``source_labels`` (log_source, label) name the host of requests that do not.
     """
-    # Each line is parsed once and judged once: generated columns are not rewritten into the
-    # filters that use them.
+    # Each line is parsed once, into a VARIANT that the verdict and all fields are read from: generated columns are not
+    # rewritten into the expressions that use them.
     line = strip(F.col("value"))
-    entries = generated(lines.select("value", "log_source", line.alias("line")), **{_ENTRY: F.from_json("line", _ENTRY_SCHEMA, _READING)})
-    written = entries.select(
-        "value", "log_source", "line", _is_json().alias("is_json"), *m.named(_written_fields())
+    stripped = lines.select("value", "log_source", line.alias("line"))
+    read = generated(stripped, __all=F.try_parse_json(F.concat(F.lit("["), "line", F.lit("]"))))
+    written = read.select(
+        "value", "log_source", "line", "__all", _is_json().alias("is_json"), *m.named(_written_fields())
     )
     chosen = written.select("value", "log_source", "line", "is_json", *m.named(_chosen_fields()))
     outcome, error = _outcome()

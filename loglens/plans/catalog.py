@@ -142,6 +142,12 @@ def _parsed_columns(*columns: str) -> Query:
     return lambda spark, sf: _parse_lines(spark, sf).select("ts", *columns)
 
 
+def _truncated(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ("method", "uri", "path", "query", "http_proto", "logger_id", "logger_name")
+    cut = parse.shortened(_parse_lines(spark, sf))
+    return cut.select("ts", *columns, *(F.length(c).alias(f"{c}_length") for c in columns))
+
+
 def _clean_host(spark: SparkSession, sf: str) -> DataFrame:
     urls = fx.table(spark, sf, "pages").select("page_id", text.authority(F.col("url")).alias("host"))
     n = F.col("page_id") % 4
@@ -245,7 +251,10 @@ def _requests_page(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _recent(spark: SparkSession, sf: str) -> DataFrame:
-    return paging.recent_requests(fx.requests(spark, sf), limit=100).select("id", "ts", "host", "uri")
+    """The newest of the requests as they are stored by day."""
+    path = fx.scratch(spark, "requests")
+    sinks.sink_requests(fx.requests(spark, sf), path)
+    return paging.recent_requests(spark.read.parquet(path), limit=100).select("id", "ts", "host", "uri")
 
 
 # -- security, alerts ----------------------------------------------------------------------------
@@ -368,16 +377,24 @@ def _stream_security(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    stored, errors = fx.scratch(spark, "requests"), fx.scratch(spark, "errors")
-    dimensions = pipeline.Dimensions(fx.logger_hosts(spark), None, fx.geo_ranges(spark, sf))
+    """All that the pipeline stores: requests, events of the rules about one request, and parse errors."""
+    stored, errors, events = (fx.scratch(spark, name) for name in ("requests", "errors", "events"))
+    dimensions = pipeline.Dimensions(fx.logger_hosts(spark), fx.source_labels(spark), fx.geo_ranges(spark, sf))
     tail = lines.tail_log_stream(spark, fx.stored_lines(spark, sf)).withColumn("log_source", _source_of("log_source"))
-    query = pipeline.stream_pipeline(tail, stored, errors, fx.scratch(spark, "checkpoint"), dimensions)
+    query = pipeline.stream_pipeline(tail, stored, errors, fx.scratch(spark, "checkpoint"), dimensions, events_path=events)
     query.trigger(availableNow=True).start().awaitTermination()
+    at = F.col("ts").cast("timestamp_ntz").alias("ts")
     requests = spark.read.parquet(stored).select(
-        F.col("ts").cast("timestamp_ntz").alias("ts"), "log_source", "host", "remote_ip", "path", "status",
+        F.lit("requests").alias("stored"), at, "log_source", "host", "remote_ip", "path", "status",
         "user_agent", "ua_browser", "ua_device", "is_bot", "threat_score", "country_code", "city",
+        *(F.lit(None).cast("string").alias(c) for c in ("what", "severity", "details")),
+    )
+    raised = spark.read.parquet(events).select(
+        F.lit("events").alias("stored"), at, "host", "remote_ip", F.col("uri").alias("path"), F.col("event_type").alias("what"),
+        "severity", "details",
     )
-    return requests
+    failed = spark.read.parquet(errors).select(F.lit("errors").alias("stored"), "log_source", F.col("error_msg").alias("what"))
+    return requests.unionByName(raised, allowMissingColumns=True).unionByName(failed, allowMissingColumns=True)
 
 
 def _from(report: Query, derive: Callable[..., DataFrame], **options) -> Query:
@@ -407,7 +424,7 @@ QUERIES: dict[str, Query] = {
     "p_numeric": _parsed_columns("status", "response_bytes", "request_bytes", "duration_ms"),
     "p_headers": _parsed_columns("user_agent", "referer", "referer_domain"),
     "tls_decode": _tls_decode,
-    "p_truncate": _parsed_columns("method", "uri", "path", "query", "http_proto", "logger_id", "logger_name"),
+    "p_truncate": _truncated,
     # enrichment
     "enrich_geo": lambda spark, sf: fx.requests(spark, sf, located=True).select(
         "id", "remote_ip", "country_code", "country_name", "city", "latitude", "longitude"),

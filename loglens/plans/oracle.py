@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loglens.functions import fixed_values as fixed
 from loglens.plans.oracle_base import over_requests
 
 MONTH = "ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31'"
@@ -87,20 +88,13 @@ FROM requests WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31'
 
 # -- security ---------------------------------------------------------------------------------
 
-_SQLI = (
-    r"(union\s+select|select\s+.*\s+from|insert\s+into|drop\s+table|''\s*or\s+''1''\s*=\s*''1|--\s*$|;\s*--|"
-    r"\bexec\s*\(|xp_cmdshell|0x[0-9a-f]{4,}|char\(\d+\)\s*\+)"
-)
-_XSS = (
-    r"(<script[^>]*>|javascript:|on\w+\s*=|<img[^>]+src\s*=\s*[''\x22]?javascript|eval\s*\(|document\.cookie|"
-    r"alert\s*\(|<iframe[^>]*>)"
-)
-_TRAVERSAL = r"(\.\./|\.\.\\|%2e%2e|%252e%252e|%00)"
-_SCANNERS = (
-    "nikto|nessus|sqlmap|masscan|zgrab|nuclei|nmap|dirbuster|gobuster|wfuzz|hydra|medusa|metasploit|burpsuite|"
-    "acunetix|netsparker|appscan|w3af|skipfish|whatweb|httprint|fimap|commix|dalfox|jaeles|feroxbuster|ffuf|dirb"
-)
-_BAD_BOTS = "ahrefsbot|semrushbot|dotbot|majestic|mj12bot|petalbot|yandexbot|baiduspider|ia_archiver"
+def _quoted(pattern: str) -> str:
+    """A fixed pattern as it stands inside an SQL text."""
+    return pattern.replace("'", "''")
+
+
+_SQLI, _XSS, _TRAVERSAL = map(_quoted, (fixed.SQL_INJECTION_PATTERN, fixed.XSS_PATTERN, fixed.TRAVERSAL_PATTERN))
+_SCANNERS, _BAD_BOTS = "|".join(fixed.SCANNER_WORDS), "|".join(fixed.BAD_BOT_WORDS)
 _UA = "lower(COALESCE(user_agent, ''))"
 _URI = "lower(COALESCE(uri, ''))"
 
@@ -244,6 +238,15 @@ _LINES = """SELECT concat('source', id % 3) AS log_source, COUNT(*) AS lines,
   MAX(CASE WHEN id % 5 > 0 THEN ts END) AS newest FROM requests WHERE id % 83 <> 0 GROUP BY ALL"""
 
 
+_OF_ONE_REQUEST = {
+    "sec_sqli": None, "sec_xss": None, "sec_traversal": None, "sec_scanner": None, "sec_bad_bot": None, "sec_slow": None,
+    "sec_method_abuse": _event("http_method_abuse", "medium", "'method', method", "parsed", "method IN ('TRACE', 'CONNECT')"),
+}
+_PIPELINE_EVENTS = " UNION ALL ".join(
+    rule or _RULES[name].replace(" FROM requests WHERE ", " FROM parsed WHERE ") for name, rule in _OF_ONE_REQUEST.items()
+)
+
+
 def _parsed(columns: str) -> str:
     return f"{_PARSED} SELECT {columns} FROM parsed"
 
@@ -279,7 +282,9 @@ SELECT table_name, COUNT(*) FILTER (ts < TIMESTAMP '2024-01-10 12:00:00') AS pur
     "resolve_host": _parsed("ts, host, logger_id"),
     "p_numeric": _parsed("ts, status, response_bytes, request_bytes, duration_ms"),
     "p_headers": _parsed("ts, user_agent, referer, referer_domain"),
-    "p_truncate": _parsed("ts, method, uri, path, query, http_proto, logger_id, logger_name"),
+    "p_truncate": _parsed("ts, " + ", ".join(
+        f"substr({c}, 1, {fixed.FIELD_LENGTHS[c]}) AS {c}, length(substr({c}, 1, {fixed.FIELD_LENGTHS[c]})) AS {c}_length"
+        for c in ("method", "uri", "path", "query", "http_proto", "logger_id", "logger_name"))),
     # enrichment
     "enrich_geo": "SELECT id, remote_ip, country_code, country_name, city, latitude, longitude FROM requests",
     "enrich_ua": "SELECT user_agent, ua_browser, ua_os, ua_device, COUNT(*) AS req_count FROM requests GROUP BY ALL",
@@ -423,9 +428,13 @@ WHERE ts + INTERVAL 1 HOUR <= (SELECT MAX(ts) - INTERVAL 5 MINUTE FROM requests)
     "stream_live_metrics": f"""SELECT * FROM ({_live('TRUE')})
 WHERE window_end <= (SELECT MAX(ts) - INTERVAL 5 MINUTE FROM base)""",
     "stream_security": _EVENTS + "SELECT * FROM events_found",
-    "stream_pipeline": f"""{_PARSED} SELECT p.ts, p.log_source, CASE WHEN p.host = 'fallback.example.com' THEN 'unknown' ELSE p.host END AS host,
-  p.remote_ip, p.path, p.status, p.user_agent, r.ua_browser, r.ua_device, r.is_bot, r.threat_score, r.country_code, r.city
-FROM parsed p JOIN requests r USING (ts)""",
+    "stream_pipeline": f"""{_PARSED}, found AS ({_PIPELINE_EVENTS})
+SELECT 'requests' AS stored, p.ts, p.host, p.remote_ip, p.log_source, p.path, p.status, p.user_agent, r.ua_browser, r.ua_device,
+  r.is_bot, r.threat_score, r.country_code, r.city, NULL AS what, NULL AS severity, NULL AS details
+FROM parsed p JOIN requests r USING (ts)
+UNION ALL SELECT 'events', ts, host, remote_ip, NULL, uri, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, event_type, severity, details FROM found
+UNION ALL SELECT 'errors', NULL, NULL, NULL, concat('source', id % 3), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  'line is not valid JSON', NULL, NULL FROM requests WHERE id % 97 = 0 AND id % 83 <> 0""",
     # live and derived
     "live_metrics": _live("TRUE"),
     "live_metrics_at": _live(

@@ -58,7 +58,9 @@ def write_batch(table: DataFrame, path: str, batch_id: int) -> None:
     for found in files.globStatus(at(f"{path}/date=*/batch_id={batch_id}")) or []:
         files.delete(found.getPath(), True)
     (
+        # A small batch is one file for each day; a large one as many as its size asks for.
         _by_day(table)
+        .hint("rebalance", "date")
         .withColumn("batch_id", F.lit(batch_id))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -103,6 +103,19 @@ def test_fallback_fields(spark):
     assert rows[9].http_proto is None
 
 
+def test_the_kind_of_a_zero_decides(spark):
+    """A number zero, false and what is empty count as missing; the same written as a text does not."""
+    missing = [0, 0.0, -0.0, False, "", [], {}, 0.00]
+    rows = _parse(spark, *(_line(size=v, bytes_written=5) for v in missing))
+    assert [r.response_bytes for r in rows] == [5] * len(missing)
+    rows = _parse(spark, *(_line(size=v, bytes_written=5) for v in ("0", "0.0", "00")))
+    assert [r.response_bytes for r in rows] == [0, 0, 0]
+    assert [r.outcome for r in _parse(spark, _line(size="false", bytes_written=5), _line(size=True))] == ["error", "error"]
+    assert _parse(spark, _line(ts=0, time=1700000000))[0].ts == datetime(2023, 11, 14, 22, 13, 20)
+    assert _parse(spark, _line(ts="0", time=1700000000))[0].ts == datetime(1970, 1, 1)
+    assert _parse(spark, _line(status="0", response={"status": 302}))[0].status == 0
+
+
 def test_host_from_logger_and_label(spark):
     nameless = _line(request__host=None, request__tls=None)
     other_logger = _line(request__host=None, request__tls=None, logger="plain")
