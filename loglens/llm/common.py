@@ -64,6 +64,12 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def refuse_name(df: DataFrame, name: str) -> None:
+    """Raises where ``df`` has a column of that name already, whatever the case of its letters."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"{name} is a column already; choose another name")
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """Every row with all its columns and a number of its own, stored; and the number's column."""
     row = free_name(docs, "row_number")

@@ -89,8 +89,10 @@ def plan(
     """One row per source: tokens, exponent, weight, quota, whole passes, and the last key of the pass that stops.
 
     ``target_share`` is the target entropy as a share of its maximum, the logarithm of the number of sources; the
-    budget is ``epochs`` times all tokens. A null source is a source of its own; sources without tokens get nothing. Stored.
+    budget is ``epochs`` times all tokens, and ``epochs`` above ``max_repeats`` is an error. A null source is a source of its own; sources without tokens get nothing. Stored.
     """
+    if epochs > max_repeats:
+        raise ValueError("a budget of more epochs than repetitions cannot be met: every source would have to exceed the limit")
     rows = docs.select(
         F.col(source_column).alias("source"), F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text")
     ).withColumn("tokens", white_space_tokens())
@@ -141,9 +143,12 @@ def mix(
     ``position``, from 0 to 1, orders the mixture: blocks of a source follow each other, and every source is spread
     evenly over the whole. In the pass that stops, rows stay whose predecessors in the permutation don't yet fill the quota;
     rows with the same id and text share a place and stay together. Rows of sources that are not in the plan, and an
-    empty table, give nothing. Names given as None are left out.
+    empty table, give nothing. Names given as None are left out; names that ``docs`` has already are an error.
     """
-    number, position = (free_name(docs, w) for w in (block or "block", order or "position"))
+    taken = {c.lower() for c in docs.columns}
+    if any(w and w.lower() in taken for w in (block, order)):
+        raise ValueError(f"{block} or {order} is a column of the documents; choose other names")
+    number, position = block or free_name(docs, "block"), order or free_name(docs, "position")
     names = {c: free_name(docs, f"plan_{c}") for c in ("source", "tokens", "quota", "passes", "last_key")}
     wanted = plan.select(*(F.col(c).alias(n) for c, n in names.items()))
     last = names["last_key"]

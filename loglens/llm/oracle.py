@@ -74,7 +74,8 @@ SELECT doc_id, source, block, place, tokens::BIGINT AS tokens FROM c WHERE block
 
 _OP6 = r"""
 WITH said AS (
-  SELECT conv_id, turn, translate(coalesce(role, 'unknown'), chr(10) || '<>', '   ') AS speaker,
+  SELECT conv_id, turn, CASE WHEN role IS NULL THEN 'unknown' WHEN role = 'unknown' THEN '%75nknown'
+           ELSE replace(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C'), '>', '%3E') END AS speaker,
          replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations
 ),

@@ -10,7 +10,7 @@ Everything is DataFrame functions; there is no Python on the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.llm.common import text_or_empty
@@ -21,6 +21,13 @@ SYSTEM, UNNAMED = "system", "unknown"
 STRETCH = 1024
 
 
+def _written(name: Column) -> Column:
+    """A speaker's name as it stands in a rendered message; percent codes can be read back."""
+    for mark in "%\n<>":
+        name = F.replace(name, F.lit(mark), F.lit(f"%{ord(mark):02X}"))
+    return F.when(name == UNNAMED, f"%{ord(UNNAMED[0]):02X}{UNNAMED[1:]}").otherwise(F.coalesce(name, F.lit(UNNAMED)))
+
+
 def perspectives(
     messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text"
 ) -> DataFrame:
@@ -32,12 +39,13 @@ def perspectives(
     and text.
 
     ``system`` is no participant; a conversation without others gives no rows. A null speaker is a participant named
-    "unknown". A null text is empty; a null conversation is a conversation like others; a repeated row is a message of its own.
-    Marks that occur in a text, or line breaks in a name, are broken up, so that no message can forge another. Other columns play no part.
+    "unknown"; one who really has that name is written "%75nknown". A null text is empty; a null conversation is a conversation like others; a repeated row is a message of its own.
+    Marks that occur in a text are broken up, and line breaks, "<", ">" and "%" in a name are written as percent codes, which
+    keeps different names apart, so that no message can forge another. Other columns play no part.
     """
     said = messages.select(
         F.col(conversation).alias("conv_id"), F.col(turn).cast("long").alias("turn"),
-        F.translate(F.coalesce(F.col(speaker).cast("string"), F.lit(UNNAMED)), "\n<>", "   ").alias("speaker"),
+        _written(F.col(speaker).cast("string")).alias("speaker"),
         F.replace(text_or_empty(text), F.lit("<|"), F.lit("< |")).alias("text"),
     )
     views = (

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import bounded_batches, folds, free_name, returning_memory, text_or_empty, with_columns
+from loglens.llm.common import bounded_batches, folds, free_name, refuse_name, returning_memory, text_or_empty, with_columns
 
 BUCKETS, RANK = 1 << 14, 8
 #: Structure statistics and metadata, each cut into steps of an input of its own.
@@ -219,8 +219,9 @@ def score(
 ) -> DataFrame:
     """``docs`` with all its columns and the score, 0 to 1, of every whole text.
 
-    Null and empty texts get the score of an empty text. Each row is scored by itself.
+    Null and empty texts get the score of an empty text. Each row is scored by itself. A column named ``into`` is an error.
     """
+    refuse_name(docs, into)
     bounded_batches(docs.sparkSession)
     text, stated = free_name(docs, "text_to_score"), free_name(docs, "length_to_score")
     length = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
@@ -244,7 +245,15 @@ def training_rows(id_column: str = "doc_id") -> Column:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
-    """``docs``, its columns as they are, without documents that score below ``least``."""
+    """``docs``, its columns as they are, without documents that score below ``least``.
+
+    Null and empty texts are judged like others, repeated rows each by itself. An empty table stays empty; documents without
+    a labelled row to learn from are an error, as nothing could be judged.
+    """
+    wanted = training_rows() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()
+    learnt = labels.filter(wanted).select("doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    if not learnt.head(1) and docs.head(1):
+        raise ValueError("no labelled document to learn quality from")
     machine = fit(docs, labels, training_rows())
     name = free_name(docs, "score")
     return score(docs, machine, name).filter(F.col(name) >= least).drop(name)

@@ -1,11 +1,11 @@
 """Exact top-k inner products by the three-phase uniform threshold.
 
 Each vector is cut into ``LISTS`` runs of dimensions; a query has one score list per run, and a candidate's
-score is the sum of its entries. Phase one gathers the best entries of each list from every block of
-candidates, resolved to whole scores: the k-th best of them is a lower bound of the answer. Whoever
-reaches the bound must reach bound / LISTS in at least one list, so phase two hands that cutoff to all
-blocks, which collect only entries that reach it, and phase three resolves the missing parts of
-these exactly and keeps each block's best.
+score is the sum of its entries. Phase one gathers from every block of candidates the best entries of the first list and
+resolves these to whole scores: the k-th best of them is a lower bound of the answer. Phase two hands it to all blocks. Whoever
+reaches the bound must reach bound / LISTS in at least one list, and what the lists not yet looked at can add is at most the
+product of the lengths of both vectors there; so list after list, entries are dropped that can no longer do so. Phase
+three resolves the remaining lists, exactly, for the entries left alone, and keeps each block's best.
 
 Queries and candidates meet as blocks of bounded size; a block of queries is a few hundred kilobytes.
 Numbers are whole, so scores are exact: blocks whose sums stay below 2**53 are multiplied as doubles,
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from loglens.llm.common import bounded_batches, frozen
 
-LISTS = 2
+LISTS = 4
+_FEW = 0.1  # of all entries: so few are resolved one by one
 BLOCK, QUERY_BLOCK = 4096, 512
 SCALE = 256.0
 
@@ -56,6 +57,8 @@ def _pack(size: int):
                 x = vector.values.to_numpy(zero_copy_only=False).astype("f8") if len(vector.values) else np.zeros(0)
                 if not np.isfinite(x).all():
                     continue
+                if abs(x).max(initial=0) >= 2.0**62 / SCALE:
+                    raise OverflowError("a component does not fit 64 bits")
                 held.setdefault(len(x), []).append((vec_id.as_py(), row.as_py(), np.floor(SCALE * x).astype("<i8")))
                 if len(held[len(x)]) >= size:
                     yield block(len(x))
@@ -105,8 +108,82 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((at, -scores[at]))][:k]
 
 
-def _meet(k: int, phase: int):
+def _resolved(queries: np.ndarray, data: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of single pairs of rows."""
+    out = np.empty(len(q), np.int64)
+    for i in range(0, len(q), 1 << 16):
+        out[i : i + (1 << 16)] = (queries[q[i : i + (1 << 16)]] * data[c[i : i + (1 << 16)]]).sum(axis=1)
+    return out
+
+
+def _fits(queries: np.ndarray, data: np.ndarray) -> None:
+    """Raises where a sum of a score's lists leaves 64 bits; lengths tell for most blocks that none does."""
+    a, b = queries.astype("f8"), data.astype("f8")
+    if np.sqrt((a * a).sum(axis=1)).max(initial=0) * np.sqrt((b * b).sum(axis=1)).max(initial=0) < 2.0**62:
+        return
+    score = np.zeros((len(a), len(b)))
+    for s in _lists(a.shape[1]):
+        part = a[:, s] @ b[:, s].T
+        score += part
+        if max(abs(part).max(initial=0), abs(score).max(initial=0)) > 2.0**63 * (1 - 1e-9):
+            raise OverflowError("a score needs more than 64 bits")
+
+
+def _gathered(queries: np.ndarray, data: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Phase one: (query, its best candidates by the first list, their whole scores)."""
+    first, *rest = _lists(queries.shape[1])
+    part = np.where(own, np.iinfo("i8").min, _products(queries[:, first], data[:, first]))
+    for q in range(len(queries)):
+        at = _best(part[q], k)
+        yield q, at, part[q, at] + sum(_resolved(queries[:, s], data[:, s], np.full(len(at), q), at) for s in rest)
+
+
+def _sufficient(
+    queries: np.ndarray, data: np.ndarray, own: np.ndarray, bounds: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phases two and three: (query, candidate, whole score) of all pairs that reach the query's bound."""
+    lists = _lists(queries.shape[1])
+    lengths = [
+        (np.sqrt((queries[:, s].astype("f8") ** 2).sum(axis=1)), np.sqrt((data[:, s].astype("f8") ** 2).sum(axis=1)))
+        for s in lists
+    ]
     none = np.iinfo("i8").min
+    # In doubles, with room for rounding; entries without a bound always suffice.
+    bound = np.where(bounds == none, -np.inf, bounds.astype("f8"))
+    cutoff = bound / LISTS
+    alive = ~own
+    score = np.zeros(own.shape, np.int64)
+    reached = np.zeros(own.shape, bool)
+    q, c = None, None
+    for n, s in enumerate(lists):
+        left = lists[n + 1 :]
+        if q is None:
+            part = _products(queries[:, s], data[:, s])
+            score += part
+            slack = 1 + 1e-9 * abs(score).max(initial=0)
+            adds = [np.multiply.outer(a, b) for a, b in lengths[n + 1 :]]
+            reached |= part >= cutoff[:, None] - slack
+            may = reached.copy()
+            for a in adds:
+                may |= a * (1 + 1e-9) + slack >= cutoff[:, None]
+            alive &= may & (score + sum(adds) * (1 + 1e-9) + slack >= bound[:, None])
+            if left and alive.mean() < _FEW:
+                q, c = np.nonzero(alive)
+                kept = score[q, c]
+        else:
+            kept = kept + _resolved(queries[:, s], data[:, s], q, c)
+            slack = 1 + 1e-9 * abs(kept).max(initial=0)
+            adds = sum(a[q] * b[c] for a, b in lengths[n + 1 :])
+            enough = kept + adds * (1 + 1e-9) + slack >= bound[q]
+            q, c, kept = q[enough], c[enough], kept[enough]
+    if q is None:
+        q, c = np.nonzero(alive)
+        kept = score[q, c]
+    enough = kept >= bounds[q]
+    return q[enough], c[enough], kept[enough]
+
+
+def _meet(k: int, phase: int):
     schema = pa.schema([("q_block", pa.int64()), ("q", pa.int32()), ("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,24 +191,20 @@ def _meet(k: int, phase: int):
             for x in batch.to_pylist():
                 dim = x["dim"]
                 data, queries = _matrix(x["data"], x["n"], dim), _matrix(x["q_data"], x["q_n"], dim)
+                _fits(queries, data)
                 ids, rows = np.frombuffer(x["ids"], "<i8"), np.frombuffer(x["rows"], "<i8")
                 q_ids, q_rows = np.frombuffer(x["q_ids"], "<i8"), np.frombuffer(x["q_rows"], "<i8")
-                parts = [_products(queries[:, s], data[:, s]) for s in _lists(dim)]
-                whole = sum(parts)
                 own = q_rows[:, None] == rows[None, :]
-                out = []
-                bounds = np.frombuffer(x["bounds"], "<i8") if phase == 2 else None
-                for q in range(len(q_ids)):
-                    if phase == 1:
-                        at = np.unique(np.concatenate([_best(np.where(own[q], none, p[q]), k) for p in parts]))
-                    else:
-                        enough = ~own[q]
-                        if bounds[q] > none:
-                            # part * LISTS >= bound, without leaving 64 bits
-                            enough &= np.logical_or.reduce([p[q] >= -(-int(bounds[q]) // LISTS) for p in parts])
-                        sure = np.flatnonzero(enough)
-                        at = sure[_best(whole[q, sure], k)]
-                    out += [(q, q_ids[q], rows[i], ids[i], whole[q, i]) for i in at]
+                if phase == 1:
+                    found = list(_gathered(queries, data, own, k))
+                else:
+                    q, c, scores = _sufficient(queries, data, own, np.frombuffer(x["bounds"], "<i8"))
+                    edges = np.searchsorted(q, np.arange(len(queries) + 1))
+                    found = []
+                    for n, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                        at = _best(scores[a:b], k)
+                        found.append((n, c[a:b][at], scores[a:b][at]))
+                out = [(n, q_ids[n], rows[i], ids[i], v) for n, at, values in found for i, v in zip(at, values)]
                 cols = list(zip(*out)) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x["q_block"]] * len(out), pa.int64())]
@@ -150,8 +223,8 @@ def top_k(
     Components become floor(256 * x). Candidates are all other rows with a vector of the same length, the
     query's own row excepted; with fewer than k of them all are returned. Equal scores go by the
     smaller id, then by row. Vectors that are null or hold null or non-finite components, and rows
-    without an id, take no part; repeated rows are rows of their own. Returns query_id, rank, vec_id, score. Scores
-    must fit 64 bits. An empty table gives an empty one; other columns play no part.
+    without an id, take no part; repeated rows are rows of their own. Returns query_id, rank, vec_id, score. Where
+    components or scores might not fit 64 bits, the job fails. An empty table gives an empty one; other columns play no part.
     """
     bounded_batches(table.sparkSession)
     rows = vectors(table, id_column, vector_column)

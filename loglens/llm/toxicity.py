@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import bounded_batches, folds, free_name, frozen, returning_memory, text_or_empty, with_columns
+from loglens.llm.common import bounded_batches, folds, free_name, frozen, refuse_name, returning_memory, text_or_empty, with_columns
 from loglens.llm.quality import sample
 
 STEM = 4
@@ -310,8 +310,9 @@ def fit(
 def score(docs: DataFrame, models: Models, into: str = "score", text_column: str = "text") -> DataFrame:
     """``docs`` with all its columns and the score, 0 to 1, of every whole text.
 
-    Null and empty texts get the score of no evidence. Each row is scored by itself.
+    Null and empty texts get the score of no evidence. Each row is scored by itself. A column named ``into`` is an error.
     """
+    refuse_name(docs, into)
     bounded_batches(docs.sparkSession)
     text = free_name(docs, "text_to_score")
     rows = docs.withColumn(text, text_or_empty(text_column))

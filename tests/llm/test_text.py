@@ -84,6 +84,49 @@ def test_perspectives(spark):
     assert perspectives.perspectives(messages.limit(0)).count() == 0
 
 
+def test_names_are_kept_apart(spark):
+    names = ["a<", "a ", "a>", "a\n", "a%3C", "a%", "a", None, "unknown", "%75nknown", "System"]
+    messages = spark.createDataFrame([(1, i, n, f"text {i}") for i, n in enumerate(names)], "conv_id long, turn long, role string, text string")
+    views = perspectives.perspectives(messages).collect()
+    assert len({r["perspective"] for r in views}) == len(names) and len(views) == len(names) ** 2
+    for view in {r["perspective"] for r in views}:
+        mine = [r for r in views if r["perspective"] == view and r["trained"]]
+        assert len(mine) == 1 and not set("\n<>") & set(view)
+
+
+def test_what_mixing_refuses(docs):
+    frame = docs([(1, "a b", "s"), (2, "c", "t")])
+    with pytest.raises(ValueError, match="epochs"):
+        mixing.plan(frame, epochs=9, max_repeats=4)
+    with pytest.raises(ValueError, match="choose other names"):
+        mixing.mix(frame, mixing.plan(frame), block="KEY")
+
+
+def test_pruned_search_equals_products():
+    """Few entries reach the bound here, so that later lists are resolved one by one."""
+    rng = np.random.default_rng(11)
+    for size, low in ((1, -300), (3000, -3_000_000)):
+        data = rng.integers(low, -low, (700, 16)) // (1 + rng.integers(0, 40, (700, 1)))
+        queries = rng.integers(low, -low, (9, 16))
+        own = rng.random((9, 700)) < 0.01
+        whole = np.where(own, np.iinfo("i8").min, queries @ data.T)
+        bounds = np.sort(whole, axis=1)[:, -5].copy()
+        bounds[0] = np.iinfo("i8").min
+        q, c, scores = topk._sufficient(queries, data, own, bounds)
+        want = [(a, b) for a in range(9) for b in range(700) if not own[a, b] and whole[a, b] >= bounds[a]]
+        assert list(zip(q.tolist(), c.tolist())) == want
+        assert (scores == whole[q, c]).all()
+        for n, at, found in topk._gathered(queries, data, own, 5):
+            assert len(at) == 5 and (found == whole[n, at]).all() and found.min() <= np.sort(whole[n])[-5]
+
+
+def test_search_refuses_what_does_not_fit(spark):
+    for rows in ([(0, [1e18]), (1, [1.0])], [(0, [1e13, 1e13]), (1, [1e13, 1e13])]):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(frame).collect()
+
+
 def test_temperature_and_quotas(spark, docs, awkward, nothing):
     rows = [(i, "w " * (1 + i % 7) + str(i), "big" if i % 3 else f"s{i % 9}") for i in range(600)] + [(None, "x y", None)] * 3
     frame = docs(rows)
