@@ -53,8 +53,10 @@ def _files(spark: SparkSession, path: str):
 
 def write_batch(table: DataFrame, path: str, batch_id: int) -> None:
     """Store one micro-batch of a stream; writing it again replaces it, also where its rows
-    now fall on other days (rows stamped with the time of writing do)."""
+    now fall on other days (rows stamped with the time of writing do). A batch that a compaction has taken in stays as it is."""
     files, at = _files(table.sparkSession, path)
+    if batch_id <= compacted_upto(table.sparkSession, path):
+        return
     for found in files.globStatus(at(f"{path}/date=*/batch_id={batch_id}")) or []:
         files.delete(found.getPath(), True)
     (
@@ -69,6 +71,50 @@ def write_batch(table: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
+_COMPACTED = "_compacted"
+COMPACT_BYTES = 256 << 20
+
+
+def compacted_upto(spark: SparkSession, path: str) -> int:
+    """The last micro-batch that a compaction has taken in; -1 before the first one."""
+    files, at = _files(spark, path)
+    found = files.globStatus(at(f"{path}/{_COMPACTED}/upto=*")) or []
+    return max((int(f.getPath().getName().split("=")[1]) for f in found), default=-1)
+
+
+def compact(spark: SparkSession, path: str, upto: int, *, file_bytes: int = COMPACT_BYTES) -> None:
+    """Put each day's micro-batches up to ``upto`` together into files of about ``file_bytes``.
+
+    All of these batches must be committed: a mark is set first, and ``write_batch`` leaves batches at or below it alone, so
+    a replay stores nothing twice. A day's batches become one folder, ``batch_id`` -1 - ``upto``, written aside and
+    renamed into place; then the folders it stands for go. In between a reader sees rows twice; a compaction that was broken off
+    is finished by the next one, which removes what a later folder already holds. Days are compacted one after the other.
+    """
+    files, at = _files(spark, path)
+    if not files.exists(at(path)):
+        return
+    upto = max(upto, compacted_upto(spark, path))
+    files.mkdirs(at(f"{path}/{_COMPACTED}/upto={upto}"))
+    for day in sorted(d.getPath().getName() for d in files.globStatus(at(f"{path}/date=*")) or []):
+        folders = {
+            int(f.getPath().getName().split("=")[1]): f.getPath() for f in files.globStatus(at(f"{path}/{day}/batch_id=*")) or []
+        }
+        newest = max((-1 - n for n in folders if n < 0), default=-1)
+        for n in [n for n in folders if (-1 - n if n < 0 else n) < newest or 0 <= n <= newest]:
+            files.delete(folders.pop(n), True)
+        taken = [n for n in folders if n <= upto]
+        if len(taken) < 2:
+            continue
+        size = sum(files.getContentSummary(folders[n]).getLength() for n in taken)
+        aside, name = f"{path}/{_COMPACTED}/{day}", f"batch_id={-1 - upto}"
+        rows = spark.read.parquet(*(folders[n].toString() for n in taken))
+        rows.repartitionByRange(max(1, -(-size // file_bytes)), "ts").write.mode("overwrite").parquet(aside)
+        if not files.rename(at(aside), at(f"{path}/{day}/{name}")):
+            raise OSError(f"could not put {day} in place")
+        for n in taken:
+            files.delete(folders[n], True)
+
+
 def retention_cutoff(now: datetime, days: int) -> datetime:
     if days < 1:
         raise ValueError("a retention is at least one day")

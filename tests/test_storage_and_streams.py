@@ -100,6 +100,42 @@ def test_writing_a_batch_again_replaces_it(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
 
 
+def test_compaction_keeps_every_row_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+
+    def batch(n):
+        return spark.createDataFrame([(n, START + timedelta(days=d, minutes=n)) for d in range(2)], "id int, ts timestamp").coalesce(1)
+
+    def ids():
+        return sorted(r.id for r in spark.read.parquet(path).collect())
+
+    def folders():
+        return sorted(str(f.relative_to(path)) for f in (tmp_path / "t").glob("date=*/batch_id=*"))
+
+    for n in range(12):
+        sinks.write_batch(batch(n), path, n)
+    sinks.compact(spark, path, 9)
+    want = sorted([*range(12)] * 2)
+    assert ids() == want and len(folders()) == 6
+    assert len(list((tmp_path / "t").glob("date=*/batch_id=-10/*.parquet"))) == 2
+    for n in (3, 9, 10):  # replays, taken in or not
+        sinks.write_batch(batch(n), path, n)
+    assert ids() == want
+    # A compaction that was broken off before it removed what it had taken in.
+    left = tmp_path / "t" / "date=2024-01-01" / "batch_id=4"
+    left.mkdir()
+    batch(4).limit(1).write.mode("overwrite").parquet(str(left))
+    sinks.compact(spark, path, 11)
+    assert ids() == want and len(folders()) == 2
+    sinks.compact(spark, path, 11)
+    sinks.compact(spark, path, 5)
+    sinks.write_batch(batch(12), path, 12)
+    assert ids() == sorted([*range(13)] * 2)
+    sinks.retention_purge(spark, path, START + timedelta(days=2), 1)
+    assert ids() == list(range(13))
+    sinks.compact(spark, str(tmp_path / "none"), 3)
+
+
 def test_retention_removes_days_and_rewrites_the_boundary(spark, tmp_path):
     rows = [(i, START + timedelta(hours=6 * i)) for i in range(40)]
     table = spark.createDataFrame(rows, "id int, ts timestamp")
