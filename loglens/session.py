@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +21,8 @@ _SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # A JSON object may repeat a key; the last one wins, as in common parsers.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # State of streaming queries lives outside the JVM heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -57,15 +57,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """Start streaming queries with their state in RocksDB, outside the JVM heap."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)

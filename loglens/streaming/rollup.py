@@ -7,13 +7,17 @@ up when the watermark closes the window. No state holds a growing list of visito
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from loglens.functions import measures as m
 from loglens.functions.text import none_if_empty
 from loglens.functions.times import micros
 from loglens.operators.live import WINDOW_SECONDS, rates
+from loglens.operators.rollups import rollup_minutely
 
 WATERMARK = "5 minutes"
 _CLASSES = ("2xx", "3xx", "4xx", "5xx")
@@ -84,6 +88,33 @@ def stream_rollup(requests: DataFrame, width: str = "1 minute", *, watermark: st
     )
 
 
+def keep_rollup(added: DataFrame, requests_path: str, rollup_path: str, checkpoint: str) -> DataStreamWriter:
+    """The query that keeps a rollup by minute and host equal to the stored requests, however late a row comes.
+
+    ``added`` is the stored table ``requests_path`` (by day) read as a stream. Each micro-batch names the hours it adds to; these
+    alone are computed anew from all stored requests and replace their folders, so a replay changes nothing. Readers of
+    an hour that is being replaced may briefly find it missing, as with any overwritten folder.
+    """
+    spark = added.sparkSession
+
+    def correct(batch: DataFrame, batch_id: int) -> None:
+        hours = batch.select(F.date_trunc("hour", "ts").alias("__hour")).filter("__hour IS NOT NULL").distinct()
+        first, last = hours.agg(F.min("__hour"), F.max("__hour")).first()
+        if first is None:
+            return
+        stored = spark.read.parquet(requests_path).withColumn("__hour", F.date_trunc("hour", "ts"))
+        touched = stored.join(hours, "__hour", "left_semi").drop("__hour")
+        rolled = rollup_minutely(touched, first, last + timedelta(hours=1))
+        (
+            rolled.withColumns({"date": F.to_date("ts"), "hour": F.hour("ts")})
+            .hint("rebalance", "date", "hour")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("date", "hour").parquet(rollup_path)
+        )
+
+    return added.writeStream.foreachBatch(correct).option("checkpointLocation", checkpoint)
+
+
 def _upper_median(counted: Column) -> Column:
     """The upper median of sorted (duration, rows) pairs."""
     total = F.aggregate(counted, F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x["rows"])

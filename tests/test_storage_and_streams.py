@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from test_operators import SCHEMA, SETTINGS, _traffic
 
 from loglens.operators import alerts, live, paging, rollups, security
-from loglens.session import state_store
 from loglens.sources import lines, sinks
 from loglens.streaming import pipeline, rollup
 from loglens.streaming import security as stream_rules
@@ -40,8 +39,7 @@ def test_stream_security_equals_batch(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     _batches(spark, folder, rows, 4)
     source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
-    with state_store(spark):
-        _drain(stream_rules.stream_security(source, SETTINGS), out, str(tmp_path / "check"))
+    _drain(stream_rules.stream_security(source, SETTINGS), out, str(tmp_path / "check"))
     columns = ["id", "ts", "event_type", "severity", "remote_ip", "host", "uri", "details"]
     got = spark.read.parquet(out).select(columns).collect()
     want = security.security_events(spark.createDataFrame(rows, SCHEMA), SETTINGS).select(columns).collect()
@@ -67,6 +65,41 @@ def test_stream_rollup_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_late_rows_correct_their_minute(spark, tmp_path):
+    """Rows later than any watermark, replays and untouched hours."""
+    rows = _traffic(seed=5, rows=300)
+    stored, kept, check = (str(tmp_path / n) for n in ("requests", "rollup", "check"))
+    extra = {
+        "response_bytes": F.lit(2).cast("bigint"), "request_bytes": F.lit(None).cast("bigint"),
+        "status_class": F.concat(F.floor(F.col("status") / 100).cast("string"), F.lit("xx")),
+    }
+
+    def add(part):
+        frame = spark.createDataFrame(part, SCHEMA).withColumns(extra)
+        sinks.sink_requests(frame, stored)
+
+    def run():
+        source = spark.readStream.schema(spark.read.parquet(stored).schema).parquet(stored)
+        rollup.keep_rollup(source, stored, kept, check).trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.parquet(kept)
+        want = rollups.rollup_minutely(spark.read.parquet(stored), START, START + timedelta(days=60))
+        assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+        return {str(f.relative_to(tmp_path)): f.stat().st_mtime_ns for f in (tmp_path / "rollup").rglob("*.parquet")}
+
+    add(rows[100:])
+    first = run()
+    add(rows[:3])  # hours older than all that was seen
+    second = run()
+    hours = {f.rsplit("/", 1)[0] for f in second}
+    late = {f"date={r[1].date()}/hour={r[1].hour}" for r in rows[:3]}
+    for hour in hours:
+        same = {f: t for f, t in first.items() if f.startswith(hour + "/")} == {f: t for f, t in second.items() if f.startswith(hour + "/")}
+        assert same == (not any(hour.endswith(h) for h in late))
+    assert run() == second
+    add(rows[:3])  # rows that came twice are rows of the table
+    run()
+
+
 def _log_line(second, **changes):
     entry = {"msg": "handled request", "ts": 1704067200 + second, "request": {"client_ip": "192.0.2.1", "host": "h", "uri": "/"}}
     return json.dumps(entry | changes)
@@ -207,8 +240,7 @@ def test_stream_counts_outlive_session_and_late_batches(spark, tmp_path):
     for part in batches:
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
     source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
-    with state_store(spark):
-        _drain(stream_rules.stream_past(source, settings), out, str(tmp_path / "check"))
+    _drain(stream_rules.stream_past(source, settings), out, str(tmp_path / "check"))
     got = {(r.remote_ip, r.event_type) for r in spark.read.parquet(out).collect()}
     want = security.security_events(spark.createDataFrame(rows, SCHEMA), settings).collect()
     assert got == {(r.remote_ip, r.event_type) for r in want}
