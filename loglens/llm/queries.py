@@ -24,6 +24,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document, learnt from the labels that are not held out.
+
+    Null and empty texts get the score of an empty text; repeated rows are scored each by itself; an empty table gives none.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = quality.fit(docs, labels, quality.training_rows())
     scored = quality.score(docs.select("doc_id", "text", "n_chars"), machine)
@@ -33,11 +37,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays for its text, white space aside; a null text is empty, rows are never dropped."""
     found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every whole document with its verdict; null and empty texts hold none."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "length", "candidate", "score", "is_secret")
 
@@ -53,10 +59,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of every conversation as each participant sees it; null speakers are named "unknown", null texts are empty."""
     return perspectives.perspectives(table(spark, sf_dir, "conversations"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole document and the bytes decoded from them, as digests; a null text counts as empty."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), path)
     return coded.select(
@@ -65,15 +73,21 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays for its group of near copies; empty and null texts are as the operator says."""
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept")
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best others of every fiftieth vector; vectors with null or non-finite components, or null ids, take no part."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document, learnt from the labels that are not held out.
+
+    Null and empty texts get the score of no evidence; repeated rows are scored each by itself; an empty table gives none.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     models = toxicity.fit(docs, labels, toxicity.training_rows())
     scored = toxicity.score(docs.select("doc_id", "text"), models)
