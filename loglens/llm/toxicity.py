@@ -23,12 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens.llm.common import bounded_batches, folds, free_name, frozen, refuse_name, returning_memory, text_or_empty, with_columns
+from loglens.llm.near_dedup import mixed
 from loglens.llm.quality import sample
 
 STEM = 4
 _CACHE = 400_000
 #: Pairs of words that a task holds before it hands them on.
-_HELD = 2_000_000
+_HELD = 4_000_000
+#: Characters of all texts for each bucket of pairs, over how many buckets a frequent word's pairs are spread, and bytes of a history.
+_BUCKET_CHARACTERS = 1 << 23
+_PARTS = 16
+_BYTES = 6
 
 
 @lru_cache(maxsize=1)
@@ -36,16 +41,20 @@ def _known() -> dict[str, int]:
     return {}
 
 
+def _key(word: str) -> int:
+    """31 bits of a word's first letters, then 32 of the whole word."""
+    plain = word.strip(".,;:!?\"'()[]{}<>*%$&#|-")
+    whole = zlib.crc32(plain.encode("utf-8", "replace"))
+    return zlib.crc32(plain[:STEM].encode("utf-8", "replace"), 99) >> 1 << 32 | whole
+
+
 def _codes(words: list[str]) -> np.ndarray:
-    """The key of each word: 31 bits of its first letters, then 32 of the whole word."""
+    """The key of each word."""
     known = _known()
     if len(known) > _CACHE:
         known.clear()
     for w in set(words).difference(known):
-        plain = w.strip(".,;:!?\"'()[]{}<>*%$&#|-")
-        whole = zlib.crc32(plain.encode("utf-8", "replace"))
-        stem = zlib.crc32(plain[:STEM].encode("utf-8", "replace"), 99) >> 1
-        known[w] = stem << 32 | whole
+        known[w] = _key(w)
     return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
@@ -180,54 +189,127 @@ class Models:
         return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
 
 
-def _distinct(history: list[np.ndarray], word: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _packed(keys: np.ndarray, pairs: np.ndarray, buckets: int, frequent: np.ndarray) -> pa.RecordBatch:
+    """Different pairs of numbered words as one row a bucket: its words, how many pairs each has, and their histories.
+
+    A word's pairs lie in one bucket, those of a frequent word in up to ``_PARTS`` by their history. A history is told apart by 48 bits.
+    """
+    hashed = mixed(keys.view(np.uint64))
+    split = np.isin(keys, frequent)
+    word, history = pairs >> 32, pairs & 0xFFFFFFFF
+    at = hashed[word]
+    at[split[word]] += hashed[history[split[word]]] % np.uint64(_PARTS)
+    bucket = (mixed(at) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, word, history = bucket[order], word[order], hashed[history[order]] >> np.uint64(16)
+    runs = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (word[1:] != word[:-1])]))
+    sizes = np.diff(np.append(runs, len(word))).astype("<u4")
+    which, first = np.unique(bucket[runs], return_index=True)
+    # Where each bucket's runs, and its pairs, begin and end.
+    run_ends = np.append(first, len(runs))
+    ends = np.append(runs[first], len(word))
+
+    def blobs(values: bytes, edges: np.ndarray, width: int) -> pa.Array:
+        return pa.array([values[i * width : j * width] for i, j in zip(edges[:-1], edges[1:])], pa.binary())
+
+    low = history.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(which.astype(np.int64)), blobs(keys[word[runs]].astype("<i8").tobytes(), run_ends, 8),
+            blobs(sizes.tobytes(), run_ends, 4), blobs(low, ends, _BYTES),
+        ],
+        names=["bucket", "words", "sizes", "histories"],
+    )
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], buckets: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each word with each word in front of it, packed by bucket; most repetitions within a task left out."""
+    written: dict[str, int] = {}
+    numbers = {0: 0}  # of keys; 0 is the mark of a beginning
+    held, n = [], 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            found = text.lower().split()
+            for w in set(found).difference(written):
+                written[w] = numbers.setdefault(_key(w), len(numbers))
+            seq = np.fromiter(map(written.__getitem__, found), np.int64, len(found))
+            held.append(seq << 32 | np.concatenate([[0], seq[:-1]]) if len(seq) else seq)
+            n += len(seq)
+            if n >= _HELD:
+                held = [np.unique(np.concatenate(held))]
+                n = len(held[0])
+                if n >= _HELD // 2:
+                    yield _packed(np.fromiter(numbers, np.int64, len(numbers)), held[0], buckets, frequent)
+                    written, numbers, held, n = {}, {0: 0}, [], 0
+    if n:
+        yield _packed(np.fromiter(numbers, np.int64, len(numbers)), np.unique(np.concatenate(held)), buckets, frequent)
+
+
+def _distinct(words: list[np.ndarray], histories: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Different pairs, ordered by word."""
-    h, w = np.concatenate(history), np.concatenate(word)
+    w, h = np.concatenate(words), np.concatenate(histories)
     order = np.lexsort((h, w))
-    h, w = h[order], w[order]
+    w, h = w[order], h[order]
     new = np.ones(len(w), bool)
     new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-    return h[new], w[new]
+    return w[new], h[new]
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, history): each word with each word in front of it, most repetitions within a task left out."""
-    history, word, held = [], [], 0
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of each bucket, whose rows follow one another: different histories of each word."""
+    words, histories, held, most, now = [], [], 0, _HELD, None
 
-    def given() -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(word[0]), 100_000):
-            part = [pa.array(x[0][i : i + 100_000], pa.int64()) for x in (word, history)]
-            yield pa.RecordBatch.from_arrays(part, names=["word", "history"])
+    def counts() -> pa.RecordBatch:
+        found, n = np.unique(_distinct(words, histories)[0], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            w = words(text)
-            history.append(w[:-1])
-            word.append(w[1:])
-            held += len(w) - 1
-            if held >= _HELD:
-                h, w = _distinct(history, word)
-                history, word, held = [h], [w], len(w)
-                if held >= _HELD // 2:
-                    yield from given()
-                    history, word, held = [], [], 0
+        for bucket, w, sizes, h in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if bucket != now and held:
+                yield counts()
+                words, histories, held, most = [], [], 0, _HELD
+            now = bucket
+            words.append(np.repeat(np.frombuffer(w, "<i8"), np.frombuffer(sizes, "<u4")))
+            whole = np.zeros((len(h) // _BYTES, 8), np.uint8)
+            whole[:, :_BYTES] = np.frombuffer(h, np.uint8).reshape(-1, _BYTES)
+            histories.append(whole.view("<i8").ravel())
+            held += len(whole)
+            if held > most:
+                words, histories = ([x] for x in _distinct(words, histories))
+                held = len(words[0])
+                most = max(_HELD, 2 * held)
     if held:
-        h, w = _distinct(history, word)
-        history, word = [h], [w]
-        yield from given()
+        yield counts()
 
 
-def shared_backoff(docs: DataFrame, text_column: str = "text") -> DataFrame:
+def shared_backoff(docs: DataFrame, text_column: str = "text", frequent: np.ndarray | None = None) -> DataFrame:
     """(word, n): after how many different words each word of the corpus stands, by keys, stored.
 
-    The table has a line for every different word of all documents; a text's beginning counts as a word in front.
+    The table has a line for every different word of all documents; a text's beginning counts as a word in front. Pairs
+    travel packed, in buckets whose number grows with the characters of all texts. ``frequent`` lists keys of words whose
+    pairs are spread over several buckets; whichever these are, the counts are the same.
     """
     bounded_batches(docs.sparkSession)
+    often = np.unique(np.zeros(0, np.int64) if frequent is None else frequent)
     texts = docs.select(text_or_empty(text_column).alias("text"))
-    pairs = texts.mapInArrow(returning_memory(_neighbours), "word long, history long")
-    # Dealt by both words: the pairs of a frequent word are spread over all tasks.
-    different = pairs.repartition("word", "history").distinct()
-    return frozen(different.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "neighbours")
+    characters = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(64, characters // _BUCKET_CHARACTERS)
+    packed = texts.mapInArrow(
+        returning_memory(lambda batches: _neighbours(batches, buckets, often)),
+        "bucket long, words binary, sizes binary, histories binary",
+    )
+    lined_up = packed.repartition("bucket").sortWithinPartitions("bucket")
+    parts = frozen(lined_up.mapInArrow(returning_memory(_counted), "word long, n long"), "neighbours")
+    if not len(often):
+        return parts
+    split = F.col("word").isin(often.tolist())
+    return parts.filter(~split).unionByName(parts.filter(split).groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def _frequent(texts: list[np.ndarray]) -> np.ndarray:
+    """Keys of the words that are at least one in a thousand of these texts' words."""
+    found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *texts]), return_counts=True)
+    return found[n * 1000 >= n.sum()]
 
 
 @dataclass
@@ -301,7 +383,7 @@ def fit(
     y = np.array([k for _, k in rows], int)
     checked = np.arange(len(rows)) % 4 == 3
     parts = [class_model([t for t, k, c in zip(texts, y, checked) if k == kind and not c]) for kind in (1, 0)]
-    models = Models(*parts, _shared(shared_backoff(docs, text_column), *parts))
+    models = Models(*parts, _shared(shared_backoff(docs, text_column, _frequent(texts)), *parts))
     inputs = np.array([models.evidence(t) for t, c in zip(texts, checked) if c]).reshape(-1, 3)
     models.slope = calibrate(inputs, y[checked])
     return models

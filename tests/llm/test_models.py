@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loglens.llm import quality, queries, secrets, toxicity
@@ -78,8 +79,10 @@ def test_few_labelled_rows_find_toxic_texts(spark):
 def test_shared_backoff_counts_every_neighbour(spark, docs):
     """More neighbours than a set of fixed size tells apart, over several documents and tasks."""
     rows = [(i, " ".join(f"w{j} common w{j} other{j % 3}" for j in range(i * 100, i * 100 + 200))) for i in range(20)]
-    table = toxicity.shared_backoff(docs(rows).repartition(5))
-    n = {r["word"]: r["n"] for r in table.collect()}
+    often = toxicity.words("common w7 absent")[1:]
+    found = [toxicity.shared_backoff(docs(rows).repartition(5), frequent=x).collect() for x in (None, often)]
+    n, split = ({r["word"]: r["n"] for r in rows} for rows in found)
+    assert n == split and len(found[1]) == len(n)
     pairs = set()
     for _, text in rows:
         w = toxicity.words(text).tolist()
@@ -88,6 +91,21 @@ def test_shared_backoff_counts_every_neighbour(spark, docs):
     assert n[toxicity.words("common")[1]] == 2100
 
 
+def test_packed_pairs_are_counted_however_they_are_cut(monkeypatch):
+    """Small holds, many buckets of one word, and repeats over tasks."""
+    monkeypatch.setattr(toxicity, "_HELD", 50)
+    texts = [" ".join(f"w{(i * j) % 37} x" for j in range(60)) for i in range(9)] + ["", "x"]
+    pairs = {p for t in texts for w in [toxicity.words(t).tolist()] for p in zip(w, w[1:])}
+    rows = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 3])], names=["text"]) for i in range(0, len(texts), 3)]
+    packed = [b for r in rows for b in toxicity._neighbours(iter([r]), 5, toxicity.words("x")[1:])]
+    lined_up = pa.Table.from_batches(packed).sort_by("bucket").to_batches()
+    total = {}
+    for b in toxicity._counted(iter(lined_up)):
+        for w, n in zip(*(c.to_pylist() for c in b.columns)):
+            total[w] = total.get(w, 0) + n
+    assert total == {w: sum(b == w for _, b in pairs) for w in {b for _, b in pairs}}
+
+
 def test_scores_need_no_counts_of_words_that_no_class_has(spark):
     """Scores equal those from the shared counts of every word of the text."""
     texts = [toxicity.words(t) for t in ("you awful fool " * 9, "the cat sat on the mat " * 9, "the dog fooled unseen words awfully")]
