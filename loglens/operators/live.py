@@ -208,18 +208,20 @@ def _medians(per_slot: DataFrame, width: int) -> DataFrame:
 
 
 def live_metrics(
-    requests: DataFrame, f: RequestFilter | None = None, *, seconds: int = WINDOW_SECONDS, step: int = 1
+    requests: DataFrame, f: RequestFilter | None = None, *, seconds: int = WINDOW_SECONDS, step: int = 1,
+    folder: str | None = None,
 ) -> DataFrame:
     """Metrics of every window [end - seconds, end) with traffic, one each ``step`` seconds.
 
-    What was added up per slot is stored in the shared folder when this is called.
+    What was added up per slot is stored in the shared folder when this is called, or in ``folder``, where the next
+    call replaces it.
     """
     slot_seconds = gcd(seconds, step)
     rows = _measured(stream_filter(requests, f) if f else requests)
     rows = rows.withColumn("slot", F.floor(F.col("at_us") / (slot_seconds * _SECOND)))
     totals = _totals()
     parts = m.named(totals) + [F.max(c).alias(n) for n, c in _edges().items()]
-    per_slot = stored(lines(rows, ["slot"], parts, "visitor"), "live-slots")
+    per_slot = stored(lines(rows, ["slot"], parts, "visitor"), "live-slots", folder)
     width, every = seconds // slot_seconds, step // slot_seconds
     held = _held(_changes(per_slot, list(totals), width), [*totals, "unique_ips"])
     told = held.join(_medians(per_slot, width), "at", "left")

@@ -46,6 +46,45 @@ def rollup_hourly(requests: DataFrame, start: datetime, end: datetime) -> DataFr
     return _stats(_closed_rows(requests, start, end, "hour"))
 
 
+#: Size of the visitor sketches (two to this power of registers) and accuracy of the duration sketches.
+VISITOR_BITS, DURATION_K = 12, 200
+_SHARES = {"duration_p50": 0.5, "duration_p95": 0.95, "duration_p99": 0.99}
+
+
+def rollup_sketches(requests: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """Per hour and host exact sums, with sketches of visitors and durations that longer reports can merge.
+
+    Sketches are made in each task before the shuffle and have a fixed greatest size, whatever an hour holds.
+    """
+    return _closed_rows(requests, start, end, "hour").groupBy("ts", "host").agg(
+        m.requests().alias("req_count"), *m.named(m.class_counts()), m.bytes_out().alias("bytes_out"),
+        m.bytes_in().alias("bytes_in"),
+        F.hll_sketch_agg("remote_ip", VISITOR_BITS).alias("visitors"),
+        F.kll_sketch_agg_bigint(F.col("duration_ms").cast("bigint"), DURATION_K).alias("durations"),
+    )
+
+
+def merged_rollup(rollup: DataFrame, unit: str = "day", by: tuple[str, ...] = ("host",)) -> DataFrame:
+    """Traffic per longer unit, read from a stored ``rollup_sketches`` instead of from the requests.
+
+    Counts and bytes are exact. Visitors are estimated (standard error about 1.6 %), and so are the percentiles: the value
+    given has a rank within about 1.3 % of the one asked for. Durations that are all null have null percentiles.
+    """
+    sums = [c for c in rollup.columns if c.startswith("req_") or c.startswith("bytes_")]
+    ts = F.date_trunc(unit, "ts").cast(rollup.schema["ts"].dataType)
+    merged = rollup.withColumn("ts", ts).groupBy("ts", *by).agg(
+        *[F.sum(c).alias(c) for c in sums],
+        F.hll_sketch_estimate(F.hll_union_agg("visitors")).alias("unique_ips"),
+        F.kll_merge_agg_bigint("durations").alias("durations"),
+    )
+    some = F.kll_sketch_get_n_bigint("durations") > 0
+    return merged.select(
+        "ts", *by, *sums,
+        *[F.when(some, F.kll_sketch_get_quantile_bigint("durations", F.lit(q))).alias(n) for n, q in _SHARES.items()],
+        "unique_ips",
+    )
+
+
 def _hourly_counts(requests: DataFrame, start: datetime, end: datetime, column: str) -> DataFrame:
     rows = _closed_rows(requests, start, end, "hour").filter(F.col(column).isNotNull())
     return rows.groupBy("ts", "host", column).agg(m.requests().alias("req_count"))

@@ -52,8 +52,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, for steps that are used more than once."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again, for steps that are used more than once.
+
+    Where a ``folder`` is named, what it held of the step before is replaced.
+    """
+    path = f"{folder.rstrip('/')}/{name}" if folder else scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,16 +7,18 @@ up when the watermark closes the window. No state holds a growing list of visito
 
 from __future__ import annotations
 
-from datetime import timedelta
+from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from loglens.filters import instant, on_days
 from loglens.functions import measures as m
 from loglens.functions.text import none_if_empty
 from loglens.functions.times import micros
-from loglens.operators.live import WINDOW_SECONDS, rates
+from loglens.operators.live import WINDOW_SECONDS, live_metrics, rates
 from loglens.operators.rollups import rollup_minutely
 
 WATERMARK = "5 minutes"
@@ -88,33 +90,75 @@ def stream_rollup(requests: DataFrame, width: str = "1 minute", *, watermark: st
     )
 
 
-def keep_rollup(added: DataFrame, requests_path: str, rollup_path: str, checkpoint: str) -> DataStreamWriter:
-    """The query that keeps a rollup by minute and host equal to the stored requests, however late a row comes.
+def _kept(
+    added: DataFrame, requests_path: str, kept_path: str, checkpoint: str, at: str, reach: timedelta,
+    computed: Callable[[DataFrame, datetime, datetime], DataFrame],
+) -> DataStreamWriter:
+    """The query that keeps a table by hour equal to the stored requests, however late a row comes.
 
-    ``added`` is the stored table ``requests_path`` (by day) read as a stream. Each micro-batch names the hours it adds to; these
-    alone are computed anew from all stored requests and replace their folders, so a replay changes nothing. Readers of
-    an hour that is being replaced may briefly find it missing, as with any overwritten folder.
+    A request changes lines whose ``at`` lies up to ``reach`` behind it. Each micro-batch names the hours it changes; these
+    alone are computed anew, from the stored requests of these hours and of ``reach`` in front of them.
     """
     spark = added.sparkSession
+    hour, one = F.col("__hour"), timedelta(hours=1)
+
+    def of(column: str) -> Column:
+        return F.date_trunc("hour", column).cast("timestamp_ntz")
 
     def correct(batch: DataFrame, batch_id: int) -> None:
-        hours = batch.select(F.date_trunc("hour", "ts").alias("__hour")).filter("__hour IS NOT NULL").distinct()
+        ts = F.col("ts").cast("timestamp_ntz")
+        span = F.sequence(F.date_trunc("hour", ts), F.date_trunc("hour", ts + reach), F.lit(one)).cast("array<timestamp_ntz>")
+        hours = batch.filter("ts IS NOT NULL").select(F.explode(span).alias("__hour")).distinct()
         first, last = hours.agg(F.min("__hour"), F.max("__hour")).first()
         if first is None:
             return
-        stored = spark.read.parquet(requests_path).withColumn("__hour", F.date_trunc("hour", "ts"))
-        touched = stored.join(hours, "__hour", "left_semi").drop("__hour")
-        rolled = rollup_minutely(touched, first, last + timedelta(hours=1))
+        # The hours in which requests stand that count for a changed hour.
+        needed = hours.select(F.explode(F.sequence(F.date_trunc("hour", hour - reach), F.date_trunc("hour", hour), F.lit(one))
+                                        .cast("array<timestamp_ntz>")).alias("__hour")).distinct()
+        stored = spark.read.parquet(requests_path)
+        near = stored.filter(
+            (F.col("ts") >= instant(stored, first - reach)) & (F.col("ts") < instant(stored, last + one))
+            & on_days(stored, first - reach, last + one)
+        )
+        touched = near.withColumn("__hour", of("ts")).join(needed, "__hour", "left_semi").drop("__hour")
+        found = computed(touched, first, last + one).withColumn("__hour", of(at)).join(hours, "__hour", "left_semi")
         (
-            rolled.withColumns({"date": F.to_date("ts"), "hour": F.hour("ts")})
+            found.withColumns({"date": F.to_date("__hour"), "hour": F.hour("__hour")}).drop("__hour")
             .hint("rebalance", "date", "hour")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("date", "hour").parquet(rollup_path)
+            .partitionBy("date", "hour").parquet(kept_path)
         )
 
     return added.writeStream.foreachBatch(correct).option("checkpointLocation", checkpoint)
 
 
+def keep_rollup(added: DataFrame, requests_path: str, rollup_path: str, checkpoint: str) -> DataStreamWriter:
+    """The query that keeps a rollup by minute and host equal to the stored requests, however late a row comes.
+
+    ``added`` is the stored table ``requests_path`` (by day) read as a stream. Each micro-batch names the hours it adds to; these
+    alone are computed anew from all stored requests and replace their folders, so a replay changes nothing. Readers of
+    an hour that is being replaced may briefly find it missing, as with any overwritten folder.
+    """
+    return _kept(added, requests_path, rollup_path, checkpoint, "ts", timedelta(0), rollup_minutely)
+
+
+def keep_live_metrics(
+    added: DataFrame, requests_path: str, live_path: str, checkpoint: str, scratch: str, *,
+    seconds: int = WINDOW_SECONDS, step: int = 1,
+) -> DataStreamWriter:
+    """The query that keeps live metrics of every sliding window equal to the stored requests, however late a row comes.
+
+    Nothing is held as state and no request is copied to the windows that cover it: a micro-batch's hours, and the window's
+    width in front of them, are read again and their windows followed as changes per slot (``live.live_metrics``). Windows
+    are given out as soon as they have a request, and corrected until the next one comes. The other arguments are those of
+    ``keep_rollup``; ``scratch`` is a folder of this query that all executors share, for the slots of one micro-batch.
+    """
+    return _kept(
+        added, requests_path, live_path, checkpoint, "window_end", timedelta(seconds=seconds),
+        lambda requests, start, end: live_metrics(requests, seconds=seconds, step=step, folder=scratch),
+    )
+
+
 def _upper_median(counted: Column) -> Column:
     """The upper median of sorted (duration, rows) pairs."""
     total = F.aggregate(counted, F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x["rows"])
