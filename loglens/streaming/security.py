@@ -94,24 +94,28 @@ class AddressRules(StatefulProcessor):
     def _times(self, state) -> tuple[list[int], list[int]]:
         return tuple(map(list, state.get())) if state.exists() else ([], [])
 
-    def _count_paths(self, rows: pd.DataFrame) -> list[int]:
-        last, paths = self.seen.get() if self.seen.exists() else (None, 0)
-        gap = self.settings["session_gap_seconds"] * _SECOND
-        counts = []
-        for at, path in zip(rows["at_us"], rows["missing_path"]):
-            if last is not None and at - last > gap:
-                self.missing.clear()
-                paths = 0
-            last = at if last is None else max(last, at)
-            if path is not None and not pd.isna(path):
-                if not self.missing.containsKey((path,)):
-                    self.missing.updateValue((path,), (True,))
-                    paths += 1
-                counts.append(paths)
-            else:
-                counts.append(0)
-        self.seen.update((int(last), int(paths)))
-        return counts
+    def _count_paths(self, rows: pd.DataFrame) -> np.ndarray:
+        """Up to each row, how many different paths the session has missed; the state is asked once for each different path."""
+        last, known = self.seen.get() if self.seen.exists() else (None, 0)
+        at = rows["at_us"].to_numpy(dtype="int64")
+        newest = np.maximum.accumulate(np.append(at[0] if last is None else last, at))
+        session = np.cumsum(at - newest[:-1] > self.settings["session_gap_seconds"] * _SECOND)
+        missed = pd.DataFrame({"session": session, "path": rows["missing_path"]}).dropna()
+        first = missed.drop_duplicates()
+        old = [s == 0 and self.missing.containsKey((p,)) for s, p in zip(first["session"], first["path"])]
+        first = first[~np.array(old, dtype=bool)]
+        steps = np.zeros(len(at), dtype="int64")
+        steps[first.index] = 1
+        so_far = np.cumsum(steps)
+        # Of each session but the first, what came before it does not count.
+        starts = np.searchsorted(session, session)
+        counts = so_far - np.where(session > 0, so_far[starts] - steps[starts], -known)
+        if session[-1] > 0:
+            self.missing.clear()
+        for path in first.loc[first["session"] == session[-1], "path"]:
+            self.missing.updateValue((path,), (True,))
+        self.seen.update((int(newest[-1]), int(counts[-1])))
+        return np.where(rows["missing_path"].notna(), counts, 0)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = self.settings
