@@ -24,9 +24,10 @@ def _minute(df: DataFrame) -> Column:
     return F.date_trunc("minute", "ts").cast(df.schema["ts"].dataType)
 
 
-def _scoped(df: DataFrame) -> DataFrame:
-    """Every line once for its host and once for all hosts."""
-    return df.withColumn("scope", F.explode(F.array(F.lit(ALL_HOSTS), F.col("host"))))
+def _scoped(df: DataFrame, rules: DataFrame | None) -> DataFrame:
+    """Every line once for its host and once for all hosts; only for the scopes of ``rules``, where these are given."""
+    found = df.withColumn("scope", F.explode(F.array(F.lit(ALL_HOSTS), F.col("host"))))
+    return found if rules is None else found.join(read_rules(rules).select("scope").distinct(), "scope", "left_semi")
 
 
 def _per_tick(per_minute: DataFrame, minutes: int, *measures: Column) -> DataFrame:
@@ -39,23 +40,23 @@ def _per_tick(per_minute: DataFrame, minutes: int, *measures: Column) -> DataFra
     return per_minute.withColumn("tick", F.explode(ticks)).groupBy("tick", "scope").agg(*measures)
 
 
-def window_metrics(requests: DataFrame, *, minutes: int = 5) -> DataFrame:
+def window_metrics(requests: DataFrame, rules: DataFrame | None = None, *, minutes: int = 5) -> DataFrame:
     """Requests, errors, bytes and the worst minute's 95th percentile per window and scope."""
     per_value = requests.groupBy(_minute(requests).alias("minute"), "host", "duration_ms").agg(
         m.requests().alias("n"), m.errors().alias("errors"), m.bytes_out().alias("bytes_out")
     )
     sums = [F.sum(c).alias(c) for c in ("n", "errors", "bytes_out")]
-    counts = _scoped(per_value).groupBy("minute", "scope", "duration_ms").agg(*sums)
+    counts = _scoped(per_value, rules).groupBy("minute", "scope", "duration_ms").agg(*sums)
     per_minute = read_positions(
         counts, ["minute", "scope"], "duration_ms", "n", {"p95": percentile(0.95)}, sums
     ).withColumn("p95", m.whole_ms(F.col("p95")))
     return _per_tick(per_minute, minutes, *sums, F.max("p95").alias("p95"))
 
 
-def event_metrics(events: DataFrame, *, minutes: int = 5) -> DataFrame:
+def event_metrics(events: DataFrame, rules: DataFrame | None = None, *, minutes: int = 5) -> DataFrame:
     """Security events per window and scope."""
     per_host = events.groupBy(_minute(events).alias("minute"), "host").agg(m.requests().alias("n"))
-    per_minute = _scoped(per_host).groupBy("minute", "scope").agg(F.sum("n").alias("n"))
+    per_minute = _scoped(per_host, rules).groupBy("minute", "scope").agg(F.sum("n").alias("n"))
     return _per_tick(per_minute, minutes, F.sum("n").alias("n"))
 
 
@@ -84,13 +85,18 @@ def alert_bandwidth(requests: DataFrame, *, minutes: int = 5) -> DataFrame:
     return _metric(window_metrics(requests, minutes=minutes), "bandwidth", F.col("bytes_out"), 0)
 
 
-def alert_security_event(events: DataFrame, *, minutes: int = 5) -> DataFrame:
-    return _metric(event_metrics(events, minutes=minutes), "security_event", F.col("n"), 0)
+def alert_security_event(events: DataFrame, rules: DataFrame | None = None, *, minutes: int = 5) -> DataFrame:
+    return _metric(event_metrics(events, rules, minutes=minutes), "security_event", F.col("n"), 0)
 
 
-def all_metrics(requests: DataFrame, events: DataFrame | None = None, *, minutes: int = 5) -> DataFrame:
-    """All metrics in long form, computed together from one aggregation."""
-    wide = window_metrics(requests, minutes=minutes)
+def all_metrics(
+    requests: DataFrame, events: DataFrame | None = None, *, minutes: int = 5, rules: DataFrame | None = None
+) -> DataFrame:
+    """All metrics in long form, computed together from one aggregation.
+
+    With ``rules`` only the hosts that these watch are added up, before lines are copied to the windows.
+    """
+    wide = window_metrics(requests, rules, minutes=minutes)
     entries = {
         "request_rate": (F.col("n") / max(minutes, 1), 1),
         "error_rate": (m.ratio(F.col("errors"), F.col("n"), 4), 4),
@@ -108,7 +114,7 @@ def all_metrics(requests: DataFrame, events: DataFrame | None = None, *, minutes
         ]
     )
     found = wide.select("tick", "scope", F.inline(long))
-    return found if events is None else found.unionByName(alert_security_event(events, minutes=minutes))
+    return found if events is None else found.unionByName(alert_security_event(events, rules, minutes=minutes))
 
 
 def read_rules(rules: DataFrame) -> DataFrame:
