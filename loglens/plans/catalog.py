@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.filters import RequestFilter, filter_requests, stream_filter
+from loglens.filters import RequestFilter, filter_requests, instant, stream_filter
 from loglens.functions import text, tls
 from loglens.operators import alerts, analytics, derived, enrich, live, paging, parse, profiles, rollups, security
 from loglens.plans import fixtures as fx
@@ -308,7 +308,8 @@ def _alert_security_event(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fired(spark: SparkSession, sf: str) -> DataFrame:
-    return alerts.alert_evaluate(alerts.all_metrics(fx.requests(spark, sf)), fx.alert_rules(spark))
+    rules = fx.alert_rules(spark)
+    return alerts.alert_evaluate(alerts.all_metrics(fx.requests(spark, sf), rules=rules), rules)
 
 
 def _alert_record(spark: SparkSession, sf: str) -> DataFrame:
@@ -369,6 +370,34 @@ def _stream_live_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
 
 
+def _kept(spark: SparkSession, sf: str, keep: Callable[..., object], **options) -> DataFrame:
+    """What a query keeps of the stored requests, all of which are new to it."""
+    requests, kept, checkpoint = (fx.scratch(spark, name) for name in ("requests", "kept", "checkpoint"))
+    sinks.sink_requests(fx.requests(spark, sf), requests)
+    added = spark.readStream.schema(spark.read.parquet(requests).schema).parquet(requests)
+    keep(added, requests, kept, checkpoint, **options).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(kept).drop("date", "hour")
+
+
+def _keep_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = _kept(spark, sf, rollup.keep_rollup)
+    return kept.filter((F.col("ts") >= instant(kept, START)) & (F.col("ts") < instant(kept, END)))
+
+
+def _keep_live_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return _kept(
+        spark, sf, rollup.keep_live_metrics, scratch=fx.scratch(spark, "live-slots"), seconds=LIVE_SECONDS, step=LIVE_STEP
+    )
+
+
+def _rollup_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Days read from stored hours; the sums, which are exact."""
+    path = fx.scratch(spark, "hours")
+    rollups.rollup_sketches(fx.requests(spark, sf), START, END).write.parquet(path)
+    days = rollups.merged_rollup(spark.read.parquet(path))
+    return days.drop("unique_ips", "duration_p50", "duration_p95", "duration_p99")
+
+
 def _stream_security(spark: SparkSession, sf: str) -> DataFrame:
     stream = stream_rules.stream_security(fx.request_stream(spark, sf), RULES)
     found = _run_to_end(spark, stream, "security")
@@ -480,6 +509,7 @@ QUERIES: dict[str, Query] = {
     # rollups
     "rollup_minutely": _over(rollups.rollup_minutely, START, END),
     "rollup_hourly": _over(rollups.rollup_hourly, START, END),
+    "rollup_daily": _rollup_daily,
     "rollup_top_paths_hourly": _over(rollups.rollup_top_paths_hourly, START, END),
     "rollup_top_ips_hourly": _over(rollups.rollup_top_ips_hourly, START, END),
     # security
@@ -512,6 +542,8 @@ QUERIES: dict[str, Query] = {
     "alert_history": _alert_history,
     # streams
     "stream_rollup": _stream_rollup,
+    "keep_rollup": _keep_rollup,
+    "keep_live_metrics": _keep_live_metrics,
     "stream_live_metrics": _stream_live_metrics,
     "stream_security": _stream_security,
     "stream_pipeline": _stream_pipeline,

@@ -389,6 +389,7 @@ WHERE {MONTH} AND user_agent IS NOT NULL AND user_agent <> '' GROUP BY remote_ip
     # rollups
     "rollup_minutely": _rollup("minute"),
     "rollup_hourly": _rollup("hour"),
+    "rollup_daily": f"SELECT * EXCLUDE (duration_p50, duration_p95, duration_p99, unique_ips) FROM ({_rollup('day')})",
     "rollup_top_paths_hourly": _hourly("path"),
     "rollup_top_ips_hourly": _hourly("remote_ip"),
     # security
@@ -437,6 +438,8 @@ UNION ALL SELECT 'errors', NULL, NULL, NULL, concat('source', id % 3), NULL, NUL
   'line is not valid JSON', NULL, NULL FROM requests WHERE id % 97 = 0 AND id % 83 <> 0""",
     # live and derived
     "live_metrics": _live("TRUE"),
+    "keep_live_metrics": _live("TRUE"),
+    "keep_rollup": _rollup("minute"),
     "live_metrics_at": _live(
         "ts BETWEEN TIMESTAMP '2024-01-29' AND TIMESTAMP '2024-01-30'", "1 AS one", 86400.0, ""),
     "live_metrics_uneven": """SELECT make_timestamp(e * 420000000) AS window_end, COUNT(*) AS req_count,

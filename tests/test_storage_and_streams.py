@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_operators import SCHEMA, SETTINGS, _traffic
@@ -221,6 +223,126 @@ def test_ranges_open_only_their_days(spark, tmp_path):
         assert "PartitionFilters: [isnotnull(date" in plan, plan
 
 
+def test_live_windows_stay_equal_to_the_stored_requests(spark, tmp_path):
+    """Rows later than any watermark, windows over the edge of an hour, and replays; nothing of a micro-batch is left."""
+    extra = {
+        "response_bytes": F.lit(2).cast("bigint"), "request_bytes": F.lit(None).cast("bigint"),
+        "status_class": F.concat(F.floor(F.col("status") / 100).cast("string"), F.lit("xx")),
+    }
+    stored, kept, check, slots = (str(tmp_path / n) for n in ("requests", "live", "check", "scratch"))
+    at = [0, 1, 1795, 3590, 3599, 3600, 3605, 7190, 9000, 90000]
+    rows = [(i, START + timedelta(seconds=s), f"10.0.0.{i % 3}", "h", "/", "/", "GET", 200, "a", i) for i, s in enumerate(at)]
+
+    def run(part):
+        sinks.sink_requests(spark.createDataFrame(part, SCHEMA).withColumns(extra), stored)
+        source = spark.readStream.schema(spark.read.parquet(stored).schema).parquet(stored)
+        query = rollup.keep_live_metrics(source, stored, kept, check, slots, seconds=30, step=5)
+        query.trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.parquet(kept)
+        want = live.live_metrics(spark.read.parquet(stored), seconds=30, step=5)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+        return {f: f.stat().st_mtime_ns for f in (tmp_path / "live").rglob("*.parquet")}
+
+    first = run(rows[5:])
+    second = run(rows[:5])  # older than all that was there
+    later = {f: t for f, t in second.items() if "date=2024-01-02" in str(f) or "hour=2" in str(f)}
+    assert later and all(first[f] == t for f, t in later.items())
+    assert len(list((tmp_path / "scratch").iterdir())) == 1
+
+
+def test_days_read_from_stored_hours(spark, tmp_path):
+    """Sums exact; estimates within three standard errors of the exact rollup."""
+    rows = spark.range(60_000).select(
+        F.expr("TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, 0, id % 48)").alias("ts"), F.lit("h").alias("host"),
+        F.concat(F.lit("a"), F.col("id") * 7919 % 9001).alias("remote_ip"), F.lit(200).alias("status"),
+        F.lit("2xx").alias("status_class"), (F.col("id") % 1000).cast("int").alias("duration_ms"),
+        F.col("id").alias("response_bytes"), F.lit(None).cast("bigint").alias("request_bytes"),
+    )
+    rows = rows.unionByName(rows.limit(3).withColumns({"host": F.lit("quiet"), "duration_ms": F.lit(None).cast("int")}))
+    path, end = str(tmp_path / "hours"), START + timedelta(days=3)
+    rollups.rollup_sketches(rows, START, end).write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert stored.filter("host = 'h'").count() == 48
+    days = {(r.ts, r.host): r for r in rollups.merged_rollup(stored).collect()}
+    exact = rows.groupBy(F.date_trunc("day", "ts").alias("ts"), "host").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("response_bytes").alias("bytes_out"), F.countDistinct("remote_ip").alias("ips"),
+    ).collect()
+    assert len(days) == len(exact) == 3
+    for r in exact:
+        got = days[r.ts, r.host]
+        assert (got.req_count, got.req_2xx, got.bytes_out) == (r.n, r.n, r.bytes_out)
+        assert abs(got.unique_ips - r.ips) <= 0.05 * r.ips
+        wanted = [None] * 3 if r.host == "quiet" else [500, 950, 990]
+        for value, middle in zip((got.duration_p50, got.duration_p95, got.duration_p99), wanted):
+            assert value is None if middle is None else abs(value - middle) <= 40
+
+
+def test_rules_choose_what_is_added_up(spark):
+    """Metrics of the hosts that rules watch, and of all together, equal those computed for every host."""
+    rows = spark.createDataFrame(_traffic(seed=7, rows=300), SCHEMA).withColumn("response_bytes", F.lit(3).cast("bigint"))
+    host = rows.first()["host"]
+    conditions = [f'{{"metric":"request_rate","threshold":0,"host":"{host}"}}', '{"metric":"latency_p95","threshold":1}']
+    rules = spark.createDataFrame(
+        [(i, "r", True, "threshold", c, 7, None) for i, c in enumerate(conditions)],
+        "id int, name string, enabled boolean, rule_type string, conditions string, cooldown_minutes int, last_triggered timestamp",
+    )
+    few, every = alerts.all_metrics(rows, rules=rules), alerts.all_metrics(rows)
+    assert {r.scope for r in few.select("scope").distinct().collect()} == {host, alerts.ALL_HOSTS}
+    fired = [sorted(map(tuple, alerts.alert_evaluate(x, rules).collect())) for x in (few, every)]
+    assert fired[0] == fired[1] and fired[0]
+
+
+class _Kept:
+    """A state of one value, or of a map, in memory; counts its calls."""
+
+    def __init__(self):
+        self.value, self.keys, self.calls = None, set(), 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.keys
+
+    def updateValue(self, key, _):
+        self.calls += 1
+        self.keys.add(key)
+
+    def clear(self):
+        self.keys.clear()
+
+
+def test_paths_of_a_session_are_counted_with_few_calls():
+    """Batches cut anywhere give what one row after the other gives; the state is asked for different paths only."""
+    rng = random.Random(4)
+    at = sorted(rng.choice([0, 5, 40, 200]) + 300 * (i // 40) for i in range(400))
+    rows = [(s * 1_000_000, rng.choice([None, "/a", "/b", "/c", f"/{s % 11}"])) for s in at]
+    rows[50], rows[51] = rows[51], (rows[20][0], "/late")  # one comes late
+    want, seen, last = [], set(), None
+    for moment, path in rows:
+        if last is not None and moment - last > 60_000_000:
+            seen = set()
+        last = moment if last is None else max(last, moment)
+        seen |= {path} - {None}
+        want.append(len(seen) if path else 0)
+    for cuts in ([0, 51, 400], [0, 51, 52, 90, 91, 300, 400]):
+        rules = stream_rules.AddressRules({"session_gap_seconds": 60})
+        rules.seen, rules.missing = _Kept(), _Kept()
+        got = []
+        for lo, hi in zip(cuts, cuts[1:]):
+            batch = pd.DataFrame(rows[lo:hi], columns=["at_us", "missing_path"])
+            got += rules._count_paths(batch.sort_values("at_us", kind="stable", ignore_index=True)).tolist()
+        assert got == want
+        assert rules.missing.calls < 200
+
+
 def test_stream_counts_outlive_session_and_late_batches(spark, tmp_path):
     """Login spans longer than the session, and a late batch that must not shorten the session."""
     settings = security.RuleSettings(session_gap_seconds=1200, logins_over=2, login_seconds=7200, scan_paths_over=2)
