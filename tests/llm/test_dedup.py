@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from hashlib import sha256
 from itertools import combinations
 
@@ -156,3 +157,29 @@ def test_line_dedup(docs, awkward, nothing):
 
 
 POOL = variants(8, 6, 5, 25)
+
+
+def test_lines_of_documents_equal_brute_force(spark):
+    """No link of the given documents is lost: every line of every text against every other."""
+    found = line_dedup.line_groups(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    lines = {(r["doc_id"], i): x for r in docs for i, x in enumerate((r["text"] or "").split("\n")) if x.strip()}
+    assert {(r["doc_id"], r["line_no"]) for r in found} == set(lines)
+    sets = {x: line_dedup.shingles(x) for x in set(lines.values())}
+    holders = {}
+    for x, s in sets.items():
+        for shingle in s:
+            holders.setdefault(shingle, []).append(x)
+    links = []
+    for x, s in sets.items():
+        shared = Counter(y for shingle in s for y in holders[shingle] if y < x)
+        links += [(x, y) for y, n in shared.items() if n / (len(s) + len(sets[y]) - n) >= line_dedup.SIMILARITY]
+    assert len(links) > 10
+    group = {x: g for g in groups_of(links, sets) for x in g}
+    want = {}
+    for at, x in lines.items():
+        want.setdefault(group[x], []).append(at)
+    for r in found:
+        same = want[group[lines[r["doc_id"], r["line_no"]]]]
+        assert (r["keep_id"], r["keep_line"], r["group_size"]) == (*min(same), len(same))
+        assert r["kept"] == ((r["doc_id"], r["line_no"]) == min(same))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -176,3 +178,13 @@ def test_assigned_values_are_candidates(docs):
     }
     marked = secrets.seed_findings(secrets.candidates(docs(texts[3:4]))).collect()
     assert [r["label"] for r in marked] == [1]
+
+
+def test_planted_secrets_are_found(spark):
+    """Every value of 40 hexadecimal digits that documents assign to a token is reported; candidates stand where they say."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    found = secrets.scan(docs).collect()
+    assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["candidate"] for r in found)
+    planted = {(i, m.start(1)) for i, t in texts.items() for m in re.finditer('token = "([0-9a-f]{40})"', t)}
+    assert len(planted) >= 10 and planted <= {(r["doc_id"], r["start"]) for r in found if r["is_secret"]}
