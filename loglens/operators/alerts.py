@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens.functions import measures as m
+from loglens.functions.times import micros
 from loglens.operators.summaries import percentile, read_positions
 from loglens.schema import ALERT_CONDITIONS_SCHEMA
+from loglens.session import stored
 
 # Workers get this module's functions with the task and need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ALL_HOSTS = "*"
 _DEFAULT_COOLDOWN = 30
+_MINUTE_MICROS = 60_000_000
+# A block of a rule's time line lasts a week, or eight cooldowns where these are longer.
+_BLOCK_MICROS = 7 * 24 * 60 * _MINUTE_MICROS
+_BLOCK_PAUSES = 8
 
 
 def _minute(df: DataFrame) -> Column:
@@ -27,7 +34,10 @@ def _minute(df: DataFrame) -> Column:
 def _scoped(df: DataFrame, rules: DataFrame | None) -> DataFrame:
     """Every line once for its host and once for all hosts; only for the scopes of ``rules``, where these are given."""
     found = df.withColumn("scope", F.explode(F.array(F.lit(ALL_HOSTS), F.col("host"))))
-    return found if rules is None else found.join(read_rules(rules).select("scope").distinct(), "scope", "left_semi")
+    if rules is None:
+        return found
+    # Half of the lines have one scope: dealt by scope they would meet in one task.
+    return found.join(F.broadcast(read_rules(rules).select("scope")), "scope", "left_semi")
 
 
 def _per_tick(per_minute: DataFrame, minutes: int, *measures: Column) -> DataFrame:
@@ -130,35 +140,104 @@ def read_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def _after_cooldown(breaches: pd.DataFrame) -> pd.DataFrame:
-    """The breaches of one rule that fire: each silences the rule for its cooldown."""
-    breaches = breaches.sort_values("tick", ignore_index=True)
-    pause = pd.Timedelta(minutes=int(breaches["cooldown_minutes"].iloc[0]))
-    last = breaches["last_triggered"].iloc[0]
+def _later_fires(at: np.ndarray, pause: int) -> np.ndarray:
+    """For each of the sorted breaches the position of the next one to fire, if it fires itself; their number where none does."""
+    return np.maximum(np.searchsorted(at, at + pause), np.arange(1, len(at) + 1))
+
+
+def _block_ends(breaches: pd.DataFrame) -> pd.DataFrame:
+    """Of one rule's block the breaches that may be its first to fire, each with the block's last one to fire then.
+
+    A pause from an earlier block ends before the block is one pause old, so that later breaches but one are no first ones.
+    """
+    at = np.sort(breaches["at"].to_numpy())
+    pause, start = int(breaches["pause"].iloc[0]), int(breaches["block_start"].iloc[0])
+    later, last = _later_fires(at, pause).tolist(), list(range(len(at)))
+    for i in reversed(range(len(at))):
+        if later[i] < len(at):
+            last[i] = last[later[i]]
+    firsts = min(len(at), int(np.searchsorted(at, start + max(pause, 0))) + 1)
+    found = breaches[["rule_id", "pause", "block"]].head(1)
+    return found.assign(firsts=[at[:firsts].tolist()], lasts=[at[last[:firsts]].tolist()])
+
+
+def _block_firsts(blocks: pd.DataFrame) -> pd.DataFrame:
+    """The first breach to fire in each block of one rule that has one: a line for each block is carried on to the next."""
+    blocks = blocks.sort_values("block", ignore_index=True)
+    pause, quiet_until = int(blocks["pause"].iloc[0]), None
+    found = []
+    for position, (firsts, lasts) in enumerate(zip(blocks["firsts"], blocks["lasts"])):
+        i = 0 if quiet_until is None or pause <= 0 else int(np.searchsorted(firsts, quiet_until))
+        if i < len(firsts):
+            found.append((position, int(firsts[i])))
+            quiet_until = int(lasts[i]) + pause
+    at = [position for position, _ in found]
+    return blocks.loc[at, ["rule_id", "block"]].assign(first=np.array([first for _, first in found], "int64"))
+
+
+def _block_fires(breaches: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+    """The breaches of one rule's block that fire, from the first one on."""
     fired = []
-    for position, tick in enumerate(breaches["tick"]):
-        if pd.isna(last) or tick - last >= pause:
-            fired.append(position)
-            last = tick
-    return breaches.loc[fired, ["rule_id", "tick", "metric", "shown", "threshold"]]
+    if len(breaches) and len(start):
+        breaches = breaches.sort_values("at", ignore_index=True, kind="stable")
+        at = breaches["at"].to_numpy()
+        later = _later_fires(at, int(breaches["pause"].iloc[0]))
+        i = int(np.searchsorted(at, start["first"].iloc[0]))
+        while i < len(at):
+            fired.append(i)
+            i = int(later[i])
+    return breaches.iloc[fired][["rule_id", "tick", "metric", "shown", "threshold"]]
+
+
+def _after_cooldown(breaches: DataFrame) -> DataFrame:
+    """The breaches that fire: each silences its rule for its cooldown.
+
+    A rule's time line is cut into blocks. Each block first says, for every breach that may be its first one to fire, which is then
+    its last; one line for each block is carried on to the next, and blocks whose first one is known fire on their own. Blocks are as long
+    as a week or eight cooldowns, so neither the breaches nor the groups of a task grow with the time that the log covers.
+    ``breaches`` is read several times.
+    """
+    # An id that stands on several lines has the settings of its earliest breach.
+    settings = breaches.groupBy(F.col("rule_id").alias("id")).agg(
+        F.min(F.struct("tick", "cooldown_minutes", "last_triggered")).alias("set")
+    )
+    pause = F.col("set.cooldown_minutes").cast("bigint") * _MINUTE_MICROS
+    at, last = micros(F.col("tick")), micros(F.col("set.last_triggered"))
+    loud = (
+        breaches.join(F.broadcast(settings), F.col("rule_id").eqNullSafe(F.col("id")))
+        .withColumns({"at": at, "pause": pause})
+        .filter(last.isNull() | (F.col("at") - last >= F.col("pause")))
+    )
+    span = F.greatest(F.lit(_BLOCK_MICROS), F.col("pause") * _BLOCK_PAUSES)
+    lined_up = loud.withColumn("block", F.floor(F.col("at") / span)).withColumn("block_start", F.col("block") * span)
+    lined_up = lined_up.select(
+        "rule_id", "tick", "metric", "shown", "threshold", "at", "pause", "block", "block_start"
+    )
+    ends = lined_up.select("rule_id", "at", "pause", "block", "block_start").groupBy("rule_id", "block").applyInPandas(
+        _block_ends, "rule_id int, pause long, block long, firsts array<long>, lasts array<long>"
+    )
+    firsts = ends.groupBy("rule_id").applyInPandas(_block_firsts, "rule_id int, block long, first long")
+    kind = breaches.schema["tick"].dataType.simpleString()
+    return (
+        lined_up.groupBy("rule_id", "block")
+        .cogroup(firsts.groupBy("rule_id", "block"))
+        .applyInPandas(_block_fires, f"rule_id int, tick {kind}, metric string, shown double, threshold double")
+    )
 
 
 def alert_evaluate(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """The alerts that fire, one row each, with the details a notification shows.
 
-    A rule sees at most one line per tick, so its group grows with the minutes of the range
-    and not with the requests.
+    A rule sees at most one line per tick. The breaches are stored in the shared folder, since they are read several times.
     """
-    active = read_rules(rules)
-    breaches = metrics.join(active, ["metric", "scope"]).filter(F.col("value") > F.col("threshold"))
+    active = F.broadcast(read_rules(rules))
+    breaches = metrics.join(active, ["metric", "scope"]).filter((F.col("value") > F.col("threshold")) & F.col("tick").isNotNull())
     at = metrics.schema["tick"].dataType.simpleString()
     lined_up = breaches.select(
         "rule_id", "tick", "metric", "shown", "threshold", "cooldown_minutes",
         F.col("last_triggered").cast(at).alias("last_triggered"),
     )
-    fired = lined_up.groupBy("rule_id").applyInPandas(
-        _after_cooldown, f"rule_id int, tick {at}, metric string, shown double, threshold double"
-    )
+    fired = _after_cooldown(stored(lined_up, "breaches"))
     details = F.to_json(F.struct("metric", F.col("shown").alias("value"), "threshold"))
     return fired.select("rule_id", F.col("tick").alias("triggered_at"), details.alias("details"))
 
