@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 
 from loglens.operators import alerts
+from loglens.plans import catalog
 
 START = datetime(2024, 1, 1)
 _RULES = "id int, name string, enabled boolean, rule_type string, conditions string, cooldown_minutes int, last_triggered timestamp"
@@ -64,3 +65,12 @@ def test_no_scope_and_no_rule_is_one_task(spark):
     assert "hashpartitioning(scope" not in _plan(metrics)
     cogrouped = next(line for line in _plan(fired).splitlines() if "FlatMapCoGroupsInPandas" in line)
     assert "rule_id" in cogrouped and "block" in cogrouped
+
+
+def test_lines_are_dealt_to_all_cores(spark, sf_dir):
+    """A table of one split still gives lines for many tasks to parse, and each line is walked through once."""
+    parsed = catalog.queries()["parse_lines"](spark, sf_dir)
+    plan = _plan(parsed)
+    optimised = plan[plan.index("== Optimized"):plan.index("== Physical")]
+    assert "RepartitionByExpression [event_id" in optimised
+    assert optimised.count("variant_get(__all") <= 2
