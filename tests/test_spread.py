@@ -74,3 +74,9 @@ def test_lines_are_dealt_to_all_cores(spark, sf_dir):
     optimised = plan[plan.index("== Optimized"):plan.index("== Physical")]
     assert "RepartitionByExpression [event_id" in optimised
     assert optimised.count("variant_get(__all") <= 2
+
+
+def test_a_purge_works_out_its_tables_once(spark, sf_dir):
+    """What is counted after a purge comes from the stored tables, not from parsing or finding events again."""
+    plan = _plan(catalog.queries()["retention_purge"](spark, sf_dir))
+    assert "user_id" not in plan and "parse_json" not in plan
