@@ -23,7 +23,10 @@ CHARS, SIMILARITY = 7, 0.8
 BANDS, ROWS = 14, 5
 #: Hashes of the longer signatures that decide which unsettled lines are compared.
 SLOTS = 512
-_STEP = 1 << 16
+_STEP = 1 << 15
+_BASE = np.uint64(0x100000001B3)
+#: Seven characters with code points below this are one 64-bit number.
+_NARROW = (1 << 9) - 1
 _SEEN = 200_000
 
 
@@ -50,24 +53,32 @@ def minima(lines: list[str], n: int = BANDS * ROWS) -> np.ndarray:
     points = np.frombuffer(("\0" * CHARS).join([*texts, ""]).encode("utf-32-le"), "<u4")
     starts = np.concatenate([[0], np.cumsum(lengths + CHARS)[:-1]])
     sizes = np.maximum(1, lengths - CHARS + 1)
-    total = np.zeros(len(points) - CHARS + 1, np.uint64)
-    for i in range(CHARS):
-        total *= np.uint64(0x100000001B3)
-        total += points[i : i + len(total)]
-    step = np.zeros(len(total) + 1, np.int8)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + sizes, -1)
-    hashes = (mixed(total[np.cumsum(step[:-1]) > 0]) >> np.uint64(32)).astype(np.uint32)
+    n_points = len(points) - CHARS + 1
+    mixed_points = np.empty(n_points, np.uint32)
+    for begin in range(0, n_points, _STEP):
+        one = points[begin : begin + _STEP + CHARS - 1].astype(np.uint64)
+        two = one[:-1] * _BASE + one[1:]
+        four = two[:-2] * _BASE**2 + two[2:]
+        seven = four[:-3] * _BASE**3 + two[4:-1] * _BASE + one[6:]
+        mixed_points[begin : begin + _STEP] = mixed(seven) >> np.uint64(32)
+    step = np.zeros(n_points + 1, np.int8)
+    step[starts] = 1
+    step[starts + sizes] = -1
+    hashes = mixed_points[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     out = np.full((n, len(lines)), 0xFFFFFFFF, np.uint32)
     # Stretches small enough for the processor's cache, each with the lines it touches.
+    salted = np.empty(_STEP, np.uint32)
     for begin in range(0, len(hashes), _STEP):
         part = hashes[begin : begin + _STEP]
+        now = salted[: len(part)]
         lo = np.searchsorted(starts, begin, "right") - 1
         hi = np.searchsorted(starts, begin + len(part), "left")
         at = np.maximum(starts[lo:hi] - begin, 0)
         for row, salt in zip(out, _salts(n)):
-            np.minimum(row[lo:hi], np.minimum.reduceat((part ^ (salt >> 1)) * salt, at), out=row[lo:hi])
+            np.bitwise_xor(part, salt >> 1, out=now)
+            np.multiply(now, salt, out=now)
+            np.minimum(row[lo:hi], np.minimum.reduceat(now, at), out=row[lo:hi])
     return np.ascontiguousarray(out.T)
 
 
@@ -100,26 +111,43 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), _lists(bands), _lists(sketch)], names=["node", "bands", "sketch"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept: dict[int, set[str]] = {}
-    size = 0
-
-    def known(node: int, text: str) -> set[str]:
-        nonlocal size
-        if node not in kept:
-            if size > 500_000:
-                kept.clear()
-                size = 0
-            kept[node] = shingles(text)
-            size += len(kept[node])
-        return kept[node]
+def _coded(texts: list[str]) -> list[np.ndarray]:
+    """Each text's different shingles as sorted numbers; its characters lie below ``_NARROW``, nine bits for each."""
+    points = np.frombuffer(("\0" * CHARS).join([*texts, ""]).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.concatenate([[0], np.cumsum(lengths + CHARS)[:-1]])
+    n = len(points) - CHARS + 1
+    codes = np.zeros(n, np.uint64)
+    for i in range(CHARS):
+        codes <<= np.uint64(9)
+        codes |= points[i : i + n]
+    found = []
+    for start, length in zip(starts.tolist(), lengths.tolist()):
+        if length < CHARS:  # a shingle of its own length, with zeros in front
+            found.append(codes[start : start + 1] >> np.uint64(9 * (CHARS - length)))
+            continue
+        own = np.sort(codes[start : start + length - CHARS + 1])
+        found.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+    return found
 
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        _, first, at = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
+        texts = [plain(x) for x in pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first)).to_pylist()]
+        narrow = [i for i, x in enumerate(texts) if x.isascii() or ord(max(x)) < _NARROW]
+        sets = dict(zip(narrow, _coded([texts[i] for i in narrow]))) if narrow else {}
         found = []
-        for i, j, x, y in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            a, b = known(i, x), known(j, y)
-            both = len(a & b)
-            found.append(both / (len(a) + len(b) - both))
+        for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
+            if i in sets and j in sets:
+                all_of = np.concatenate([sets[i], sets[j]])
+                all_of.sort()
+                both, total = int(np.count_nonzero(all_of[1:] == all_of[:-1])), len(all_of)
+            else:
+                x, y = shingles(texts[i]), shingles(texts[j])
+                both, total = len(x & y), len(x) + len(y)
+            found.append(both / (total - both))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"]
         )

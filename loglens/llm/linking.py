@@ -118,7 +118,7 @@ def similar_components(
     alike = _differing("sketch", "other_sketch", words) <= most_different(slots, similarity)
     rest = (
         outside.join(others, "bucket").filter(fits)
-        .filter("component != other_component and (other_component = main or node < other)").filter(alike).filter(once)
+        .filter("component != other_component and (other_component = main or node < other)").filter(reach).filter(alike).filter(once)
         .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
         .join(stars, ["a", "b"], "left_anti")
     )

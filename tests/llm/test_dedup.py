@@ -9,6 +9,7 @@ from hashlib import sha256
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loglens.llm import components, exact_dedup, line_dedup, linking, near_dedup
@@ -183,3 +184,43 @@ def test_lines_of_documents_equal_brute_force(spark):
         same = want[group[lines[r["doc_id"], r["line_no"]]]]
         assert (r["keep_id"], r["keep_line"], r["group_size"]) == (*min(same), len(same))
         assert r["kept"] == ((r["doc_id"], r["line_no"]) == min(same))
+
+
+def test_lines_are_compared_exactly_as_numbers(monkeypatch):
+    """Lines of few characters need no sets of texts; short, padded, wide and mixed ones are as similar as their sets are."""
+    plain = ["", "a", "ab", "AB ", "\0b", "aaaaaaa", "aaaaaaaa", "née à la carte", "nee a la carte", "x" * 300 + "end of it", "x" * 290 + "end"]
+    wide = ["漢字 née à la carte", "漢字漢字漢字漢字漢字", "漢", "ǿ" * 8]
+
+    def check(lines):
+        pairs = [(i, j) for i in range(len(lines)) for j in range(len(lines))]
+        columns = [[i for i, _ in pairs], [j for _, j in pairs], [lines[i] for i, _ in pairs], [lines[j] for _, j in pairs]]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "left", "right"])
+        return [r["similarity"] for b in line_dedup._compare(iter([batch])) for r in b.to_pylist()]
+
+    def want(lines):
+        sets = [line_dedup.shingles(x) for x in lines]
+        return [len(x & y) / len(x | y) for x in sets for y in sets]
+
+    expected = want(plain)
+    assert check(wide) == want(wide) and check(plain + wide) == want(plain + wide)
+    monkeypatch.delattr(line_dedup, "shingles")
+    assert check(plain) == expected
+
+
+def test_members_too_far_apart_are_not_compared(spark):
+    """Distances from the centre (here 3) of 0.05 and 0.7 leave no room for a similarity of 0.8."""
+    similar = {(1, 3): 0.95, (2, 3): 0.3, (1, 2): 0.35, (3, 4): 0.75, (2, 4): 0.3, (1, 4): 0.8}
+    table = spark.createDataFrame([(a, b, s) for (a, b), s in similar.items()], "a long, b long, similarity double")
+    buckets = spark.createDataFrame([(10, n, 1, 4) for n in (1, 2, 3, 4)] + [(11, 3, 1, 1)], "bucket long, node long, weight int, members long")
+    asked = []
+
+    def verify(pairs):
+        asked.append({(r["a"], r["b"]) for r in pairs.collect()})
+        return pairs.join(table, ["a", "b"])
+
+    def sketched(nodes):
+        return nodes.selectExpr("node", "array(10L) AS bands", "array(0L) AS sketch")
+
+    found = linking.similar_components(buckets, sketched, verify, 0.0, 16, 0.8).collect()
+    assert asked == [{(1, 3), (2, 3), (3, 4)}, {(1, 4)}]
+    assert {r["node"]: r["component"] for r in found} == {1: 1, 3: 1, 4: 1}
