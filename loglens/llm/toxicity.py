@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,25 @@ def _codes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
+class _Numbered(dict):
+    """Numbers of written words, in the order in which their keys were met; 0 is the mark of a beginning."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.numbers = {0: 0}  # of keys
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = self.numbers.setdefault(_key(word), len(self.numbers))
+        return found
+
+    def of(self, text: str) -> np.ndarray:
+        found = text.lower().split()
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+
+    def keys_from(self, first: int) -> np.ndarray:
+        return np.fromiter(islice(self.numbers, first, None), np.int64, len(self.numbers) - first)
+
+
 def words(text: str) -> np.ndarray:
     """Keys of the words of a text, with a mark for its beginning in front."""
     return np.concatenate([[0], _codes(text.lower().split())])
@@ -161,16 +181,23 @@ class Models:
                 _spread(m.word, at, n - 1, 0), m.word_left * within, low,
             ))
 
+    def alone(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of words, and how likely each is by itself in toxic and in ordinary texts, from the level of words down."""
+        at, stem = _places(self.vocabulary, keys), _places(self.stems, keys >> 32)
+        return at, *(word[at] + rest[at] * low[stem] for _, _, word, rest, low in self.classes)
+
+    def after(self, history: np.ndarray, whole: np.ndarray, *alone: np.ndarray) -> np.ndarray:
+        """How much more likely words are in toxic texts after the words in front of them, as a logarithm; both by their places."""
+        pair = _places(self.bigrams, history * (len(self.vocabulary) + 1) + whole)
+        toxic, ordinary = (bigram[pair] + left[history] * x for (bigram, left, *_), x in zip(self.classes, alone))
+        return np.log(toxic / ordinary)
+
     def gains(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each word after the first, how much more likely it is in toxic texts, as a logarithm: after the word in front
-        of it, and by itself, from the level of words down.
+        of it, and by itself.
         """
-        at, stem = _places(self.vocabulary, w), _places(self.stems, w[1:] >> 32)
-        history, whole = at[:-1], at[1:]
-        pair = _places(self.bigrams, history * (len(self.vocabulary) + 1) + whole)
-        alone = [word[whole] + rest[whole] * low[stem] for _, _, word, rest, low in self.classes]
-        toxic, ordinary = (bigram[pair] + left[history] * x for (bigram, left, *_), x in zip(self.classes, alone))
-        return np.log(toxic / ordinary), np.log(alone[0] / alone[1])
+        at, toxic, ordinary = self.alone(w)
+        return self.after(at[:-1], at[1:], toxic[1:], ordinary[1:]), np.log(toxic[1:] / ordinary[1:])
 
     def evidence(self, w: np.ndarray) -> np.ndarray:
         """Inputs of the final score: the mean difference by word, and that of clear words by length and by its root.
@@ -181,14 +208,66 @@ class Models:
         if len(w) < 2:
             return np.zeros(3)
         gain, alone = self.gains(w)
-        clear = np.clip(alone - 3, 0, 4).sum()  # words that e**3 times rather stand in toxic texts
-        return np.array([gain.mean(), clear / len(gain), clear / np.sqrt(len(gain)) / 10])
+        return _evidence(gain, _clear(alone))
 
     def score(self, w: np.ndarray) -> float:
-        raw = self.slope[0] + self.slope[1:] @ self.evidence(w)
+        return self.scored(self.evidence(w))
+
+    def scored(self, evidence: np.ndarray) -> float:
+        raw = self.slope[0] + self.slope[1:] @ evidence
         return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
 
 
+def _clear(alone: np.ndarray) -> np.ndarray:
+    return np.clip(alone - 3, 0, 4)  # words that e**3 times rather stand in toxic texts
+
+
+def _evidence(gain: np.ndarray, clear: np.ndarray) -> np.ndarray:
+    if not len(gain):
+        return np.zeros(3)
+    total = clear.sum()
+    return np.array([gain.mean(), total / len(gain), total / np.sqrt(len(gain)) / 10])
+
+
+class Scorer:
+    """Scores of texts, batch after batch. What a word says by itself is worked out when it is first met."""
+
+    def __init__(self, models: Models) -> None:
+        self.models = models
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = _Numbered()
+        self.at = np.zeros(0, np.int64)
+        self.toxic = self.ordinary = self.clear = np.zeros(0)
+
+    def _learn(self) -> None:
+        at, toxic, ordinary = self.models.alone(self.words.keys_from(len(self.at)))
+        self.at = np.concatenate([self.at, at])
+        self.toxic, self.ordinary = np.concatenate([self.toxic, toxic]), np.concatenate([self.ordinary, ordinary])
+        self.clear = np.concatenate([self.clear, _clear(np.log(toxic / ordinary))])
+
+    def scores(self, texts: list[str]) -> list[float]:
+        if len(self.words) > _CACHE:
+            self._forget()
+        found = [self.words.of(t) for t in texts]
+        self._learn()
+        ends = np.cumsum([0, *map(len, found)])
+        whole = np.concatenate([np.zeros(0, np.int64), *found])
+        history = np.empty_like(whole)
+        history[1:] = whole[:-1]
+        history[ends[:-1][np.diff(ends) > 0]] = 0
+        gain = self.models.after(self.at[history], self.at[whole], self.toxic[whole], self.ordinary[whole])
+        clear = self.clear[whole]
+        return [self.models.scored(_evidence(gain[i:j], clear[i:j])) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _different(values: np.ndarray) -> np.ndarray:
+    """Different values in order, by sorting, which is much faster here than hashing them."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]]
+
+
 def _packed(keys: np.ndarray, pairs: np.ndarray, buckets: int, frequent: np.ndarray) -> pa.RecordBatch:
     """Different pairs of numbered words as one row a bucket: its words, how many pairs each has, and their histories.
 
@@ -224,25 +303,21 @@ def _packed(keys: np.ndarray, pairs: np.ndarray, buckets: int, frequent: np.ndar
 
 def _neighbours(batches: Iterator[pa.RecordBatch], buckets: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Each word with each word in front of it, packed by bucket; most repetitions within a task left out."""
-    written: dict[str, int] = {}
-    numbers = {0: 0}  # of keys; 0 is the mark of a beginning
+    written = _Numbered()
     held, n = [], 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            found = text.lower().split()
-            for w in set(found).difference(written):
-                written[w] = numbers.setdefault(_key(w), len(numbers))
-            seq = np.fromiter(map(written.__getitem__, found), np.int64, len(found))
+            seq = written.of(text)
             held.append(seq << 32 | np.concatenate([[0], seq[:-1]]) if len(seq) else seq)
             n += len(seq)
             if n >= _HELD:
-                held = [np.unique(np.concatenate(held))]
+                held = [_different(np.concatenate(held))]
                 n = len(held[0])
                 if n >= _HELD // 2:
-                    yield _packed(np.fromiter(numbers, np.int64, len(numbers)), held[0], buckets, frequent)
-                    written, numbers, held, n = {}, {0: 0}, [], 0
+                    yield _packed(written.keys_from(0), held[0], buckets, frequent)
+                    written, held, n = _Numbered(), [], 0
     if n:
-        yield _packed(np.fromiter(numbers, np.int64, len(numbers)), np.unique(np.concatenate(held)), buckets, frequent)
+        yield _packed(written.keys_from(0), _different(np.concatenate(held)), buckets, frequent)
 
 
 def _distinct(words: list[np.ndarray], histories: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -402,9 +477,9 @@ def score(docs: DataFrame, models: Models, into: str = "score", text_column: str
     shipped = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
+        scorer = Scorer(shipped.value)
         for batch in batches:
-            scores = [model.score(words(t)) for t in batch.column(len(names) - 2).to_pylist()]
+            scores = scorer.scores(batch.column(len(names) - 2).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 
     return rows.mapInArrow(scored, with_columns(rows, **{into: "double"})).drop(text)

@@ -122,6 +122,25 @@ def test_scores_need_no_counts_of_words_that_no_class_has(spark):
     assert np.allclose(few.gains(texts[2]), whole.gains(texts[2]))
 
 
+def test_words_are_looked_up_once_for_each_task(monkeypatch):
+    """Scores of batches are those of single texts, also after words were forgotten; a word is looked up when it is first met."""
+    texts = ["", "you awful fool " * 9, "the cat sat on the mat", " \n", "You fool, the unseen mat!", ""]
+    parts = [toxicity.class_model([toxicity.words(t)]) for t in texts[1:3]]
+    keys = np.unique(np.concatenate([m.vocabulary for m in parts]))
+    stems = np.unique(keys >> 32)
+    models = toxicity.Models(*parts, toxicity.Shared(keys, np.full(len(keys), 2.0), stems, np.full(len(stems), 3.0), 99))
+    models.slope = np.array([0.1, 0.2, 0.3, 0.4])
+    want = [models.score(toxicity.words(t)) for t in texts]
+    looked_up, places = [], toxicity._places
+    monkeypatch.setattr(toxicity, "_places", lambda known, x: looked_up.extend(x[: 0 if known is models.bigrams else None]) or places(known, x))
+    scorer = toxicity.Scorer(models)
+    assert [scorer.scores(texts[:3]) + scorer.scores(texts[3:]), scorer.scores([])] == [want, []]
+    words = {k for t in texts for k in toxicity.words(t).tolist()}
+    assert len(looked_up) == 2 * len(words)
+    monkeypatch.setattr(toxicity, "_CACHE", 2)
+    assert [s for t in texts for s in scorer.scores([t])] == want
+
+
 def test_scores_of_awkward_rows(spark, awkward, nothing):
     labels = spark.createDataFrame([(5, 1, 0), (9, 0, 1), (None, 1, 1), (4, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
     for module in (quality, toxicity):
