@@ -3,7 +3,7 @@
 1. Nodes that share a band key form a bucket. In each bucket every member is compared with the
    bucket's centre, the member that shares most buckets over all bands, so that a large group of
    near copies is compared with a few centres only. Verified pairs give first components.
-2. Where a bucket still holds several components, every member outside its largest component meets
+2. Where a bucket without its centre still holds several components, every member outside their largest meets
    the members of other components. Members of one component need no further comparison, since their
    link would change nothing. Of these meetings only those become pairs that can be similar: one
    minus the (weighted) Jaccard similarity is a metric, so the distances of two members from their bucket's centre, which are
@@ -40,6 +40,19 @@ def sketches(slots: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low.reshape(n, words, 16) << shifts, 2).view(np.int64)
 
 
+def planes(words: np.ndarray) -> np.ndarray:
+    """``sketches`` with every four words of a node turned into four planes, each of one bit of 64 slots.
+
+    Slots that differ in any plane are counted at once, by an expression short enough to be compiled; words left over stay.
+    """
+    out = words.copy()
+    whole = words.shape[1] // SLOT_BITS * SLOT_BITS
+    bits = np.unpackbits(words[:, :whole].astype("<i8").view(np.uint8).reshape(len(words), -1, 8 * SLOT_BITS), axis=2, bitorder="little")
+    bits = bits.reshape(len(words), -1, 64, SLOT_BITS).swapaxes(2, 3)
+    out[:, :whole] = np.packbits(np.ascontiguousarray(bits), axis=3, bitorder="little").reshape(len(words), -1).view("<i8")
+    return out
+
+
 def most_different(slots: int, similarity: float) -> int:
     """How many of ``slots`` may differ in the sketches of nodes of at least that similarity."""
     p = (1 - similarity) * (1 - 2.0**-SLOT_BITS)
@@ -47,12 +60,18 @@ def most_different(slots: int, similarity: float) -> int:
 
 
 def _differing(a: str, b: str, words: int) -> Column:
-    def one(i: int) -> str:
+    """How many slots differ in two sketches as ``planes`` makes them."""
+
+    def left_over(i: int) -> str:
         x = f"({a}[{i}] ^ {b}[{i}])"
         pairs = f"({x} | shiftrightunsigned({x}, 1))"
         return f"bit_count(({pairs} | shiftrightunsigned({pairs}, 2)) & {0x1111111111111111}L)"
 
-    return F.expr(" + ".join(one(i) for i in range(words)))
+    def of_planes(i: int) -> str:
+        return "bit_count(" + " | ".join(f"({a}[{i + k}] ^ {b}[{i + k}])" for k in range(SLOT_BITS)) + ")"
+
+    whole = words // SLOT_BITS * SLOT_BITS
+    return F.expr(" + ".join([*map(of_planes, range(0, whole, SLOT_BITS)), *map(left_over, range(whole, words))]))
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -69,7 +88,7 @@ def similar_components(
 ) -> DataFrame:
     """(node, component) of nodes with a verified partner.
 
-    ``sketched`` takes some nodes and returns (node, bands, sketch), made from signatures of so many ``slots``. ``verify`` takes distinct pairs (a, b)
+    ``sketched`` takes some nodes and returns (node, bands, sketch), ``planes`` of the sketches of signatures of so many ``slots``. ``verify`` takes distinct pairs (a, b)
     and returns them with their exact ``similarity``. ``least`` is the least ratio of the weights of two nodes that can be similar at all.
     """
     words = -(-slots // 16)
@@ -80,26 +99,23 @@ def similar_components(
         .agg(F.max(F.struct("busy", F.col("node").alias("centre"), F.col("weight").alias("other_weight"))).alias("c"))
         .select("bucket", "c.centre", "c.other_weight")
     )
+    around = frozen(buckets.drop("members").join(centres, "bucket").filter("node != centre"), "around")
     stars = frozen(
-        buckets.join(centres, "bucket").filter(fits).filter("node != centre")
-        .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(),
-        "stars",
+        around.filter(fits).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "stars"
     )
     measured = frozen(verify(stars), "verified")
     close = F.col("similarity") >= similarity
     first = frozen(connected(measured.filter(close)), "components")
 
-    member = buckets.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Centres have met every member of their bucket; only the others may still have to meet.
+    member = around.drop("other_weight").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    unsettled = member.join(mixed, "bucket", "left_semi").select("node").distinct()
-    known = sketched(frozen(unsettled, "unsettled"))
+    member = frozen(member.join(mixed.select("bucket"), "bucket", "left_semi"), "open")
+    known = sketched(frozen(member.select("node").distinct(), "unsettled"))
     member = frozen(
-        member.join(mixed, "bucket", "left_semi").select("bucket", "node", "weight", "component")
-        .join(centres.select("bucket", "centre"), "bucket")
-        .withColumns({"a": F.least("node", "centre"), "b": F.greatest("node", "centre")})
+        member.withColumns({"a": F.least("node", "centre"), "b": F.greatest("node", "centre")})
         .join(measured, ["a", "b"], "left")
-        .withColumn("far", F.when(F.col("node") == F.col("centre"), 0.0).otherwise(1 - F.col("similarity")))
-        .select("bucket", "node", "weight", "component", "far").join(known, "node"),
+        .select("bucket", "node", "weight", "component", (1 - F.col("similarity")).alias("far")).join(known, "node"),
         "mixed",
     )
     main = (

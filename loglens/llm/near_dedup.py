@@ -19,11 +19,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens.llm.common import bounded_batches, frozen, numbered, returning_memory, text_or_empty, without_rows
-from loglens.llm.linking import shared_buckets, similar_components, sketches
+from loglens.llm.linking import planes, shared_buckets, similar_components, sketches
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 8
@@ -178,7 +178,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = [_shingles(t) for t in batch.column(1).to_pylist()]
         sketch = [[]] * len(bags)
         for some, found in _signed(bags, SLOTS):
-            for i, words in zip(some, sketches(found)):
+            for i, words in zip(some, planes(sketches(found))):
                 sketch[i] = words
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketch, pa.list_(pa.int64()))], names=["node", "sketch"])
 
@@ -253,24 +253,35 @@ def near_duplicates(
         return made.join(classes.select("node", "bands"), "node")
 
     found = similar_components(buckets, sketched, lambda pairs: compared(pairs, texts), SIMILARITY, SLOTS, SIMILARITY)
-    found = frozen(found, "groups")
-    return grouped(listed, classes, found, [F.col("doc_id").isNull(), "doc_id", "row"])
+    found = frozen(classes.join(found, "node").select("key", F.col("component").alias("group")), "groups")
+    order = [F.col("doc_id").isNull(), "doc_id", "row"]
+    return grouped(listed, frozen(best_of(listed, order), "best"), found, order)
+
+
+def _named(order: list) -> list:
+    return [F.col(c).alias(c) if isinstance(c, str) else c.alias(f"o{i}") for i, c in enumerate(order)]
+
+
+def best_of(listed: DataFrame, order: list, *more: Column) -> DataFrame:
+    """Classes of equal content: key, the number n of its members, the first of them in that order, and what else is asked for."""
+    return listed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_named(order))).alias("best"), *more)
 
 
 def grouped(listed: DataFrame, classes: DataFrame, found: DataFrame, order: list) -> DataFrame:
-    """Members of classes of equal content with their groups: all columns but key, keep_id, group_size, kept."""
-    named = [F.col(c).alias(c) if isinstance(c, str) else c.alias(f"o{i}") for i, c in enumerate(order)]
-    best = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*named)).alias("best"))
-    member = classes.select("key", "node").join(found, "node", "left").select(
-        "key", F.coalesce("component", "node").alias("group")
-    )
-    member = frozen(best.join(member, "key"), "members")
-    groups = member.groupBy("group").agg(F.sum("n").alias("group_size"), F.min("best").alias("keep"))
+    """Members of classes of equal content with their groups: all columns but key, keep_id, group_size, kept.
+
+    ``classes`` is what ``best_of`` says; ``found`` has (key, group) for classes that are linked to others.
+    """
+    linked = frozen(classes.join(found, "key"), "members")
+    groups = linked.groupBy("group").agg(F.sum("n").alias("group_size"), F.min("best").alias("keep"))
+    alone = classes.filter("n > 1").join(found, "key", "left_anti")
     groups = frozen(
-        member.join(groups.filter("group_size > 1"), "group").select("key", "group_size", "keep"), "groups"
+        linked.join(groups, "group").select("key", "group_size", "keep")
+        .unionByName(alone.select("key", F.col("n").alias("group_size"), F.col("best").alias("keep"))),
+        "groups",
     )
     joined = listed.join(groups, "key", "left")
-    own = F.struct(*named)
+    own = F.struct(*_named(order))
     alone = F.col("keep").isNull()
     return joined.select(
         *(c for c in listed.columns if c != "key"),

@@ -11,6 +11,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loglens.llm import components, exact_dedup, line_dedup, linking, near_dedup
 
@@ -224,3 +225,84 @@ def test_members_too_far_apart_are_not_compared(spark):
     found = linking.similar_components(buckets, sketched, verify, 0.0, 16, 0.8).collect()
     assert asked == [{(1, 3), (2, 3), (3, 4)}, {(1, 4)}]
     assert {r["node"]: r["component"] for r in found} == {1: 1, 3: 1, 4: 1}
+
+
+@pytest.mark.parametrize("slots", [16, 64, 200, 512])
+def test_planes_count_the_same_slots(spark, slots):
+    found = np.random.default_rng(3).integers(0, 2**63, (2, slots)).astype(np.uint64)
+    found[1, ::3] = found[0, ::3]
+    a, b = linking.planes(linking.sketches(found)).tolist()
+    pair = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
+    differing = int(np.count_nonzero((found[0] ^ found[1]) & np.uint64(15)))
+    assert pair.select(linking._differing("a", "b", len(a))).first()[0] == differing
+
+
+def test_centres_settle_buckets(spark):
+    """Members of a bucket of two have met; in one of three (centre 3) the two others have not."""
+    pairs = spark.createDataFrame([(1, 3, 0.75), (2, 3, 0.75), (4, 5, 0.1), (1, 2, 0.9)], "a long, b long, similarity double")
+    buckets = [(10, 1, 1, 3), (10, 2, 1, 3), (10, 3, 1, 3), (11, 3, 1, 1), (12, 4, 1, 2), (12, 5, 1, 2)]
+    unsettled = []
+
+    def sketched(nodes):
+        unsettled.extend(r["node"] for r in nodes.collect())
+        return nodes.selectExpr("node", "array(10L) AS bands", "array(0L) AS sketch")
+
+    found = linking.similar_components(
+        spark.createDataFrame(buckets, "bucket long, node long, weight int, members long"), sketched,
+        lambda asked: asked.join(pairs, ["a", "b"]), 0.0, 16, 0.8,
+    ).collect()
+    assert sorted(unsettled) == [1, 2]
+    assert {r["node"]: r["component"] for r in found} == {1: 1, 2: 1}
+
+
+def test_packed_buckets_equal_brute_force():
+    """Buckets of two or more different nodes; a copy of a line that another task met makes no second member."""
+    rng = np.random.default_rng(4)
+    buckets = (rng.integers(0, 3, 400) << line_dedup._KEY_BITS) + rng.integers(0, 150, 400) * 7_000_000_000
+    nodes = rng.integers(-(2**63), 2**63, 30)[rng.integers(0, 30, 400)]
+    rows = pa.Table.from_batches([line_dedup._pack(buckets[i::4], nodes[i::4]) for i in range(4)]).sort_by("part")
+    assert sum(len(x) for x in rows["entries"].to_pylist()) == 13 * 400
+    members = {}
+    for bucket, node in zip(buckets.tolist(), nodes.tolist()):
+        members.setdefault(bucket, set()).add(node)
+    want = {(b, n, len(found)) for b, found in members.items() for n in found if len(found) > 1}
+    got = [tuple(r.values()) for batch in line_dedup._share(iter(rows.to_batches())) for r in batch.to_pylist()]
+    assert len(got) == len(want) > 50 and set(got) == want
+
+
+def test_only_lines_that_share_a_bucket_are_looked_up(spark):
+    lines = [f"line number {i}" for i in range(4000)]
+    nodes = line_dedup._halves(line_dedup._checksums(lines))[0]
+    words = line_dedup._filter(spark.createDataFrame([(int(n),) for n in nodes[:2000]], "node long"))
+
+    class Sent:
+        value = words
+
+    text = pa.RecordBatch.from_arrays([pa.array(["\n".join(lines[i : i + 40]) for i in range(0, 4000, 40)])], names=["text"])
+    held = [r["text"] for b in line_dedup._holding(Sent, "first")(iter([text, text])) for r in b.to_pylist()]
+    assert held[:2000] == lines[:2000] and len(held) < 2100
+
+
+def test_different_lines_have_different_nodes(spark):
+    """Where the first halves of two checksums are equal, the second ones tell their lines apart, or both together."""
+    order = [F.col("doc_id").isNull(), "doc_id", "row", "line_no"]
+    schema = "row long, doc_id long, line_no int, a long, b long"
+
+    def made(*halves):
+        node, _, classes = line_dedup._classes(spark.createDataFrame([(i, i, 0, *x) for i, x in enumerate(halves)], schema), order)
+        return node, sorted((r["key"], r["n"]) for r in classes.collect())
+
+    assert made((1, 5), (2, 5), (1, 5)) == ("first", [(1, 2), (2, 1)])
+    assert made((1, 5), (1, 6), (1, 5)) == ("second", [(5, 2), (6, 1)])
+    assert made((1, 5), (1, 6), (4, 5)) == ("both", [(1, 1), (4, 1), (7, 1)])
+
+
+def test_blank_lines_and_plain_lines(spark):
+    """As the pattern of Java tells blank lines, and as cutting at white space makes lines plain, for every character."""
+    points = [chr(i) for i in range(0x3100)]
+    marked = spark.createDataFrame([(x,) for x in points], "x string").filter(F.col("x").rlike(r"[^\s\p{Z}\x85]"))
+    full = {r["x"] for r in marked.collect()}
+    assert {x for x in points if x.strip(line_dedup.BLANK)} == full
+    for x in points:
+        for line in (x, f"{x}A b{x}", f" A{x}{x}B ", f"A  {x} b", f"ΑΣ{x}b"):
+            assert line_dedup.plain(line) == " ".join(line.lower().split())
